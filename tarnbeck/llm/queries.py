@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from tarnbeck.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tarnbeck.llm.packing import op6_packing
+from tarnbeck.llm.sharding import op9_sharding
 from tarnbeck.llm.simhash import op1_simhash_near_dedup
+from tarnbeck.llm.token_files import op10_token_files
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_packing": op6_packing,
+    "op9_sharding": op9_sharding,
+    "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
