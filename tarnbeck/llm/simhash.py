@@ -32,8 +32,8 @@ from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
 BITS, SEED = 64, 42
 #: Bits of a block whose value counts are kept for the estimates: 2**11 counts for each of six blocks at most a part.
 BLOCK = 11
-#: What one probe costs, in candidates.
-PROBE_COST = 0.3
+#: What one probe, a shuffled row, costs in candidates, which are compared where they meet.
+PROBE_COST = 10
 #: Links that a task folds into a spanning forest before it passes them on.
 FOLD = 400_000
 
@@ -191,9 +191,22 @@ def choose_thresholds(values: list[np.ndarray], groups: list[list[int]], shares:
     return out
 
 
+def part_count(rows: int, max_bits: int) -> int:
+    """How many parts cost least for this many fingerprints, were their bits even: few wide parts need more probes and
+    meet fewer candidates."""
+
+    def cost(parts: int) -> float:
+        width, extra = BITS / parts, max_bits - parts + 1
+        each = [extra // parts + (k < extra % parts) for k in range(parts)]
+        probes = sum(math.comb(round(width), d) for t in each for d in range(t + 1))
+        return probes * (PROBE_COST + rows / 2**width)
+
+    return min(range(2, max_bits + 2), key=cost)
+
+
 def links(fps: DataFrame, rows: int, max_bits: int = 3) -> DataFrame:
     """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits."""
-    parts = min(max_bits + 1, max(2, int(BITS / max(math.log2(max(rows, 2)), 1))))
+    parts = part_count(rows, max_bits)
     groups = deal_bits(co_occurrence(fps), rows, parts)
     shares = {(g, a): near_shares(c, len(c).bit_length() - 1, max_bits) for (g, a), c in block_counts(fps, groups).items()}
     flips = [masks(len(g), max_bits) for g in groups]
