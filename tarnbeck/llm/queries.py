@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from tarnbeck.llm.chat import op3_chat_formatting
 from tarnbeck.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tarnbeck.llm.packing import op6_packing
+from tarnbeck.llm.quality import op8_quality_rules
 from tarnbeck.llm.sharding import op9_sharding
 from tarnbeck.llm.simhash import op1_simhash_near_dedup
 from tarnbeck.llm.token_files import op10_token_files
+from tarnbeck.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
 }

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
 
 BITS, SEED = 64, 42
@@ -301,6 +302,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), hex64("fp").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
+    """Of each component, the row of ``docs`` with the least id, with all its columns."""
+    key = id_col
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        key = free_names(docs, ["row"])[0]  # ids that repeat don't tell rows apart: number the rows in a stored copy
+        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(docs, key, text_col, width, max_bits)
+    stay = stored(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")), "stay")
+    out = docs.join(stay, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
+    return out if key == id_col else out.drop(key)
+
+
 def hex64(c: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(c))), 16, "0")
 
