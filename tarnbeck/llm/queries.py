@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tarnbeck.llm.chat import op3_chat_formatting
 from tarnbeck.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tarnbeck.llm.licenses import op5_license_scan
 from tarnbeck.llm.packing import op6_packing
 from tarnbeck.llm.quality import op8_quality_rules
+from tarnbeck.llm.sentencepieces import op7_sentencepiece
 from tarnbeck.llm.sharding import op9_sharding
 from tarnbeck.llm.simhash import op1_simhash_near_dedup
 from tarnbeck.llm.token_files import op10_token_files
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
