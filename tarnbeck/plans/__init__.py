@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnbeck.plans import stars
+MODULES = ["stars", "tenants", "scalars", "rankings", "diffs", "states", "reporting"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (stars,):
+for _name in MODULES:
+    _module = import_module(f"tarnbeck.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
