@@ -9,7 +9,11 @@ from tarnbeck.plans.registry import Queries
 
 _q = Queries()
 QUERIES, ORACLES = _q.queries, _q.oracles
-now = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+
+
+def now():
+    return F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+
 
 
 @_q.add("J1_insert_or_ignore", """
@@ -23,7 +27,7 @@ def _(t):
 
 @_q.add("J2_conditional_update", "SELECT o_orderkey, o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' AS changed, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def _(t):
-    out = S.set_if(t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < now), o_orderstatus=F.lit("F"))
+    out = S.set_if(t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < now()), o_orderstatus=F.lit("F"))
     return out.select("o_orderkey", "changed", "o_orderstatus")
 
 
@@ -73,7 +77,7 @@ SELECT o_orderkey, reaped, CASE WHEN NOT reaped THEN status WHEN attempts + 1 <
  CASE WHEN reaped AND attempts + 1 < 3 THEN TIMESTAMP '1998-01-01' + to_seconds(least(60, 5 * CAST(pow(2, attempts) AS INT))) END AS next_eligible_at FROM r""")
 def _(t):
     jobs = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "running").otherwise("queued").alias("status"), (F.col("o_orderkey") % 3).cast("int").alias("attempts"), F.col("o_orderdate").alias("lease"))
-    return S.reap(jobs, now, "status", "attempts", "lease").select("o_orderkey", "reaped", "next_status", "next_attempts", "next_eligible_at")
+    return S.reap(jobs, now(), "status", "attempts", "lease").select("o_orderkey", "reaped", "next_status", "next_attempts", "next_eligible_at")
 
 
 @_q.add("J9_J12_transitions", """
@@ -119,8 +123,8 @@ def _(t):
 
 @_q.add("J17_single_use", "SELECT o_orderkey, o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1998-01-01' - INTERVAL 10 MINUTE AND o_custkey % 2 = 0 AS consumed FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 1 DAY")
 def _(t):
-    kept = t("orders").filter(F.col("o_orderdate") >= now - F.expr("INTERVAL 1 DAY"))
-    ok = (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > now - F.expr("INTERVAL 10 MINUTES")) & (F.col("o_custkey") % 2 == 0)
+    kept = t("orders").filter(F.col("o_orderdate") >= now() - F.expr("INTERVAL 1 DAY"))
+    ok = (F.col("o_orderstatus") == "O") & (F.col("o_orderdate") > now() - F.expr("INTERVAL 10 MINUTES")) & (F.col("o_custkey") % 2 == 0)
     return kept.select("o_orderkey", ok.alias("consumed"))
 
 
@@ -188,11 +192,11 @@ def _(t):
 def _(t):
     from tarnbeck.functions.scalars import backoff_seconds, plus_seconds
 
-    return t("orders").select("o_orderkey", (plus_seconds(F.col("o_orderdate"), backoff_seconds((F.col("o_orderkey") % 5).cast("int"))) <= now).alias("open"))
+    return t("orders").select("o_orderkey", (plus_seconds(F.col("o_orderdate"), backoff_seconds((F.col("o_orderkey") % 5).cast("int"))) <= now()).alias("open"))
 
 
 @_q.add("K10_apply_grace", """
 SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-01-01' - INTERVAL 600 HOUR AND TIMESTAMP '1998-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def _(t):
-    recent = t("orders").filter(F.col("o_orderdate").between(now - F.expr("INTERVAL 600 HOURS"), now))
+    recent = t("orders").filter(F.col("o_orderdate").between(now() - F.expr("INTERVAL 600 HOURS"), now()))
     return recent.join(t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")

@@ -11,7 +11,11 @@ from tarnbeck.plans.registry import Queries
 _q = Queries()
 QUERIES, ORACLES = _q.queries, _q.oracles
 NOW = "TIMESTAMP_NTZ '1998-01-01 00:00:00'"
-now = F.expr(NOW)
+
+
+def now():
+    return F.expr(NOW)
+
 JOB = "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'succeeded' END"
 
 
@@ -73,7 +77,7 @@ def _(t):
 
 @_q.add("B6_older", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 730 DAY AND o_orderstatus <> 'P'")
 def _(t):
-    return R.older(t("orders"), "o_orderdate", now - F.expr("INTERVAL 730 DAYS")).filter("o_orderstatus <> 'P'").select("o_orderkey")
+    return R.older(t("orders"), "o_orderdate", now() - F.expr("INTERVAL 730 DAYS")).filter("o_orderstatus <> 'P'").select("o_orderkey")
 
 
 @_q.add("B7_in_list", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -90,7 +94,7 @@ def _(t):
 @_q.add("B9_unless_trial", "SELECT o_orderkey FROM orders WHERE NOT (coalesce(nullif(o_orderpriority, '5-LOW'), '') = '1-URGENT' AND o_orderdate < TIMESTAMP '1998-01-01')")
 def _(t):
     plan = F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))
-    return t("orders").filter(R.unless_trial_history(plan, F.col("o_orderdate"), now, "1-URGENT")).select("o_orderkey")
+    return t("orders").filter(R.unless_trial_history(plan, F.col("o_orderdate"), now(), "1-URGENT")).select("o_orderkey")
 
 
 _gate = "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END"
@@ -98,17 +102,17 @@ _gate = "CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END"
 
 @_q.add("B10_eligible", f"SELECT o_orderkey FROM (SELECT *, {_gate} AS gate FROM orders) WHERE o_orderstatus = 'O' AND (gate IS NULL OR gate <= TIMESTAMP '1998-01-01')")
 def _(t):
-    return t("orders").filter(R.eligible(F.col("o_orderstatus"), F.expr(_gate), now, "O")).select("o_orderkey")
+    return t("orders").filter(R.eligible(F.col("o_orderstatus"), F.expr(_gate), now(), "O")).select("o_orderkey")
 
 
 @_q.add("B11_lease_expired", f"SELECT o_orderkey FROM (SELECT *, {_gate} AS lease FROM orders) WHERE o_orderstatus = 'P' AND lease IS NOT NULL AND lease < TIMESTAMP '1998-01-01'")
 def _(t):
-    return t("orders").filter((F.col("o_orderstatus") == "P") & R.lease_expired(F.expr(_gate), now)).select("o_orderkey")
+    return t("orders").filter((F.col("o_orderstatus") == "P") & R.lease_expired(F.expr(_gate), now())).select("o_orderkey")
 
 
 @_q.add("B12_B13_valid_tokens", "SELECT o_orderkey, o_orderdate > TIMESTAMP '1998-01-01' AND nullif(o_orderstatus, 'O') IS NULL AS valid FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", R.valid_until(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.col("o_orderdate"), now).alias("valid"))
+    return t("orders").select("o_orderkey", R.valid_until(F.nullif(F.col("o_orderstatus"), F.lit("O")), F.col("o_orderdate"), now()).alias("valid"))
 
 
 @_q.add("B14_roles", """
@@ -146,7 +150,7 @@ def _(t):
 @_q.add("B19_touch_if_stale", "SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') IS NULL OR o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 86400 SECOND AS touch FROM orders")
 def _(t):
     last = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate"))
-    return t("orders").select("o_orderkey", R.stale(last, now, 86400).alias("touch"))
+    return t("orders").select("o_orderkey", R.stale(last, now(), 86400).alias("touch"))
 
 
 @_q.add("B20_trial_status", """
