@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["stars", "tenants", "scalars", "rankings", "diffs", "states", "reporting", "texts", "graphs", "selections"]
+MODULES = ["stars", "tenants", "scalars", "rankings", "diffs", "states", "reporting", "texts", "graphs", "selections", "sources", "streams"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

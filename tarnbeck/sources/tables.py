@@ -16,3 +16,9 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     """Each table as a temporary view of its name."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """A table of a relational database, read in ``parts`` ranges of a numeric key. There is no fallback: a database that
+    can't be reached is an error."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
