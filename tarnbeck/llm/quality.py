@@ -3,12 +3,15 @@
 The model is modified Kneser-Ney with interpolation. Spark counts the 4-grams of all documents (each task sums its own
 before the shuffle), derives the continuation counts of the lower orders, the discounts and the interpolated
 probabilities with joins, and stores the model as sorted arrays: an n-gram is hashed without loss to a 64-bit key, 16 bits
-a character, and looked up by binary search. While the model has at most MODEL_ROWS entries it is broadcast; a larger one
-stays a table, and the distinct 4-grams of each document are joined to it instead.
+a character, and looked up by binary search. A text would look likely to a model that has counted it, so there are two, each
+of the texts of one fold (by a hash of the text, so copies stay together), and a text is scored by the other fold's. While
+the models have at most MODEL_ROWS entries they are broadcast; larger ones stay a table, and the distinct 4-grams of each
+document are joined to it instead.
 
 A document's figure is its mean negative log probability a character. Each language has its own lower and upper band
 around the median of its documents: a number of spreads (from the quartiles) that widens for short texts. The bands cut off
-what no prose of that language looks like, so they are wide.
+what no prose of that language looks like, so they are wide, the lower one wider: near copies of a sound text make each
+other likely. A language of fewer than LEAST_DOCS documents has no bands.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own;
 repeated rows are scored each and all count in the model; an empty table gives an empty result.
@@ -17,6 +20,7 @@ repeated rows are scored each and all count in the model; an empty table gives a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,9 @@ HELD, CHARS = 1 << 20, 1 << 20
 PAD = "\x02" * (ORDER - 1)
 #: Bands: spreads below and above a language's median; a spread is the quartiles' distance / 1.349, SPREAD at least, and
 #: grows by SHORT / sqrt(characters).
-LOWER, UPPER, SPREAD, SHORT = 5.0, 5.0, 0.02, 0.5
+LOWER, UPPER, SPREAD, SHORT = 15.0, 6.0, 0.02, 0.5
+LEAST_DOCS = 40
+FOLDS = 2
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(WINDOW)], np.uint64)
@@ -124,34 +130,42 @@ def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def fold_of(text: str) -> int:
+    return zlib.crc32(text.encode()) % FOLDS
+
+
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n): the 4-grams of all texts."""
+    """(fold, key, n): the 4-grams of all texts, by fold."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS)]
+        held = [0] * FOLDS
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            return counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        def merged(fold: int) -> tuple[np.ndarray, np.ndarray]:
+            return counted(np.concatenate([k for k, _ in parts[fold]]), np.concatenate([n for _, n in parts[fold]]))
 
-        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        def out(fold: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), fold, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["fold", "key", "n"])
 
         for b in batches:
-            for texts in chunks([t or "" for t in b.column(0).to_pylist()]):
-                parts.append(counted(grams(texts)[0]))
-                held += len(parts[-1][0])
-                if held > 4 * HELD:
-                    keys, n = merged()
-                    parts, held = [(keys, n)], len(keys)
-                    if held > HELD:
-                        yield out(keys, n)
-                        parts, held = [], 0
-        if parts:
-            yield out(*merged())
-
-    return docs.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            own = [t or "" for t in b.column(0).to_pylist()]
+            folds = list(map(fold_of, own))
+            for fold in range(FOLDS):
+                for texts in chunks([t for t, f in zip(own, folds, strict=True) if f == fold]):
+                    parts[fold].append(counted(grams(texts)[0]))
+                    held[fold] += len(parts[fold][-1][0])
+                    if held[fold] > 4 * HELD:
+                        keys, n = merged(fold)
+                        parts[fold], held[fold] = [(keys, n)], len(keys)
+                        if held[fold] > HELD:
+                            yield out(fold, keys, n)
+                            parts[fold], held[fold] = [], 0
+        for fold in range(FOLDS):
+            if parts[fold]:
+                yield out(fold, *merged(fold))
+
+    return docs.select(text_col).mapInArrow(run, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -165,6 +179,16 @@ def discounts(counts: DataFrame) -> list[float]:
     return [min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)]
 
 
+def cross_models(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(fold, kind, key, value): for the texts of each fold, the model of the other one."""
+    counts = stored(gram_counts(docs, text_col), "counts")
+    out = None
+    for fold in range(FOLDS):
+        one = kneser_ney(counts.filter(F.col("fold") == fold).select("key", "n")).select(F.lit(FOLDS - 1 - fold).alias("fold"), "kind", "key", "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(kind, key, value): kind n = 1..4 has log probabilities of n-grams, kind 10 + n the log back-off weight of the
     contexts of order n (key: the n - 1 characters before), kind 0 that of a character never seen."""
@@ -245,28 +269,29 @@ class Arrays:
 
 
 def joined_costs(docs: DataFrame, row_col: str, text_col: str, model: DataFrame) -> DataFrame:
-    """(row_col, cost) by joins, for a model too large to broadcast: the distinct 4-grams of each text meet each level in
-    turn. ``row_col`` must tell rows apart."""
+    """(row_col, cost) by joins, for models too large to broadcast: the distinct 4-grams of each text meet each level of its
+    fold's model in turn. ``row_col`` must tell rows apart."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in enumerate(b.column(1).to_pylist()):
                 keys, n = counted(grams([t or ""])[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b.column(0)[i].as_py()), b.column(0).type), pa.array(keys.view(np.int64)), pa.array(n)], names=[row_col, "key", "n"])
+                ids = pa.array(np.full(len(keys), b.column(0)[i].as_py()), b.column(0).type)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(keys), fold_of(t or ""), np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=[row_col, "fold", "key", "n"])
 
     kind = docs.schema[row_col].dataType.simpleString()
-    rows = docs.select(row_col, text_col).mapInArrow(run, f"{row_col} {kind}, key long, n long").withColumns({"log_p": F.lit(0.0), "open": F.lit(True)})
+    rows = docs.select(row_col, text_col).mapInArrow(run, f"{row_col} {kind}, fold int, key long, n long").withColumns({"log_p": F.lit(0.0), "open": F.lit(True)})
     level = lambda k: model.filter(F.col("kind") == k)
     for n in range(ORDER, 0, -1):
         cut = F.col("key").bitwiseAND((1 << 16 * n) - 1) if n < ORDER else F.col("key")
-        rows = rows.withColumn("at", cut).join(level(n).select(F.col("key").alias("at"), F.col("value").alias("v")), "at", "left")
+        rows = rows.withColumn("at", cut).join(level(n).select("fold", F.col("key").alias("at"), F.col("value").alias("v")), ["fold", "at"], "left")
         rows = rows.withColumns({"log_p": F.when(F.col("open") & F.col("v").isNotNull(), F.col("log_p") + F.col("v")).otherwise(F.col("log_p")), "open": F.col("open") & F.col("v").isNull()}).drop("v")
         if n > 1:
-            rows = rows.withColumn("at", F.shiftrightunsigned("at", 16)).join(level(10 + n).select(F.col("key").alias("at"), F.col("value").alias("v")), "at", "left")
+            rows = rows.withColumn("at", F.shiftrightunsigned("at", 16)).join(level(10 + n).select("fold", F.col("key").alias("at"), F.col("value").alias("v")), ["fold", "at"], "left")
             rows = rows.withColumn("log_p", F.when(F.col("open"), F.col("log_p") + F.coalesce("v", F.lit(0.0))).otherwise(F.col("log_p"))).drop("v")
-    unseen = level(0).first().value
-    p = F.when(F.col("open"), F.col("log_p") + unseen).otherwise(F.col("log_p"))
+    unseen = F.create_map(*[F.lit(x) for r in level(0).collect() for x in (r.fold, r.value)])
+    p = F.when(F.col("open"), F.col("log_p") + F.try_element_at(unseen, F.col("fold"))).otherwise(F.col("log_p"))
     return rows.groupBy(row_col).agg((-F.sum(p * F.col("n")) / F.sum("n")).alias("cost"))
 
 
@@ -274,23 +299,35 @@ def joined_costs(docs: DataFrame, row_col: str, text_col: str, model: DataFrame)
 
 
 def scored(docs: DataFrame, text_col: str = "text", model: DataFrame | None = None, model_rows: int = MODEL_ROWS) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the base counts and ``cost``; and the new columns' names, which avoid those of ``docs``."""
+    """``docs`` with the base counts and ``cost``; and the new columns' names, which avoid those of ``docs``. The models are those
+    of the other fold, or the one that is given (kind, key, value)."""
     spark = docs.sparkSession
-    model = model if model is not None else kneser_ney(gram_counts(docs, text_col))
+    if model is None:
+        model = cross_models(docs, text_col)
+    else:
+        model = model.withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS)))))
     names = dict(zip([*BASE, "cost", "chars"], free_names(docs, [*BASE, "cost", "chars"]), strict=True))
     fields = [(names[c], T.LongType()) for c in BASE]
     small = model.count() <= model_rows
     arrays = None
     if small:
         got = model.toArrow()
-        arrays = spark.sparkContext.broadcast(Arrays(*[got.column(c).to_numpy() for c in ("kind", "key", "value")]))
+        fold, *rest = (got.column(c).to_numpy() for c in ("fold", "kind", "key", "value"))
+        arrays = spark.sparkContext.broadcast([Arrays(*[x[fold == k] for x in rest]) for k in range(FOLDS)])
 
     def work():
         def made(texts: list[str]) -> list[pa.Array]:
             base = list(zip(*map(base_counts, texts), strict=True)) or [[]] * len(BASE)
             out = [pa.array(x, pa.int64()) for x in base]
             out.append(pa.array(list(map(len, texts)), pa.int64()))
-            return [*out, pa.array(arrays.value.costs(texts), pa.float64())] if small else out
+            if not small:
+                return out
+            folds, costs = list(map(fold_of, texts)), [None] * len(texts)
+            for k in range(FOLDS):
+                at = [i for i, f in enumerate(folds) if f == k]
+                for i, x in zip(at, arrays.value[k].costs([texts[i] for i in at]), strict=True):
+                    costs[i] = x
+            return [*out, pa.array(costs, pa.float64())]
 
         return made
 
@@ -308,7 +345,7 @@ def banded(rows: DataFrame, names: dict[str, str], lang_col: str = "lang") -> tu
     lang, mid, spread = free_names(rows, ["band_lang", "band_mid", "band_spread"])
     own = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     q = F.percentile_approx(names["cost"], [0.25, 0.5, 0.75], 10_000)
-    bands = rows.filter(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]))).groupBy(own.alias(lang)).agg(q.alias("q"))
+    bands = rows.filter(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]))).groupBy(own.alias(lang)).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     bands = bands.select(lang, F.col("q")[1].alias(mid), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(SPREAD)).alias(spread))
     out = rows.join(bands, own == F.col(lang), "left").drop(lang)
     wide = F.col(spread) + SHORT / F.sqrt(F.greatest(F.col(names["chars"]), F.lit(1)))
