@@ -16,12 +16,20 @@ from functools import cache
 import numpy as np
 
 #: Pieces that a worker's cache holds at most (about 200 bytes each).
-CACHED = 600_000
+CACHED = 800_000
+#: Longest word with punctuation after it that is held as one piece; longer ones are put together again each time.
+WHOLE = 8
 #: Longest piece, in characters, that the cache takes.
 LONGEST = 48
 #: Below it, all versions of Unicode agree which characters are letters.
 LATIN_END = "\u0250"
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A word and the marks after it: the pre-tokeniser parts them there, and the marks are one piece.
+MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+# Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(PLAIN))}
 
 
 class Blank(Exception):
@@ -37,10 +45,15 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Blank
-        if piece[-1] in ".,!" and len(piece) > 1 and piece[:-1].isalpha() and max(piece) < LATIN_END:
-            ids = self[piece[:-1]] + self.coder.ends[piece[-1]]
-        elif piece.isascii() and piece.isalpha():
-            ids = self.coder.word("Ġ" + piece)
+        if max(piece) >= LATIN_END:
+            ids = self.coder.plain(" " + piece)
+        elif piece.isalpha():
+            ids = self.coder.word("Ġ" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)))
+        elif found := MARKED.fullmatch(piece):
+            word, marks = found.groups()
+            ids = (self[word] if word.isalpha() else self.coder.plain(" " + word)) + self.coder.marks[marks]
+            if len(piece) > WHOLE:
+                return ids
         else:
             ids = self.coder.plain(" " + piece)
         if len(self) < CACHED and len(piece) <= LONGEST:
@@ -48,6 +61,19 @@ class Pieces(dict):
         return ids
 
 
+class Marks(dict):
+    """Ids of runs of marks that follow a word."""
+
+    def __init__(self, coder: Coder):
+        self.coder = coder
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self.coder.plain(marks)
+        if len(self) < CACHED // 100 and len(marks) <= LONGEST:
+            self[marks] = ids
+        return ids
+
+
 class Coder:
     """Encodes whole texts to little-endian unsigned 32-bit ids."""
 
@@ -63,12 +89,11 @@ class Coder:
         self.cut = not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         if self.cut:
             self.model._resize_cache(0)  # each piece comes here once; Pieces remembers it
-            self.ends = {c: self.plain(c) for c in ".,!"}
-        self.pieces = Pieces(self)
+        self.pieces, self.marks = Pieces(self), Marks(self)
 
     def word(self, mapped: str) -> bytes:
         ids = [x.id for x in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
         return b"".join([self.word(mapped) for mapped, _ in self.splitter.pre_tokenize_str(text)])

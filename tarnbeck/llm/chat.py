@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.bpe import coder
+from tarnbeck.llm.bpe import PLAIN, SHOWN, coder
 from tarnbeck.llm.common import bounded_batches, stored, table
 
 PIECE = 64
@@ -55,9 +55,7 @@ def base_id(tokenizer: str) -> int:
 @cache
 def token_bytes(tokenizer: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    of = {chr(b): b for b in shown}
-    of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    of = {chr(b): b for b in PLAIN} | {chr(c): b for b, c in SHOWN.items()}
     vocab = coder(tokenizer).tokenizer.get_vocab()
     out = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
