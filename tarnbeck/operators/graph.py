@@ -34,6 +34,7 @@ def closure(edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None,
     e = edges.select("from", "to").distinct()
     if known is not None:
         e = e.join(known.select(F.col("node").alias("to")), "to", "left_semi")
+    e = _stored(e.select("from", "to"))
     reached = frontier = _stored(seeds.select("seed", F.col("seed").alias("node")).distinct())
     steps = 0
     while most_steps is None or steps < most_steps:
@@ -41,7 +42,8 @@ def closure(edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None,
         frontier = _stored(step.join(reached, ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = reached.union(frontier)
+        # one table again after a few steps, so that a long way does not make a long plan
+        reached = reached.union(frontier) if steps % 8 < 7 else _stored(reached.union(frontier))
         steps += 1
     return reached
 

@@ -138,7 +138,7 @@ WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, ge
  n AS (SELECT file, line, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM l),
  q AS (SELECT item_id, item_id * 7 AS file, 1 + item_id % 5 AS line, trim(regexp_replace(CASE WHEN item_id % 4 = 0 THEN text ELSE (SELECT left(n.text, 30) FROM n WHERE n.file = item_id * 7 AND n.line = 1) END, '\\s+', ' ', 'g')) AS quote FROM benchmark),
  h AS (SELECT item_id, min(abs(n.line - q.line)) AS gap FROM q JOIN n ON n.file = q.file AND contains(n.text, q.quote) GROUP BY 1)
-SELECT q.item_id, CASE WHEN q.file >= 300 OR q.quote = '' THEN 'unverifiable' WHEN gap IS NULL THEN 'fabricated' WHEN gap <= 3 THEN 'verified' ELSE 'location_mismatch' END AS status FROM q LEFT JOIN h USING (item_id) WHERE q.quote IS NOT NULL""")
+SELECT q.item_id, CASE WHEN q.file NOT IN (SELECT file FROM l) OR q.quote = '' THEN 'unverifiable' WHEN gap IS NULL THEN 'fabricated' WHEN gap <= 3 THEN 'verified' ELSE 'location_mismatch' END AS status FROM q LEFT JOIN h USING (item_id) WHERE q.quote IS NOT NULL""")
 def _(t):
     docs = t("documents").filter("doc_id < 300").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     first = docs.filter("line = 1").select("file", F.left(P.plain_spaces(F.col("text")), F.lit(30)).alias("start"))
