@@ -123,3 +123,16 @@ def _(t):
 @_q.add("G24_elided_bytes", "SELECT doc_id, strlen(text) <= 500 AS whole FROM documents")
 def _(t):
     return X.mapped(t("documents"), "doc_id", "text", "whole boolean", lambda x: [len(y := X.elided_bytes(x, 500)) == len(x) and len(y.encode()) <= 500])
+
+
+@_q.add("L5_contract_signals", """
+SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN ['floating-pragma', 'tx-origin'] WHEN 1 THEN ['selfdestruct', 'selfdestruct-unprotected'] ELSE [] END) AS family,
+ unnest(CASE p_partkey % 3 WHEN 0 THEN ['T0', 'T1'] WHEN 1 THEN ['T2', 'T2'] ELSE [] END) AS tier FROM part""")
+def _(t):
+    from tarnbeck.operators.signals import signals
+
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, "pragma solidity ^0.8.0; contract A { function f() public view returns (bool) { return tx.origin != a; } }").when(
+        k == 1, "pragma solidity 0.8.1; contract A { function kill() external { selfdestruct(me); } }"
+    ).otherwise("pragma solidity 0.8.1; contract A { /* selfdestruct(me); tx.origin */ }")
+    return signals(t("part").select("p_partkey", text.alias("text")), "p_partkey", "text").select("p_partkey", "family", "tier")
