@@ -41,8 +41,9 @@ def affected_versions(own: DataFrame, bugs: DataFrame, version: str) -> DataFram
     """Rows whose three-part version lies in [introduced, fixed) of a bug; unparseable versions and entries match none."""
     b = bugs.select("name", version_parts(F.col("introduced")).alias("_a"), version_parts(F.col("fixed")).alias("_z")).dropna()
     v = own.withColumn("_v", version_parts(F.col(version))).filter("_v is not null")
-    # two leading numbers make an equi key: a bug costs one row for each (major, minor) it touches, bounded by its range
-    return v.join(b, (F.col("_a") <= F.col("_v")) & (F.col("_v") < F.col("_z"))).drop("_v", "_a", "_z")
+    # the major number is an equi key: a bug is one row for each that it touches, so rows are hashed instead of all paired
+    b = b.withColumn("_major", F.explode(F.sequence(F.col("_a")[0], F.greatest(F.col("_a")[0], F.col("_z")[0]))))
+    return v.withColumn("_major", F.col("_v")[0]).join(b, "_major").filter((F.col("_a") <= F.col("_v")) & (F.col("_v") < F.col("_z"))).drop("_v", "_a", "_z", "_major")
 
 
 def resolved_chain(own: DataFrame, chains: DataFrame, chain: str, declared: str) -> DataFrame:

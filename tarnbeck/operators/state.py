@@ -3,7 +3,7 @@ a projection and its row count an aggregate. Folds whose outcome depends on earl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,22 +32,26 @@ def admission(model: Column, checks: Sequence[tuple[str, Column]]) -> Column:
 
 def reserve(requests: DataFrame, key: str, order: Sequence[str], amount: str, limit: str, id_col: str) -> DataFrame:
     """(id_col, granted): a request is granted if it fits with those granted before; a refused one takes nothing, so this is
-    no running sum but a fold, in one pass of a key's requests in order. Only what can be decided at once stays out: a
-    request above the limit by itself never fits."""
-    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        used, out = 0, []
-        for x, most in zip(pdf[amount].tolist(), pdf[limit].tolist(), strict=True):
-            out.append(used + x <= most)
-            used += x if out[-1] else 0
-        return pd.DataFrame({id_col: pdf[id_col], "granted": out})
-
-    rows = requests.select(*{key: 0, **dict.fromkeys(order), amount: 0, limit: 0, id_col: 0})
-    fits = F.col(amount) <= F.col(limit)
-    never = rows.filter(~fits).select(id_col, F.lit(False).alias("granted"))
-    return rows.filter(fits).groupBy(key).applyInPandas(fold, f"{id_col} {kinds[id_col]}, granted boolean").unionByName(never)
+    no running sum but a fold in the key's order. A task streams through its keys' sorted rows and holds one sum, so a key may
+    have any number of requests; one above the limit by itself never fits and is not brought there."""
+    kind = requests.schema[id_col].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used = object(), 0
+        for b in batches:
+            out = []
+            for k, x, most in zip(b["_k"].tolist(), b["_x"].tolist(), b["_m"].tolist(), strict=True):
+                if k != now:
+                    now, used = k, 0
+                out.append(used + x <= most)
+                used += x if out[-1] else 0
+            yield pd.DataFrame({id_col: b["_i"], "granted": out})
+
+    rows = requests.select(F.col(key).alias("_k"), F.col(amount).alias("_x"), F.col(limit).alias("_m"), F.col(id_col).alias("_i"), *[F.col(c).alias(f"_o{n}") for n, c in enumerate(order)])
+    fits = F.coalesce(F.col("_x") <= F.col("_m"), F.lit(False))
+    never = rows.filter(~fits).select(F.col("_i").alias(id_col), F.lit(False).alias("granted"))
+    dealt = rows.filter(fits).repartition("_k").sortWithinPartitions("_k", *[f"_o{n}" for n in range(len(order))])
+    return dealt.mapInPandas(fold, f"{id_col} {kind}, granted boolean").unionByName(never)
 
 
 def settle(jobs: DataFrame, terminal: DataFrame, job: str, owner: str, units: str) -> DataFrame:
