@@ -34,7 +34,7 @@ def _(t):
 
 
 @_q.add("C13_N1_finding_diff", """
-WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS severity, o_custkey || '/' || o_totalprice AS second FROM orders WHERE o_orderkey < 4000),
+WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS severity, o_custkey || '/' || o_totalprice AS second FROM orders),
      a AS (SELECT id, severity, second FROM o WHERE id % 7 <> 0),
      b AS (SELECT CASE WHEN id % 10 = 3 THEN id + 1000000 ELSE id END AS id, CASE WHEN id % 11 = 0 THEN 'X' ELSE severity END AS severity, second FROM o WHERE id % 9 <> 0),
      m AS (SELECT a.id, b.id AS after_id, CASE WHEN a.severity IS DISTINCT FROM b.severity THEN 'modified' ELSE 'matched' END AS status, 'key' AS matched_by FROM a JOIN b ON a.id = b.id),
@@ -42,7 +42,7 @@ WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS severity, o_custkey || '/
      s AS (SELECT l.id, r.id AS after_id, 'modified' AS status, 'secondary' AS matched_by FROM l JOIN r ON l.second = r.second AND l.n = 1 AND r.n = 1)
 SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT id, NULL, 'resolved', NULL FROM l WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT NULL, id, 'new', NULL FROM r WHERE id NOT IN (SELECT after_id FROM s)""")
 def _(t):
-    o = t("orders").filter("o_orderkey < 4000").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("severity"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("second"))
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("severity"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("second"))
     i = F.col("id")
     b = o.filter("id % 9 <> 0").select(F.when(i % 10 == 3, i + 1000000).otherwise(i).alias("id"), F.when(i % 11 == 0, "X").otherwise(F.col("severity")).alias("severity"), "second")
     return V.matched_findings(o.filter("id % 7 <> 0"), b, "id", "second", ["severity"]).select("id", F.col("after_key").alias("after_id"), "status", "matched_by")

@@ -9,40 +9,38 @@ from tarnbeck.plans.registry import Queries
 
 _q = Queries()
 QUERIES, ORACLES = _q.queries, _q.oracles
-_EDGES = "e AS (SELECT DISTINCT p_partkey AS a, (p_partkey * 7 + p_size) % 400 AS b FROM part WHERE p_partkey < 400 AND p_size % 3 <> 0 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey < 400)"
+_EDGES = "e AS (SELECT p_partkey AS a, p_partkey // 4 AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 6 + p_size % 2 FROM part UNION SELECT 0, 3)"
 
 
 def _edges(t):
-    p = t("part").filter("p_partkey < 400")
-    k = F.col("p_partkey")
-    one = p.filter("p_size % 3 <> 0").select(k.alias("from"), ((k * 7 + F.col("p_size")) % 400).alias("to"))
-    return one.union(p.select(k, F.floor(k / 2))).distinct()
+    """Each part to the ones at a quarter and a sixth of its key; 0 leads back to 3, so there are cycles."""
+    p, k = t("part"), F.col("p_partkey")
+    own = p.filter("p_partkey > 0").select(k.alias("from"), F.floor(k / 4).alias("to")).union(p.select(k, F.floor(k / 6) + F.col("p_size") % 2))
+    return own.union(p.agg(F.min(k), (F.min(k) + 3))).distinct()
 
 
 @_q.add("H1_closure", f"""
-WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node FROM part WHERE p_partkey < 400 AND p_partkey % 20 = 0 UNION SELECT seed, b FROM r JOIN e ON a = node) SELECT seed, node FROM r""")
+WITH RECURSIVE {_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node FROM part UNION SELECT seed, b FROM r JOIN e ON a = node) SELECT seed, node FROM r""")
 def _(t):
-    seeds = t("part").filter("p_partkey < 400 AND p_partkey % 20 = 0").select(F.col("p_partkey").alias("seed"))
-    return H.closure(_edges(t), seeds)
+    return H.closure(_edges(t), t("part").select(F.col("p_partkey").alias("seed")))
 
 
 @_q.add("H4_linearisation", """
-WITH RECURSIVE b AS (SELECT p_partkey AS node, 1 AS place, p_partkey // 2 AS base FROM part WHERE p_partkey BETWEEN 1 AND 300 UNION ALL SELECT p_partkey, 2, p_partkey // 3 FROM part WHERE p_partkey BETWEEN 1 AND 300),
+WITH RECURSIVE b AS (SELECT p_partkey AS node, 1 AS place, p_partkey // 4 AS base FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey, 2, p_partkey // 6 FROM part WHERE p_partkey > 0),
  w AS (SELECT node, base, [place] AS path, [node, base] AS seen FROM b UNION ALL SELECT w.node, b.base, list_append(path, b.place), list_append(seen, b.base) FROM w JOIN b ON b.node = w.base WHERE NOT list_contains(seen, b.base)),
  f AS (SELECT node, base, min(path) AS path FROM w GROUP BY 1, 2) SELECT node, base, row_number() OVER (PARTITION BY node ORDER BY path) - 1 AS place FROM f""")
 def _(t):
-    p = t("part").filter("p_partkey BETWEEN 1 AND 300")
-    k = F.col("p_partkey")
-    bases = p.select(k.alias("node"), F.lit(1).alias("place"), F.floor(k / 2).alias("base")).union(p.select(k, F.lit(2), F.floor(k / 3)))
+    p, k = t("part").filter("p_partkey > 0"), F.col("p_partkey")
+    bases = p.select(k.alias("node"), F.lit(1).alias("place"), F.floor(k / 4).alias("base")).union(p.select(k, F.lit(2), F.floor(k / 6)))
     return H.linearised(bases).select("node", "base", F.col("place").cast("long").alias("place"))
 
 
 @_q.add("H5_privilege_paths", f"""
-WITH RECURSIVE {_EDGES}, w AS (SELECT p_partkey AS start, [p_partkey] AS hops, p_partkey AS node, true AS go FROM part WHERE p_partkey < 400 AND p_partkey % 40 = 0
+WITH RECURSIVE {_EDGES}, w AS (SELECT p_partkey AS start, [p_partkey] AS hops, p_partkey AS node, true AS go FROM part WHERE p_type <> 'SMALL'
  UNION ALL SELECT start, list_append(hops, b), b, b % 5 <> 0 FROM w JOIN e ON a = node WHERE go AND NOT list_contains(hops, b) AND len(hops) < 4)
 SELECT start, hops, node FROM w WHERE len(hops) > 1""")
 def _(t):
-    starts = t("part").filter("p_partkey < 400 AND p_partkey % 40 = 0").select(F.col("p_partkey").alias("start"))
+    starts = t("part").filter("p_type <> 'SMALL'").select(F.col("p_partkey").alias("start"))
     return H.simple_paths(_edges(t), starts, F.col("to") % 5 != 0, 3).select("start", "hops", "node")
 
 
@@ -67,9 +65,9 @@ def _(t):
 
 
 @_q.add("H8_context_bundle", f"""
-WITH {_EDGES} SELECT p_partkey, p_name, (SELECT list_sort(list(b)) FROM e WHERE a = p_partkey) AS calls, (SELECT list_sort(list(a)) FROM e WHERE b = p_partkey) AS called_by FROM part WHERE p_partkey < 100""")
+WITH {_EDGES} SELECT p_partkey, p_name, (SELECT list_sort(list(b)) FROM e WHERE a = p_partkey) AS calls, (SELECT list_sort(list(a)) FROM e WHERE b = p_partkey) AS called_by FROM part""")
 def _(t):
     e = _edges(t)
     out = e.groupBy(F.col("from").alias("p_partkey")).agg(F.sort_array(F.collect_list("to")).alias("calls"))
     into = e.groupBy(F.col("to").alias("p_partkey")).agg(F.sort_array(F.collect_list("from")).alias("called_by"))
-    return t("part").filter("p_partkey < 100").select("p_partkey", "p_name").join(out, "p_partkey", "left").join(into, "p_partkey", "left")
+    return t("part").select("p_partkey", "p_name").join(out, "p_partkey", "left").join(into, "p_partkey", "left")

@@ -83,13 +83,13 @@ def _(t):
 
 
 @_q.add("R3_validate", """
-WITH f AS (SELECT l_orderkey AS k, l_quantity AS q, l_discount AS d, l_returnflag AS rf, l_linestatus AS ls, l_tax AS x, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey < 3000)
+WITH f AS (SELECT l_orderkey AS k, l_quantity AS q, l_discount AS d, l_returnflag AS rf, l_linestatus AS ls, l_tax AS x, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT k || '/' || n || '/' || p || '/' || s AS key, 'R-02' AS rule FROM f WHERE q > 49 UNION ALL SELECT k || '/' || n || '/' || p || '/' || s, 'R-04' FROM f WHERE rf = 'R' AND d > 0.09
 UNION ALL SELECT k || '/' || n || '/' || p || '/' || s, 'R-08' FROM f WHERE (ls = 'O') <> (nullif(x, 0) IS NOT NULL)""")
 def _(t):
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     rules = {"R-02": F.col("l_quantity") <= 49, "R-04": ~((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.09)), "R-08": (F.col("l_linestatus") == "O") == (F.nullif(F.col("l_tax"), F.lit(0.0)).isNotNull())}
-    return P.violations(t("lineitem").filter("l_orderkey < 3000"), key, rules)
+    return P.violations(t("lineitem"), key, rules)
 
 
 @_q.add("V1_constraints", """
@@ -134,13 +134,13 @@ def _(t):
 
 
 @_q.add("R10_evidence_locality", """
-WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE doc_id < 300),
+WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
  n AS (SELECT file, line, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM l),
  q AS (SELECT item_id, item_id * 7 AS file, 1 + item_id % 5 AS line, trim(regexp_replace(CASE WHEN item_id % 4 = 0 THEN text ELSE (SELECT left(n.text, 30) FROM n WHERE n.file = item_id * 7 AND n.line = 1) END, '\\s+', ' ', 'g')) AS quote FROM benchmark),
  h AS (SELECT item_id, min(abs(n.line - q.line)) AS gap FROM q JOIN n ON n.file = q.file AND contains(n.text, q.quote) GROUP BY 1)
 SELECT q.item_id, CASE WHEN q.file NOT IN (SELECT file FROM l) OR q.quote = '' THEN 'unverifiable' WHEN gap IS NULL THEN 'fabricated' WHEN gap <= 3 THEN 'verified' ELSE 'location_mismatch' END AS status FROM q LEFT JOIN h USING (item_id) WHERE q.quote IS NOT NULL""")
 def _(t):
-    docs = t("documents").filter("doc_id < 300").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    docs = t("documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     first = docs.filter("line = 1").select("file", F.left(P.plain_spaces(F.col("text")), F.lit(30)).alias("start"))
     q = t("benchmark").select("item_id", (F.col("item_id") * 7).alias("file"), (F.col("item_id") % 5 + 1).alias("line"), "text").join(first, "file", "left")
     q = q.select("item_id", "file", "line", F.when(F.col("item_id") % 4 == 0, F.col("text")).otherwise(F.col("start")).alias("quote")).filter("quote is not null")

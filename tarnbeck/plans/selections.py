@@ -98,8 +98,9 @@ def _(t):
 
 
 @_q.add("I5_pass_artifact", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#3') AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 300)""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#3') AND l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING')""")
 def _(t):
     files = t("part").filter("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("l_partkey"))
-    own = t("orders").filter("o_custkey < 300").select(F.col("o_orderkey").alias("l_orderkey"))
+    segment = t("customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    own = t("orders").join(segment, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(files, "l_partkey", "left_semi").join(own, "l_orderkey", "left_semi")

@@ -75,17 +75,17 @@ def _(t):
 
 
 @_q.add("A15_bundle", """
-WITH f AS (SELECT source, 'd' || doc_id || '.sol' AS path, regexp_replace(text, '\n$', '') AS text FROM documents WHERE doc_id < 400)
+WITH f AS (SELECT source, 'd' || doc_id || '.sol' AS path, regexp_replace(text, '\n$', '') AS text FROM documents)
 SELECT source, sha256(string_agg('=== FILE: ' || path || ' ===' || chr(10) || text || chr(10) || '=== END FILE ===' || chr(10), '' ORDER BY path)) AS digest FROM f GROUP BY 1""")
 def _(t):
-    files = t("documents").filter("doc_id < 400").select("source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("path"), F.col("text").alias("content"))
+    files = t("documents").select("source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("path"), F.col("text").alias("content"))
     return X.bundle(files, "source").select("source", F.sha2("bundle", 256).alias("digest"))
 
 
 @_q.add("A16_unbundled", r"""
-SELECT source, 'd' || doc_id || '.sol' AS path, md5(regexp_replace(text, '\n$', '')) AS digest, CAST(NULL AS VARCHAR) AS issue FROM documents WHERE doc_id < 400""")
+SELECT source, 'd' || doc_id || '.sol' AS path, md5(regexp_replace(text, '\n$', '')) AS digest, CAST(NULL AS VARCHAR) AS issue FROM documents""")
 def _(t):
-    files = t("documents").filter("doc_id < 400").select("source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("path"), F.col("text").alias("content"))
+    files = t("documents").select("source", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("path"), F.col("text").alias("content"))
     return X.unbundled(X.bundle(files, "source"), "source", "bundle").select("source", "path", F.md5("content").alias("digest"), "issue")
 
 

@@ -275,14 +275,14 @@ def _(t):
 
 
 @_q.add("F5_id_sets", """
-WITH e AS (SELECT o_orderkey % 500 AS k FROM orders WHERE o_orderstatus = 'F'), x AS (SELECT c_custkey AS k FROM customer WHERE c_custkey < 600)
+WITH e AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), x AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
 SELECT (SELECT count(*) FROM e) <> (SELECT count(*) FROM x) AS length_differs, (SELECT count(*) - count(DISTINCT k) FROM e) AS duplicates,
        (SELECT count(DISTINCT k) FROM e WHERE k NOT IN (SELECT k FROM x)) AS unknown, (SELECT count(*) FROM x WHERE k NOT IN (SELECT k FROM e)) AS missing""")
 def _(t):
     from tarnbeck.operators.reports import id_set_errors
 
-    got = t("orders").filter("o_orderstatus = 'F'").select((F.col("o_orderkey") % 500).alias("k"))
-    return id_set_errors(got, t("customer").filter("c_custkey < 600").select(F.col("c_custkey").alias("k")), "k")
+    got = t("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))
+    return id_set_errors(got, t("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
 
 
 @_q.add("F6_F7_arrays", """
