@@ -5,9 +5,11 @@ strings that occur in a text (those of this template and of common others) get a
 more backslashes where some stand there already; taking one away restores the text. The loss mask of a conversation is
 the prefix sum of +1 where an assistant's text starts and -1 where it ends.
 
-A turn is [TURN][role][text][END]; a role without an id of its own is [OTHER][its text][SAID]. Texts are encoded where they
-are read; one shuffle then brings a conversation's turns together, sorted, and a task streams through them. A conversation
-comes out in pieces of at most PIECE turns, so its length is not bounded by memory.
+A turn is [TURN][role][text][END]; a role without an id of its own is [OTHER][its text][SAID]. One shuffle deals the turns out
+by ranges of (conversation, turn), sorted, and each task encodes and assembles what it streams through, so a conversation
+that holds a large share of all turns is spread over many tasks. A conversation comes out in pieces of at most PIECE turns,
+numbered in its order: its length is not bounded by memory. Only reading digests back follows a conversation from its first
+turn to its last, for a SHA-256 has to; that step streams through the pieces and holds one of them at a time.
 
 Defined results: a null role or text is empty; turns stand by number, nulls first, then by role and text, and repeated
 rows are turns of their own; a null conversation id is one conversation; other columns are ignored; an empty table gives
@@ -23,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from tarnbeck.llm.bpe import PLAIN, SHOWN, coder
 from tarnbeck.llm.common import bounded_batches, stored, table
 
 PIECE = 64
+#: Pieces of one task at most.
+PER_TASK = 1 << 40
 # The template's reserved ids, counted from the vocabulary's size, and how they are shown.
 RESERVED = ["<|turn|>", "<|end|>", "<|other|>", "<|said|>", "<|system|>", "<|user|>", "<|assistant|>"]
 TURN, END, OTHER, SAID, SYSTEM, USER, ASSISTANT = range(7)
@@ -75,20 +80,15 @@ def turn_ids(role: bytes, text: bytes, role_text: str, first: int) -> tuple[np.n
 def formatted(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id_col, piece, n_turns, ids, mask): ids as little-endian unsigned 32-bit integers, mask one byte a token."""
     bounded_batches(turns.sparkSession)
-    kinds = {c: turns.schema[c].dataType.simpleString() for c in (id_col, turn_col)}
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer)
-        for b in batches:
-            roles = [escape(x or "") for x in b.column(2).to_pylist()]
-            ids = [[code.encode(x) for x in roles], [code.encode(escape(x or "")) for x in b.column(3).to_pylist()]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x or "" for x in b.column(2).to_pylist()]), *[pa.array(x, pa.binary()) for x in ids]], names=["id", "turn", "role", "role_ids", "text_ids"])
+    kind_of_id = turns.schema[id_col].dataType.simpleString()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = base_id(tokenizer)
-        now, piece, held = None, 0, []
+        code, first = coder(tokenizer), base_id(tokenizer)
+        now, held = None, []
+        piece = TaskContext.get().partitionId() * PER_TASK
 
         def out() -> pa.RecordBatch:
+            nonlocal piece
             ids = np.concatenate([x for x, _, _, _ in held])
             edge, at = np.zeros(len(ids) + 1, np.int8), 0
             for x, a, z, learned in held:
@@ -97,25 +97,24 @@ def formatted(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn_co
                     edge[at + z] -= 1
                 at += len(x)
             mask = np.cumsum(edge[:-1], dtype=np.int8).astype(np.uint8)
+            piece += 1
             return pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([piece], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], names=["id", "piece", "n_turns", "ids", "mask"])
 
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            for conv, role, role_ids, text in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
+            for conv, role, text in zip(*[b.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
                 if held and (now[0] != conv or len(held) == PIECE):
                     yield out()
-                    piece = piece + 1 if now[0] == conv else 0
                     held = []
-                now = (conv,)
-                held.append((*turn_ids(role_ids, text, role, first), role == "assistant"))
+                now, role = (conv,), role or ""
+                held.append((*turn_ids(code.encode(escape(role)), code.encode(escape(text or "")), role, first), role == "assistant"))
         if held:
             yield out()
 
-    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    coded = rows.mapInArrow(encode, f"id {kinds[id_col]}, turn {kinds[turn_col]}, role string, role_ids binary, text_ids binary")
-    dealt = coded.repartition("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text_ids")
-    return dealt.mapInArrow(assemble, f"id {kinds[id_col]}, piece long, n_turns long, ids binary, mask binary").withColumnRenamed("id", id_col)
+    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    dealt = rows.repartitionByRange("id", "turn").sortWithinPartitions("id", "turn", "role", "text")
+    return dealt.mapInArrow(assemble, f"id {kind_of_id}, piece long, n_turns long, ids binary, mask binary").withColumnRenamed("id", id_col)
 
 
 def parsed(ids: np.ndarray, mask: np.ndarray, tokenizer: str) -> Iterator[tuple[str, str, list[str], int]]:
