@@ -54,15 +54,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = F.bitmap_bit_position("bit")
     byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    rows = stored(tested.select("id", "points", F.when(hit, F.sha2("norm", 256)).alias("full_hash"), *carry), "hashes")
+    # the stored number tells repeated rows apart, so that of several with the same id exactly one is kept
+    rows = stored(tested.select("id", "points", F.when(hit, F.sha2("norm", 256)).alias("full_hash"), F.monotonically_increasing_id().alias("row"), *carry), "hashes")
 
     alone = rows.filter("full_hash is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash", *carry)
-    # repeated rows become one with a count, so that of several with the same id exactly one is kept
-    repeated = rows.filter("full_hash is not null").groupBy("full_hash", "id", "points", *carry).agg(F.count("*").alias("n"))
-    best = repeated.groupBy("full_hash").agg(F.sum("n").alias("group_size"), F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id")).alias("best"))
-    placed = repeated.join(best, "full_hash").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    stays = (F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.points"))
-    return alone.unionByName(placed.select("id", F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "full_hash", *carry)).withColumnRenamed("id", id_col)
+    grouped = rows.filter("full_hash is not null")
+    best = grouped.groupBy("full_hash").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    placed = grouped.join(best, "full_hash")
+    return alone.unionByName(placed.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "full_hash", *carry)).withColumnRenamed("id", id_col)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
