@@ -42,6 +42,8 @@ PAD = "\x02" * (ORDER - 1)
 #: grows by SHORT / sqrt(characters).
 LOWER, UPPER, SPREAD, SHORT = 15.0, 6.0, 0.02, 0.5
 LEAST_DOCS = 40
+#: Languages whose bands are broadcast at most.
+BANDS = 10_000
 FOLDS = 2
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -346,7 +348,10 @@ def banded(rows: DataFrame, names: dict[str, str], lang_col: str = "lang") -> tu
     own = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     q = F.percentile_approx(names["cost"], [0.25, 0.5, 0.75], 10_000)
     bands = rows.filter(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]))).groupBy(own.alias(lang)).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    bands = bands.select(lang, F.col("q")[1].alias(mid), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(SPREAD)).alias(spread))
+    bands = stored(bands.select(lang, F.col("q")[1].alias(mid), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(SPREAD)).alias(spread)), "bands")
+    # one row a language; joined by a broadcast of a checked size, or a language of most rows would be one task's
+    if bands.count() <= BANDS:
+        bands = F.broadcast(bands)
     out = rows.join(bands, own == F.col(lang), "left").drop(lang)
     wide = F.col(spread) + SHORT / F.sqrt(F.greatest(F.col(names["chars"]), F.lit(1)))
     return out, F.col(mid) - LOWER * wide, F.col(mid) + UPPER * wide
