@@ -309,8 +309,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         key = free_names(docs, ["row"])[0]  # ids that repeat don't tell rows apart: number the rows in a stored copy
         docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(docs, key, text_col, width, max_bits)
-    stay = stored(found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")), "stay")
-    out = docs.join(stay, F.col(key).eqNullSafe(F.col("_stays")), "left_semi")
+    # those that go are the fewer, so that often no text need be shuffled
+    gone = stored(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")), "gone")
+    out = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
     return out if key == id_col else out.drop(key)
 
 
