@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import BLANKS, stored, table
 
 PREFIX = 64
@@ -66,14 +67,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = stored(exact_groups(docs, id_col, text_col, {"sha": text_sha256(F.col(text_col)), "chars": F.length(F.coalesce(F.col(text_col), F.lit("")))}).filter("kept"), "kept")
-    k = kept.select(F.col(id_col).alias("_id"), F.col("sha").alias("_sha"), F.col("chars").alias("_chars"))
-    own = docs.withColumns({"_own_sha": text_sha256(F.col(text_col)), "_own_chars": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    out = own.join(k, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha")) & (F.col("_own_chars") == F.col("_chars")), "left_semi")
-    # only where one id has several rows of one text can more than the kept row have come through
-    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return out.drop("_own_sha", "_own_chars")
-    return out.dropDuplicates([id_col, "_own_sha", "_own_chars"]).drop("_own_sha", "_own_chars")
+    key = id_col
+    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        # ids that repeat don't tell rows apart: a stored number does, and ranks as the id does
+        key = free_names(docs, ["row"])[0]
+        order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"))
+        docs = stored(docs.withColumn(key, order), "rows")
+    gone = exact_groups(docs, key, text_col).filter(~F.col("kept")).select(F.col(key).alias("_gone"))
+    out = docs.join(stored(gone, "gone"), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return out if key == id_col else out.drop(key)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
