@@ -61,6 +61,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = rows.filter("full_hash is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash", *carry)
     grouped = rows.filter("full_hash is not null")
     best = grouped.groupBy("full_hash").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    # written first: a join right above its aggregation can't be split where a group holds many rows
+    best = stored(best, "groups")
     placed = grouped.join(best, "full_hash")
     return alone.unionByName(placed.select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "full_hash", *carry)).withColumnRenamed("id", id_col)
 
