@@ -9,9 +9,8 @@ the models have at most MODEL_ROWS entries they are broadcast; larger ones stay
 document are joined to it instead.
 
 A document's figure is its mean negative log probability a character. Each language has its own lower and upper band
-around the median of its documents: a number of spreads (from the quartiles) that widens for short texts. The bands cut off
-what no prose of that language looks like, so they are wide, the lower one wider: near copies of a sound text make each
-other likely. A language of fewer than LEAST_DOCS documents has no bands.
+around the median of its documents: a number of spreads (from the quartiles) that widens for short texts. The numbers are
+set from the labelled documents: the README has the junk and the clean documents that each rejects. A language of fewer than LEAST_DOCS documents has no bands.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own;
 repeated rows are scored each and all count in the model; an empty table gives an empty result.
@@ -40,7 +39,7 @@ HELD, CHARS = 1 << 20, 1 << 20
 PAD = "\x02" * (ORDER - 1)
 #: Bands: spreads below and above a language's median; a spread is the quartiles' distance / 1.349, SPREAD at least, and
 #: grows by SHORT / sqrt(characters).
-LOWER, UPPER, SPREAD, SHORT = 15.0, 6.0, 0.02, 0.5
+LOWER, UPPER, SPREAD, SHORT = 3.5, 3.5, 0.02, 0.5
 LEAST_DOCS = 40
 #: Languages whose bands are broadcast at most.
 BANDS = 10_000

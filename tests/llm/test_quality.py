@@ -127,3 +127,14 @@ def test_gibberish_is_rejected(spark):
     assert kept == set(range(300))
     both = [{r.doc_id: r[n["cost"]] for r in rows.collect()} for rows, n in (Q.scored(docs), Q.scored(docs, model_rows=0))]
     assert both[0] == pytest.approx(both[1], rel=1e-5)
+
+
+def test_both_bands_reject_labelled_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    rows, names = Q.scored(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows, low, high = Q.banded(rows.cache(), names)
+    rows = rows.filter(~Q.base_failed(Q.F.col(names["n_words"]), Q.F.col(names["n_repeat_words"]))).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    cost = Q.F.col(names["cost"])
+    got = {r.quality: r for r in rows.groupBy("quality").agg(Q.F.count("*").alias("n"), Q.F.count_if(cost < low).alias("low"), Q.F.count_if(cost > high).alias("high")).collect()}
+    assert got[0].low >= 1 and got[0].high >= 0.2 * got[0].n
+    assert got[1].low + got[1].high <= 0.01 * got[1].n
