@@ -10,7 +10,8 @@ document are joined to it instead.
 
 A document's figure is its mean negative log probability a character. Each language has its own lower and upper band
 around the median of its documents: a number of spreads (from the quartiles) that widens for short texts. The numbers are
-set from the labelled documents: the README has the junk and the clean documents that each rejects. A language of fewer than LEAST_DOCS documents has no bands.
+set from the labelled documents: the README has the junk and the clean documents that each rejects. A language of fewer than LEAST_DOCS documents has the bands of all
+languages' documents together.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own;
 repeated rows are scored each and all count in the model; an empty table gives an empty result.
@@ -346,12 +347,17 @@ def banded(rows: DataFrame, names: dict[str, str], lang_col: str = "lang") -> tu
     lang, mid, spread = free_names(rows, ["band_lang", "band_mid", "band_spread"])
     own = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     q = F.percentile_approx(names["cost"], [0.25, 0.5, 0.75], 10_000)
-    bands = rows.filter(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]))).groupBy(own.alias(lang)).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    bands = stored(bands.select(lang, F.col("q")[1].alias(mid), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(SPREAD)).alias(spread)), "bands")
+    passed = rows.filter(~base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"])))
+    both = [F.col("q")[1].alias(mid), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(SPREAD)).alias(spread)]
+    bands = passed.groupBy(own.alias(lang)).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    bands = stored(bands.select(lang, *both), "bands")
+    pooled = passed.agg(q.alias("q")).select(*both).first()
     # one row a language; joined by a broadcast of a checked size, or a language of most rows would be one task's
     if bands.count() <= BANDS:
         bands = F.broadcast(bands)
     out = rows.join(bands, own == F.col(lang), "left").drop(lang)
+    for c in (mid, spread):
+        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(pooled[c]).cast("double")))
     wide = F.col(spread) + SHORT / F.sqrt(F.greatest(F.col(names["chars"]), F.lit(1)))
     return out, F.col(mid) - LOWER * wide, F.col(mid) + UPPER * wide
 

@@ -138,3 +138,12 @@ def test_both_bands_reject_labelled_junk(spark):
     got = {r.quality: r for r in rows.groupBy("quality").agg(Q.F.count("*").alias("n"), Q.F.count_if(cost < low).alias("low"), Q.F.count_if(cost > high).alias("high")).collect()}
     assert got[0].low >= 1 and got[0].high >= 0.2 * got[0].n
     assert got[1].low + got[1].high <= 0.01 * got[1].n
+
+
+def test_gibberish_of_a_rare_language_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    good = [" ".join(rng.choice(["the", "and", "river", "stone", "water", "light", "over", "under"], 60)) for _ in range(302)]
+    bad = " ".join("".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, 3)) for _ in range(66))
+    langs = ["en"] * 300 + ["xx", None, "xx"]
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(zip([*good, bad], langs, strict=True))], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in Q.keep_good(docs).collect()} == set(range(302))
