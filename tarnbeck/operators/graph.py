@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.sources.folders import stored
+
 
 def _stored(df: DataFrame) -> DataFrame:
-    """A step's rows written to the shared folder and read back, so that a lineage never grows with the depth."""
-    spark: SparkSession = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(top := tempfile.mkdtemp(prefix="tarnbeck-"))
-    path = f"{top.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A step's rows, so that a lineage never grows with the depth."""
+    return stored(df, "graph")
 
 
 def lifted(edges: DataFrame, from_files: DataFrame, to_files: DataFrame, imports: DataFrame) -> DataFrame:

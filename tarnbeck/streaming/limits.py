@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        spark.sparkContext.setCheckpointDir(top := tempfile.mkdtemp(prefix="tarnbeck-"))
-        top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from tarnbeck.sources.folders import new_folder
 
 
 def admit(recent: list[float], at: float, window: float, most: int) -> tuple[list[float], bool, float]:
