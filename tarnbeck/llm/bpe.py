@@ -1,77 +1,63 @@
-"""Byte-level BPE through the tokenizers library, with a bounded cache of words in each worker.
+"""Byte-level BPE through the tokenizers library, by pieces.
 
-The pre-tokeniser of a byte-level model never lets a token cross a single space between two non-blank characters, so a
-text may be cut there and each distinct piece encoded once per worker by the library's own pre-tokeniser and model. Texts
-where a space meets another blank are cut only at the spaces where that holds. Models of another make are encoded whole.
+The pre-tokeniser of a byte-level model never lets a token cross a single space or line end between two characters that are not
+blank, nor run from a letter into a mark, so a text may be cut there and each distinct piece encoded once per worker by the
+library's own pre-tokeniser and model. Where a space or line end meets another blank, or a character of which the bytes alone do
+not tell whether it is one, the text is not cut. Models of another make are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
-import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+
+from tarnbeck.llm.pieces import Cache, buffer_of, encoded
 
-#: Pieces that a worker's cache holds at most (about 200 bytes each).
-CACHED = 800_000
-#: Longest word with punctuation after it that is held as one piece; longer ones are put together again each time.
-WHOLE = 8
-#: Longest piece, in characters, that the cache takes.
-LONGEST = 48
 #: Below it, all versions of Unicode agree which characters are letters.
-LATIN_END = "\u0250"
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: A word and the marks after it: the pre-tokeniser parts them there, and the marks are one piece.
-MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+LATIN_END = "ɐ"
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 # Fixed rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(PLAIN))}
-
-
-class Blank(Exception):
-    """A piece that is empty or has a blank at an end: the text can't be cut at every space."""
-
-
-class Pieces(dict):
-    """Ids of " " + piece as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, coder: Coder):
-        self.coder = coder
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise Blank
-        if max(piece) >= LATIN_END:
-            ids = self.coder.plain(" " + piece)
-        elif piece.isalpha():
-            ids = self.coder.word("Ġ" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)))
-        elif found := MARKED.fullmatch(piece):
-            word, marks = found.groups()
-            ids = (self[word] if word.isalpha() else self.coder.plain(" " + word)) + self.coder.marks[marks]
-            if len(piece) > WHOLE:
-                return ids
-        else:
-            ids = self.coder.plain(" " + piece)
-        if len(self) < CACHED and len(piece) <= LONGEST:
-            self[piece] = ids
-        return ids
-
-
-class Marks(dict):
-    """Ids of runs of marks that follow a word."""
-
-    def __init__(self, coder: Coder):
-        self.coder = coder
-
-    def __missing__(self, marks: str) -> bytes:
-        ids = self.coder.plain(marks)
-        if len(self) < CACHED // 100 and len(marks) <= LONGEST:
-            self[marks] = ids
-        return ids
+# Kinds of bytes: ASCII letters, ASCII marks, and first bytes of two-byte characters none of which is a blank.
+ASCII = [chr(b) for b in range(33, 127)]
+LETTER = np.isin(np.arange(256), [ord(c) for c in ASCII if c.isalpha()])
+MARK = np.isin(np.arange(256), [ord(c) for c in ASCII if not c.isalnum()])
+LEAD = (np.arange(256) >= 0xC3) & (np.arange(256) <= 0xDF)
+SOLID = np.isin(np.arange(256), list(map(ord, ASCII)))
+TRAIL = (np.arange(256) >= 0x80) & (np.arange(256) <= 0xBF)
+
+
+def pad(data: np.ndarray) -> np.ndarray:
+    """The bytes with two before and one after, so that every byte has neighbours; none of them is a blank."""
+    return np.concatenate((np.full(2, 33, np.uint8), data, np.full(1, 33, np.uint8)))
+
+
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Marks the bytes before which the pre-tokeniser always cuts."""
+    cut, wide = np.zeros(len(data) + 1, bool), pad(data)
+
+    def after_solid(at: np.ndarray) -> np.ndarray:
+        one, two = wide[at + 1], wide[at]
+        return SOLID[one] | TRAIL[one] & LEAD[two]
+
+    for blank in (0x20, 0x0A):
+        at = np.flatnonzero(data == blank)
+        following = wide[at + 3]
+        at = at[after_solid(at) & (SOLID[following] | LEAD[following])]
+        cut[at] = True
+        if blank == 0x0A:
+            cut[at + 1] = True
+    at = np.flatnonzero(MARK[data])
+    one, two = wide[at + 1], wide[at]
+    # the letters from U+00C0 to U+00FF, but for the signs of multiplication and division
+    latin = (two == 0xC3) & TRAIL[one] & (one != 0x97) & (one != 0xB7)
+    cut[at[LETTER[one] | latin]] = True
+    return cut[:-1]
 
 
 class Coder:
@@ -88,29 +74,32 @@ class Coder:
         pre = made.get("pre_tokenizer") or {}
         self.cut = not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
         if self.cut:
-            self.model._resize_cache(0)  # each piece comes here once; Pieces remembers it
-        self.pieces, self.marks = Pieces(self), Marks(self)
+            self.model._resize_cache(0)  # each piece comes here once; the cache of pieces remembers it
+        self.known = Cache(lambda pieces: list(map(self._piece, pieces)))
 
-    def word(self, mapped: str) -> bytes:
+    def _word(self, mapped: str) -> bytes:
         ids = [x.id for x in self.model.tokenize(mapped)]
         return PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
-    def plain(self, text: str) -> bytes:
-        return b"".join([self.word(mapped) for mapped, _ in self.splitter.pre_tokenize_str(text)])
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        word = text.removeprefix(" ")
+        if word.isalpha() and max(word) < LATIN_END:  # one word: what the pre-tokeniser would do to it is known
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+            return self._word("Ġ" + shown if len(text) > len(word) else shown)
+        return b"".join([self._word(mapped) for mapped, _ in self.splitter.pre_tokenize_str(text)])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids start (and the last one's end); null is empty."""
+        if self.cut:
+            data, starts = buffer_of(texts)
+            return encoded(data, starts, safe_cuts(data), self.known)
+        some = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate(some) if some else np.empty(0, np.uint32), np.concatenate(([0], np.cumsum(list(map(len, some))))).astype(np.int64)
 
-    def encode(self, text: str) -> bytes:
-        if not self.cut:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        try:
-            if not first or first[-1].isspace():
-                raise Blank
-            return self.plain(first) + b"".join(map(self.pieces.__getitem__, rest))
-        except Blank:
-            first, *rest = SAFE.split(text)
-            return self.plain(first) + b"".join([self.plain(" " + x) if x[-1].isspace() or " " in x else self.pieces[x] for x in rest])
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        ids, at = self.encode_column(pa.array(texts, pa.large_string()))
+        return np.split(ids, at[1:-1]) if texts else []
 
 
 @cache
@@ -119,5 +108,6 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and starts of texts (of ``encode_column``) with ``end_id`` put after each text."""
+    return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))

@@ -68,13 +68,12 @@ def token_bytes(tokenizer: str) -> list[bytes]:
     return out
 
 
-def turn_ids(role: bytes, text: bytes, role_text: str, first: int) -> tuple[np.ndarray, int, int]:
+def turn_ids(role: np.ndarray, text: np.ndarray, role_text: str, first: int) -> tuple[np.ndarray, int, int]:
     """A turn's ids, and where its text starts and ends."""
     kind = ROLES.get(role_text)
-    said = [kind + first] if kind is not None else [OTHER + first, *np.frombuffer(role, "<u4").tolist(), SAID + first]
+    said = [kind + first] if kind is not None else [OTHER + first, *role.tolist(), SAID + first]
     head = np.array([TURN + first, *said], np.uint32)
-    body = np.frombuffer(text, "<u4")
-    return np.concatenate([head, body, np.array([END + first], np.uint32)]), len(head), len(head) + len(body)
+    return np.concatenate([head, text, np.array([END + first], np.uint32)]), len(head), len(head) + len(text)
 
 
 def formatted(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -103,12 +102,16 @@ def formatted(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn_co
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            for conv, role, text in zip(*[b.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+            roles = [r or "" for r in b.column(2).to_pylist()]
+            names = list(dict.fromkeys(roles))
+            said = dict(zip(names, code.encode_all(list(map(escape, names))), strict=True))
+            texts = code.encode_all([escape(t or "") for t in b.column(3).to_pylist()])
+            for conv, role, text in zip(b.column(0).to_pylist(), roles, texts, strict=True):
                 if held and (now[0] != conv or len(held) == PIECE):
                     yield out()
                     held = []
-                now, role = (conv,), role or ""
-                held.append((*turn_ids(code.encode(escape(role)), code.encode(escape(text or "")), role, first), role == "assistant"))
+                now = (conv,)
+                held.append((*turn_ids(said[role], text, role, first), role == "assistant"))
         if held:
             yield out()
 
@@ -141,7 +144,7 @@ def parsed(ids: np.ndarray, mask: np.ndarray, tokenizer: str) -> Iterator[tuple[
 
 def digests(pieces: DataFrame, tokenizer: str, id_col: str = "conv_id") -> DataFrame:
     """Of each conversation, read back from its pieces: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    bounded_batches(pieces.sparkSession, 64)
+    bounded_batches(pieces.sparkSession)
     kind = pieces.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,54 +1,35 @@
-"""What the operators of this subpackage share: shared tables, batch bounds, table reading."""
+"""What the operators of this subpackage share: table reading, tables stored between steps, bounds of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnbeck.sources.folders import new_folder, stored
+
+__all__ = ["BLANKS", "bounded_batches", "new_folder", "stored", "table", "texts_of"]
+
 #: The characters that separate words, in every operator: space and \t \n \v \f \r.
 BLANKS = "\t\n\x0b\x0c\r "
 
-#: Rows of one Arrow batch. Texts may be long, so a batch is kept to a few hundred of them.
-ROWS_PER_BATCH = 256
+#: Rows and bytes of one Arrow batch at most. A text longer than that is a batch of its own.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (local tests) is one made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarnbeck-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tarnbeck-{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches small: a worker holds one batch at a time, and texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def record_batch(columns: dict[str, tuple]) -> pa.RecordBatch:
-    """{name: (values, Arrow type)} as one batch."""
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in columns.values()], names=list(columns))
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to the bounds above, by rows and by bytes, where they are larger: a worker holds one
+    batch at a time, and texts can be very long. The settings are read when a job runs, so they stay."""
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:

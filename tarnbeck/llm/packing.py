@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.bpe import coder
+from tarnbeck.llm.bpe import coder, with_end
 from tarnbeck.llm.common import bounded_batches, table
 
 SIZE, END_ID = 2048, 1
@@ -86,7 +86,6 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     """One row for each piece: id_col, start, length, doc_tokens, sequence_id, offset and ids, the piece's ids as
     little-endian unsigned 32-bit integers."""
     bounded_batches(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, packer = coder(tokenizer), Packer(size, TaskContext.get().partitionId() * PER_TASK)
@@ -104,17 +103,17 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
         for b in batches:
             kind = b.column(0).type
             full: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = code.encode(text or "") + end
-                total = len(data) // 4
+            flat, at = with_end(*code.encode_column(b.column(1)), end_id)
+            for doc, a, z in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                total = z - a
                 whole = total - total % size
                 for k in range(0, whole, size):
-                    full.append((doc, k, size, total, data[4 * k : 4 * (k + size)]))
+                    full.append((doc, k, size, total, flat[a + k : a + k + size].tobytes()))
                     if len(full) == 512:
                         yield out(full)
                         full = []
                 if whole < total:
-                    rest.append((doc, whole, total - whole, total, data[4 * whole :]))
+                    rest.append((doc, whole, total - whole, total, flat[a + whole : z].tobytes()))
                     held += total - whole
             if full:
                 yield out(full)
@@ -150,5 +149,3 @@ def brute_fit(lengths: list[int], size: int) -> list[tuple[int, int]]:
         out.append((w, size - rooms[w]))
         rooms[w] -= n
     return out
-
-

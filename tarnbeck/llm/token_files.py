@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.bpe import coder
-from tarnbeck.llm.common import bounded_batches, new_path, table
+from tarnbeck.llm.bpe import coder, with_end
+from tarnbeck.llm.common import bounded_batches, new_folder, table
 
 END_ID = 0
 #: Encodings of the ids' pages: by dictionary while its page is small, or the second format's delta encoding.
@@ -35,17 +35,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Write (id_col, part, start_in_part, n_tokens, ids) to ``path`` in ascending order of the id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, before = coder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            data = [code.encode(t or "") + end for t in b.column(1).to_pylist()]
-            sizes = np.array([len(d) // 4 for d in data], np.int64)
-            starts = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(data), part, np.int32)), pa.array(starts), pa.array(sizes), lists], names=["id", "part", "start_in_part", "n_tokens", "ids"])
+            ids, at = with_end(*code.encode_column(b.column(1)), end_id)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at)), lists], names=["id", "part", "start_in_part", "n_tokens", "ids"])
+            before += int(at[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
     # rows of one id may be many: their place in the input breaks the tie, so that a range can end among them
@@ -75,14 +72,14 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
 
 def list_crc32(lists: pa.Array) -> list[int]:
     """CRC-32 of each list's ids as little-endian unsigned 32-bit integers."""
-    flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
-    return [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    flat, ends = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4"), lists.offsets.to_numpy()
+    return [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = new_path(spark, "tokens")
+    path = new_folder(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
