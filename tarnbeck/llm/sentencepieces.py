@@ -2,8 +2,9 @@
 
 The model's protobuf is parsed here; from its pieces, scores and normaliser settings a tokenizer is rebuilt: precompiled
 normaliser, marker for spaces, unigram scores or, for a BPE model, merges ranked by score, and byte fallback. Where no
-piece has the marker inside, a text may be cut before each marker, and a worker encodes each distinct cut once: what an
-Arrow batch has that its bounded cache lacks goes to the library as one batch, which it spreads over its threads.
+piece has the marker inside, a text may be cut before each marker, and with byte fallback also between any two characters
+that stand side by side in no piece. A worker encodes each distinct cut once: what an Arrow batch has that its bounded cache
+lacks goes to the library as one batch, which it spreads over its threads.
 
 Parity is verified row by row against the sentencepiece library: ids, and the text decoded from them.
 
@@ -13,23 +14,19 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tarnbeck.llm.columns import with_python_columns
-from tarnbeck.llm.common import table
+from tarnbeck.llm.common import bounded_batches, table
+from tarnbeck.llm.pieces import Cache, buffer_of, encoded, gathered
 
 MARK = "▁"
-#: Cuts that a worker's cache holds at most, and the longest that it takes.
-CACHED, LONGEST = 500_000, 48
 # Kinds of pieces and models in the protobuf.
 UNKNOWN, CONTROL, USER, BYTE = 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -117,7 +114,8 @@ class Coder:
             self.tokenizer.add_tokens(own)
         # a text may be cut before a marker if no piece reaches over it
         self.cut = m.marks and not own and not any(MARK in p.lstrip(MARK) for p in vocab)
-        self.known: dict[str, bytes] = {}
+        self.apart = self._apart(vocab) if m.byte_fallback else np.zeros((256, 256), bool)
+        self.known = Cache(self._pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         self.bytes[m.unknown] = m.unknown_shown.encode()
 
@@ -130,33 +128,53 @@ class Coder:
         text = (" " if self.model.prefix else "") + text
         return text.replace(" ", MARK) if self.model.marks else text
 
+    @staticmethod
+    def _apart(vocab: list[str]) -> np.ndarray:
+        """[a, b]: no piece has byte a right before byte b, and b can start a character."""
+        apart = np.ones((256, 256), bool)
+        for p in vocab:
+            x = np.frombuffer(p.encode(), np.uint8)
+            apart[x[:-1], x[1:]] = False
+        apart[:, 0x80:0xC0] = False
+        return apart
+
+    def _pieces(self, cuts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in cuts], add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Marks the bytes before which a prepared text may be cut."""
+        cut = np.zeros(len(data), bool)
+        if not self.cut or len(data) < 3:
+            return cut
+        cut[1:] = self.apart[data[:-1], data[1:]]
+        marks = np.flatnonzero(data == 0xE2)
+        marks = marks[marks < len(data) - 2]
+        at = np.zeros(len(data) + 3, bool)
+        at[marks[(data[marks + 1] == 0x96) & (data[marks + 2] == 0x81)] + 3] = True
+        first = at[3:] & ~at[:-3]  # several markers on end stay together
+        return (cut | first) & ~(at[3:] & at[:-3])
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's ids start (and the last one's end)."""
+        data, starts = buffer_of(pa.array([self.prepared(t or "") for t in texts.to_pylist()], pa.large_string()))
+        return encoded(data, starts, self._cuts(data), self.known)
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cuts = [self._cuts(self.prepared(t)) for t in texts]
-        new = list({c for some in cuts for c in some if c not in self.known})
-        fresh = {}
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            fresh[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        room = CACHED - len(self.known)
-        for c in new[: max(room, 0)]:
-            if len(c) <= LONGEST:
-                self.known[c] = fresh[c]
-        known = self.known
-        return [b"".join([known[c] if c in known else fresh[c] for c in some]) for some in cuts]
-
-    def _cuts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.cut:
-            return [text]
-        first, *rest = text.split(MARK)
-        if "" in rest:  # several spaces on end stay together
-            return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text)
-        return ([first] if first else []) + [MARK + x for x in rest]
+        ids, at = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def decode_column(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The texts' bytes, from ids and starts as ``encode_column`` gives them."""
+        shown, ends = gathered(self.bytes, ids)
+        blob, edges = shown.tobytes(), ends[at].tolist()
+        skip = [1 if self.model.prefix and blob[a : min(a + 1, z)] == b" " else 0 for a, z in zip(edges, edges[1:], strict=False)]
+        return [blob[a + k : z] for k, a, z in zip(skip, edges, edges[1:], strict=False)]
 
     def decode(self, ids: bytes) -> str:
-        out = b"".join(map(self.bytes.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids))).decode(errors="replace")
-        return out[1:] if self.model.prefix and out[:1] == " " else out
+        own = np.frombuffer(ids, "<u4")
+        return self.decode_column(own, np.array([0, len(own)]))[0].decode(errors="replace")
 
 
 @cache
@@ -169,23 +187,21 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
+    bounded_batches(spark)
 
-    def work():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         own, theirs = coder(path), sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def made(texts: list[str]) -> list[pa.Array]:
-            ids = own.encode_batch(texts)
-            want = [struct.pack(f"<{len(x)}I", *x) for x in theirs.encode(texts, num_threads=1)]
-            back = [own.decode(x) for x in ids]
-            return [
-                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                pa.array([a == b for a, b in zip(back, texts, strict=True)]), pa.array([a == b for a, b in zip(ids, want, strict=True)]),
-            ]
-
-        return made
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids, at = own.encode_column(b.column(1))
+            each = [ids[a:z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            parity = [np.array_equal(x, theirs.encode_as_numpy(t)) for x, t in zip(each, texts, strict=True)]
+            back = [x == t.encode() for x, t in zip(own.decode_column(ids, at), texts, strict=True)]
+            crc = pa.array([zlib.crc32(x) for x in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), crc, pa.array(back, pa.bool_()), pa.array(parity, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip", "parity"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kinds = [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType()), ("parity", T.BooleanType())]
-    return with_python_columns(docs, "text", kinds, work).select("doc_id", *[F.col(n) for n, _ in kinds])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean, parity boolean")
