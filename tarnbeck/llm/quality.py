@@ -2,8 +2,8 @@
 
 The model is modified Kneser-Ney with interpolation. Spark counts the 4-grams of all documents (each task sums its own
 before the shuffle), derives the continuation counts of the lower orders, the discounts and the interpolated
-probabilities with joins, and stores the model as sorted arrays: an n-gram is hashed without loss to a 64-bit key, 16 bits
-a character, and looked up by binary search. A text would look likely to a model that has counted it, so there are two, each
+probabilities with joins, and stores the model as sorted arrays: an n-gram is hashed to a 64-bit key, 16 bits a character
+(without loss for characters below U+10000), and looked up by binary search. A text would look likely to a model that has counted it, so there are two, each
 of the texts of one fold (by a hash of the text, so copies stay together), and a text is scored by the other fold's. While
 the models have at most MODEL_ROWS entries they are broadcast; larger ones stay a table, and the distinct 4-grams of each
 document are joined to it instead.
@@ -284,7 +284,8 @@ def joined_costs(docs: DataFrame, row_col: str, text_col: str, model: DataFrame)
 
     kind = docs.schema[row_col].dataType.simpleString()
     rows = docs.select(row_col, text_col).mapInArrow(run, f"{row_col} {kind}, fold int, key long, n long").withColumns({"log_p": F.lit(0.0), "open": F.lit(True)})
-    level = lambda k: model.filter(F.col("kind") == k)
+    # values in single precision, as the arrays hold them, so that both ways give one figure
+    level = lambda k: model.filter(F.col("kind") == k).withColumn("value", F.col("value").cast("float").cast("double"))
     for n in range(ORDER, 0, -1):
         cut = F.col("key").bitwiseAND((1 << 16 * n) - 1) if n < ORDER else F.col("key")
         rows = rows.withColumn("at", cut).join(level(n).select("fold", F.col("key").alias("at"), F.col("value").alias("v")), ["fold", "at"], "left")

@@ -10,6 +10,12 @@ avoided instead of being paired.
 Only distinct fingerprints are probed; documents that share one are joined to its component afterwards, so groups of
 copies cost nothing here. Components are found by alternating large-star and small-star steps in the shared folder.
 
+``near_duplicates`` links by one fingerprint of word shingles. ``keep_one`` means texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more. One changed word changes five shingles, so the fingerprints of such sets are too far
+apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the distinct words, which hardly moves, and
+verifies by a second one of SHINGLE_BITS bits of the distinct shingles, in the join as well: a similarity of 0.8 is expected
+at 0.15 of its bits. Both limits are parameters; the README has the recall and what else they link.
+
 Defined results: a null or word-less text has fingerprint zero and links like any other; a null doc_id never is a
 component's id unless the component has no other (then it is null); repeated rows are all returned; an empty table gives
 an empty result; other columns of the input are ignored.
@@ -31,6 +37,8 @@ from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
 
 BITS, SEED = 64, 42
+#: Near duplicates: words of a shingle, most differing bits of the words' fingerprint and of the shingles' one, and its bits.
+WIDTH, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 7, 22, 128
 #: Bits of a block whose value counts are kept for the estimates: 2**11 counts for each of six blocks at most a part.
 BLOCK = 11
 #: What one probe, a shuffled row, costs in candidates, which are compared where they meet.
@@ -76,6 +84,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def majority(digests: bytes, size: int) -> bytes:
+    """Bit by bit, what over half of the digests of ``size`` bytes have."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, size)
+    ones = np.zeros(8 * size, np.int64)
+    for k in range(0, len(rows), 1 << 16):
+        ones += np.unpackbits(rows[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows)).tobytes()
+
+
+def near_prints(text: bytes, width: int = WIDTH) -> bytes:
+    """A text's fingerprint of distinct words (8 bytes) and that of distinct shingles (SHINGLE_BITS / 8 bytes)."""
+    words = text.lower().split()
+    n = max(len(words) - width + 1, 1 if words else 0)
+    shingles = {b" ".join(words[k : k + width]) for k in range(n)}
+    own, wide = xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    return majority(b"".join([own(w, SEED) for w in set(words)]), 8) + majority(b"".join([wide(x, SEED) for x in shingles]), SHINGLE_BITS // 8)
+
+
+NEAR = [f"near{k}" for k in range(SHINGLE_BITS // 64)]
+
+
+def near_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, fp, near0, near1): ``near_prints`` as signed longs, one row for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.frombuffer(b"".join([near_prints(t, width) for t in texts_of(b.column(1))]), "<i8").reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in found.T.copy()]], names=["id", "fp", *NEAR])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp long, {', '.join(f'{c} long' for c in NEAR)}")
+
+
 def bits_of(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -192,7 +234,7 @@ def choose_thresholds(values: list[np.ndarray], groups: list[list[int]], shares:
     return out
 
 
-def part_count(rows: int, max_bits: int) -> int:
+def part_count(rows: int, max_bits: int, probe_cost: int = PROBE_COST) -> int:
     """How many parts cost least for this many fingerprints, were their bits even: few wide parts need more probes and
     meet fewer candidates."""
 
@@ -200,22 +242,27 @@ def part_count(rows: int, max_bits: int) -> int:
         width, extra = BITS / parts, max_bits - parts + 1
         each = [extra // parts + (k < extra % parts) for k in range(parts)]
         probes = sum(math.comb(round(width), d) for t in each for d in range(t + 1))
-        return probes * (PROBE_COST + rows / 2**width)
+        return probes * (probe_cost + rows / 2**width)
 
     return min(range(2, max_bits + 2), key=cost)
 
 
-def links(fps: DataFrame, rows: int, max_bits: int = 3) -> DataFrame:
-    """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits."""
-    parts = part_count(rows, max_bits)
+def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] = (), near_bits: int = 0) -> DataFrame:
+    """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits. With
+    ``near``, ``fps`` is (node, fp, near...), u and v are nodes, and the bits that differ in those columns are at most near_bits."""
+    node = "node" if near else "fp"
+    carried = list(dict.fromkeys([node, "fp", *near]))
+    # a wider row costs more to shuffle
+    parts = part_count(rows, max_bits, PROBE_COST * len(carried) ** 2)
     groups = deal_bits(co_occurrence(fps), rows, parts)
     shares = {(g, a): near_shares(c, len(c).bit_length() - 1, max_bits) for (g, a), c in block_counts(fps, groups).items()}
     flips = [masks(len(g), max_bits) for g in groups]
+    at_fp = carried.index("fp")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            values = part_values(fp, groups)
+            own = [c.to_numpy() for c in b.columns]
+            values = part_values(own[at_fp], groups)
             limits = choose_thresholds(values, groups, shares, rows, max_bits)
             for g in range(parts):
                 for t in range(max_bits + 1):
@@ -224,18 +271,20 @@ def links(fps: DataFrame, rows: int, max_bits: int = 3) -> DataFrame:
                     for k in range(0, len(at), step := max(1, (1 << 18) // len(m))):
                         some = at[k : k + step]
                         key = (values[g][some, None] ^ m[None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), pa.array(np.repeat(fp[some], len(m)))], names=["key", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[pa.array(np.repeat(x[some], len(m))) for x in own]], names=["key", *carried])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0)
-            for g, v in enumerate(part_values(fp.to_numpy(), groups)):
-                yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), fp], names=["key", "fp"])
+            for g, v in enumerate(part_values(b.column(at_fp).to_numpy(), groups)):
+                yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *carried])
 
-    q = fps.select("fp").mapInArrow(probe, "key long, fp long").alias("q")
-    x = fps.select("fp").mapInArrow(index, "key long, fp long").alias("x")
-    met = q.join(x, (F.col("q.key") == F.col("x.key")) & (F.col("q.fp") < F.col("x.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= max_bits))
-    return met.select(F.col("q.fp").alias("u"), F.col("x.fp").alias("v")).mapInArrow(folded, "u long, v long")
+    schema = ", ".join(f"{c} long" for c in ["key", *carried])
+    q, x = fps.select(carried).mapInArrow(probe, schema).alias("q"), fps.select(carried).mapInArrow(index, schema).alias("x")
+    differ = lambda c: F.bit_count(F.col(f"q.{c}").bitwiseXOR(F.col(f"x.{c}")))
+    linked = (F.col("q.key") == F.col("x.key")) & (F.col(f"q.{node}") < F.col(f"x.{node}")) & (differ("fp") <= max_bits)
+    if near:
+        linked &= sum([differ(c) for c in near], F.lit(0)) <= near_bits
+    return q.join(x, linked).select(F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")).mapInArrow(folded, "u long, v long")
 
 
 def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,16 +351,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), hex64("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """Of each component, the row of ``docs`` with the least id, with all its columns."""
-    key = id_col
-    if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
-        key = free_names(docs, ["row"])[0]  # ids that repeat don't tell rows apart: number the rows in a stored copy
-        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(docs, key, text_col, width, max_bits)
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, word_limit: int = WORD_LIMIT, shingle_limit: int = SHINGLE_LIMIT) -> DataFrame:
+    """(id_col, keep_id), one row for each row of ``docs``: the least id, nulls last, of its group of near duplicates."""
+    order = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"))
+    rows = stored(near_fingerprints(docs, id_col, text_col, width), "fingerprints")
+    distinct = rows.groupBy("fp", *NEAR).agg(F.min(order("id")).alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = stored(distinct, "distinct")
+    roots = components(links(distinct, distinct.count(), word_limit, tuple(NEAR), shingle_limit))
+    rooted = stored(distinct.join(roots, "node", "left").select("fp", *NEAR, "least", F.coalesce("root", "node").alias("root")), "rooted")
+    keep = rooted.groupBy("root").agg(F.min("least").alias("keep"))
+    of_print = rooted.join(keep, "root").select("fp", *NEAR, F.col("keep.id").alias("keep_id"))
+    return rows.join(of_print, ["fp", *NEAR]).select(F.col("id").alias(id_col), "keep_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, word_limit: int = WORD_LIMIT, shingle_limit: int = SHINGLE_LIMIT) -> DataFrame:
+    """Of each group of near duplicates, the row of ``docs`` with the least id, nulls last, with all its columns; of repeated
+    rows with that id, one."""
+    key, gone_key = free_names(docs, ["row", "gone"])
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        key = id_col
+    else:
+        # ids that repeat don't tell rows apart: a stored number does, and ranks as the id does
+        order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n"))
+        docs = stored(docs.withColumn(key, order), "rows")
+    found = near_groups(docs, key, text_col, width, word_limit, shingle_limit)
     # those that go are the fewer, so that often no text need be shuffled
-    gone = stored(found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")), "gone")
-    out = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = stored(found.filter(~F.col(key).eqNullSafe(F.col("keep_id"))).select(F.col(key).alias(gone_key)), "gone")
+    out = docs.join(gone, F.col(key).eqNullSafe(F.col(gone_key)), "left_anti")
     return out if key == id_col else out.drop(key)
 
 

@@ -8,7 +8,8 @@ of a hash of their id, so the sample's size is bounded and does not depend on th
 (mod 5 = 1) fits the calibration alone. Scoring is one pass over each row, without a shuffle.
 
 Labels, language, source and id are never inputs of a score. Defined results: a null or empty text has all features 0 and
-gets the score of such texts; conflicting labels of one id count as toxic, null labels are ignored; repeated rows are scored
+gets the score of such texts; conflicting labels of one id count as toxic, null labels are ignored, of
+several texts of one id the greatest is learned from; repeated rows are scored
 each; with no labels of both kinds every score is 0; an empty table gives an empty result.
 """
 
@@ -108,10 +109,10 @@ def fold(id_col: Column) -> Column:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = FIT_ROWS) -> DataFrame:
-    """(id, text, label, fold) of at most ``most`` labelled rows that may be learned from."""
+    """(id, text, label, fold) of at most ``most`` labelled ids that may be learned from; of an id's texts the greatest."""
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     ids = ids.withColumn("fold", fold(F.col("id"))).filter("fold <> 0").orderBy(F.xxhash64("id"), "id").limit(most)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").groupBy("id", "label", "fold").agg(F.max("text").alias("text"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:

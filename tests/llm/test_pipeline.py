@@ -4,7 +4,7 @@ import corpus_pipeline as C
 from tarnbeck.llm import toxicity as X
 from tests.llm.data import SCHEMA, empty
 from tests.llm.test_quality import plain_counts
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import near_roots
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def test_stages_against_plain_versions(spark):
                 best.setdefault(norm(r.text), []).append((-len(r.text), r.doc_id))
             assert ids == {min(v)[1] for v in best.values()}
         elif name == "simhash_near_dedup":
-            roots = plain_components([plain_fingerprint(r.text) for r in before])
+            roots = near_roots([r.text for r in before])
             assert ids == {before[k].doc_id for k in set(roots)}
         else:
             assert ids == {r.doc_id for r in before}

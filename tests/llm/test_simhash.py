@@ -54,7 +54,7 @@ def test_query_equals_brute_force(spark):
 
 @pytest.mark.parametrize("parts", [2, 3, 4])
 def test_links_are_complete_whatever_the_parts(spark, parts, monkeypatch):
-    monkeypatch.setattr(S, "part_count", lambda rows, most: parts)
+    monkeypatch.setattr(S, "part_count", lambda *_: parts)
     rng = np.random.default_rng(parts)
     seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     fps = set(seeds.tolist())
@@ -96,10 +96,70 @@ def test_awkward_rows(spark):
     assert S.near_duplicates(empty(spark)).count() == 0
 
 
-def test_keep_one(spark):
+def plain_near(text: str) -> tuple[int, int]:
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    shingles = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({b" ".join(words)} if words else set())
+    own = [xxhash.xxh64_intdigest(w, seed=42) for w in set(words)]
+    wide = [xxhash.xxh3_128_intdigest(x, seed=42) for x in shingles]
+    return tuple(sum(1 << b for b in range(n) if 2 * sum(x >> b & 1 for x in h) > len(h)) for n, h in ((64, own), (128, wide)))
+
+
+def near_roots(texts: list[str]) -> list[int]:
+    prints = [plain_near(t) for t in texts]
+    out = list(range(len(texts)))
+
+    def root(x):
+        while out[x] != x:
+            x = out[x]
+        return x
+
+    for i, (a, x) in enumerate(prints):
+        for j, (b, y) in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= S.WORD_LIMIT and (x ^ y).bit_count() <= S.SHINGLE_LIMIT and root(i) != root(j):
+                lo, hi = sorted((root(i), root(j)))
+                out[hi] = lo
+    return [root(i) for i in range(len(texts))]
+
+
+def test_keep_one_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    want = {docs[r].doc_id for r in near_roots([d.text for d in docs])}
+    assert {r.doc_id for r in S.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect()} == want
+
+
+def test_near_groups_hold_the_pairs_of_similar_texts(spark):
+    """Recall of pairs whose five-word shingles have a Jaccard similarity of 0.8 or more, among made copies."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        words = rng.choice(vocabulary, rng.integers(60, 400)).tolist()
+        copy = list(words)
+        for _ in range(max(1, len(words) // 60)):
+            copy[rng.integers(len(copy))] = "changed"
+        texts += [" ".join(words), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keep = {r.doc_id: r.keep_id for r in S.near_groups(df).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    close = [k for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert len(close) > 30 and sum(keep[k] == keep[k + 1] == k for k in close) >= 0.8 * len(close)
+    assert all(keep[k] // 2 == k // 2 for k in keep)
+
+
+def test_keep_one_of_awkward_rows(spark):
     kept = S.keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
     texts = [r.text for r in kept.collect()]
-    assert len(texts) == len({plain_fingerprint(t or "") for t in texts})
-    assert {plain_fingerprint(t or "") for t in texts} == {plain_fingerprint(r.text or "") for r in awkward(spark).collect()}
+    assert len(texts) == len({plain_near(t) for t in texts})
+    assert {plain_near(t) for t in texts} == {plain_near(r.text) for r in awkward(spark).collect()}
     assert S.keep_one(empty(spark)).count() == 0
+
+
+def test_keep_one_with_repeated_ids_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5, "one text", 1), (1, "One text", 2), (9, "quite another", 3), (9, "and one more", 4), (9, "and one more", 5), (None, "one text", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumns({c: F.lit("taken") for c in ("gone", "row", "node", "near0", "fp")})
+    out = S.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "One text"), (9, "and one more"), (9, "quite another")]
