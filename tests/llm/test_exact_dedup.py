@@ -18,14 +18,13 @@ def test_query_equals_its_sql(spark):
 
 def test_awkward_rows(spark):
     docs = awkward(spark, ["sametext ", "ab", "a b", "a  b"])
-    rows = E.exact_groups(docs, carry={"sha": E.text_sha256(docs["text"])}).collect()
+    rows = E.exact_groups(docs, hash_all=True).collect()
     groups = Counter(norm(r.text) for r in docs.collect())
     assert len(rows) == docs.count()
-    assert Counter(r.sha for r in rows if r.kept) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
+    assert Counter(r.text_sha256 for r in rows if r.kept) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
     for r in rows:
-        assert groups[next(k for k in groups if hashlib.sha256(k.encode()).hexdigest() == r.sha)] == r.group_size
-        assert r.full_hash in (None, r.sha)
-    ab = {r.doc_id: (r.keep_id, r.kept) for r in rows if r.sha == hashlib.sha256(b"ab").hexdigest()}
+        assert groups[next(k for k in groups if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)] == r.group_size
+    ab = {r.doc_id: (r.keep_id, r.kept) for r in rows if r.text_sha256 == hashlib.sha256(b"ab").hexdigest()}
     assert ab == {16: (18, False), 17: (18, False), 18: (18, True)}
 
 
@@ -38,6 +37,26 @@ def test_drop_duplicates_keeps_columns(spark):
     assert E.exact_groups(empty(spark)).count() == 0
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(5, "one text", 1), (1, "one text", 2), (9, "a", 3), (9, "b", 4), (9, "b", 5), (None, "b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumns({"gone": docs_col(), "row": docs_col()})
+    out = E.drop_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "one text"), (9, "a"), (9, "b")]
+
+
+def docs_col():
+    from pyspark.sql import functions as F
+
+    return F.lit("taken")
+
+
+def test_a_tiny_bitmap_changes_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda bits: sorted(map(str, E.exact_groups(docs, hash_all=True, bitmap_bits=bits).collect()))
+    assert key(1 << 10) == key(1 << 22) == key(None)
+
+
 def test_same_prefix_and_length_is_no_copy(spark):
     a, b = "p" * 100 + "x", "p" * 100 + "y"
     docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
