@@ -4,20 +4,29 @@ Words that are unique to both a passage and a template anchor the two; the longe
 the gaps between its neighbours, and before and after it, are aligned the same way. The template's coverage is the share
 of its words that were aligned.
 
-A text is not aligned as a whole, or a notice that occurs twice would leave no unique word: windows of a template's length
-and some slack are laid around each occurrence of the template's PIVOTS rarest words, and the window with the highest
-coverage counts. A licence is found at COVERED or more; of several, the one with the most aligned words, then by name.
+A find of a template of n words is a passage of at most SLACK * n + 2 words that covers COVERED of it or more. A text is not
+aligned as a whole, or a notice that occurs twice would leave no unique word: every passage of that length that starts with
+a word of the template is aligned, unless too few of the template's words occur in it (each counted as often as the template
+has it) for the coverage that a find needs, or their longest common subsequence is too short for it. Those tests lose nothing.
+Where words that are no anchors leave the alignment short and a longest common subsequence reaches the coverage, the latter is
+the alignment: so every passage with COVERED of the template's words in order is a find. A find starts at its first aligned word, and the next one
+of that template begins after its last. Of the finds of all templates, those that overlap a better one go: better means
+more aligned words, then a higher coverage, then the name.
 
 Each row is scanned by itself, whole, in one pass without a shuffle. Defined results: a null or empty text has no licence
-(null) and coverage 0; repeated rows are scanned each; other columns are ignored; an empty table gives an empty result.
+(null), coverage 0 and no finds; repeated rows are scanned each; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +36,7 @@ from tarnbeck.llm.columns import free_names, with_python_columns
 from tarnbeck.llm.common import table
 from tarnbeck.llm.license_texts import TEMPLATES
 
-COVERED, PIVOTS, SLACK = 0.8, 3, 1.3
+COVERED, SLACK = 0.8, 1.5
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -55,7 +64,7 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+def align(text: list, template: list) -> list[tuple[int, int]]:
     """Aligned positions (text, template), both rising."""
     out: list[tuple[int, int]] = []
     stack = [(0, len(text), 0, len(template))]
@@ -82,57 +91,125 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(text: list, template: list) -> list[int]:
+    """Row by row of the text, the longest common subsequences with the template's beginnings as bits: those of the first j words
+    are as long as there are zeros among the low j bits. The first row is before any word."""
+    where: dict = {}
+    for k, w in enumerate(template):
+        where[w] = where.get(w, 0) | 1 << k
+    full = (1 << len(template)) - 1
+    rows = [full]
+    for w in text:
+        v = rows[-1]
+        u = v & where.get(w, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def traced(rows: list[int], n: int) -> list[tuple[int, int]]:
+    """A longest common subsequence as aligned positions, from the rows of ``common``."""
+    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+    out, i, j = [], len(rows) - 1, n
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif length(i, j) == length(i - 1, j):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+class Find(NamedTuple):
+    license: str
+    coverage: float
+    n_aligned: int
+    first_word: int
+    last_word: int
+
+
+class Template:
+    def __init__(self, name: str, words: list[int]):
+        self.name, self.words, self.count = name, words, Counter(words)
+        self.need, self.span = math.ceil(COVERED * len(words) - 1e-9), int(SLACK * len(words)) + 2
+
+    def finds(self, words: np.ndarray) -> list[Find]:
+        """All finds in a text's words (numbers; -1 for a word of no template)."""
+        at = np.flatnonzero(np.isin(words, list(self.count)))
+        ends = np.searchsorted(at, at + self.span)
+        out, done = [], 0
+        for i in np.flatnonzero(ends - np.arange(len(at)) >= self.need).tolist():
+            if at[i] < done or not self._enough(words[at[i : ends[i]]].tolist()):
+                continue
+            found = self._aligned(words, int(at[i]))
+            while found and found.first_word > at[i]:  # from its own first word on a passage may reach further
+                again = self._aligned(words, found.first_word)
+                if not again or again[1:3] <= found[1:3]:
+                    break
+                found = again
+            if found:
+                out.append(found)
+                done = found.last_word + 1
+        return out
+
+    def _enough(self, own: list[int]) -> bool:
+        return sum(min(n, self.count[w]) for w, n in Counter(own).items()) >= self.need
+
+    def _aligned(self, words: np.ndarray, start: int) -> Find | None:
+        own = words[start : start + self.span].tolist()
+        rows = common(own, self.words)
+        if rows[-1].bit_count() > len(self.words) - self.need:
+            return None  # no alignment whatever is long enough
+        held = align(own, self.words)
+        if len(held) < self.need:
+            held = traced(rows, len(self.words))
+        return Find(self.name, len(held) / len(self.words), len(held), start + held[0][0], start + held[-1][0])
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = {name: words_of(t) for name, t in templates.items()}
-        spread = Counter(w for ws in self.templates.values() for w in set(ws))
-        self.pivots = {}
-        for name, ws in self.templates.items():
-            own = Counter(ws)
-            # rare means: in few templates, once in this one, long
-            ranked = sorted((w for w in own if own[w] == 1), key=lambda w: (spread[w] > 2, len(w) < 3, spread[w], -len(w), w))
-            self.pivots[name] = [(w, ws.index(w)) for w in ranked[:PIVOTS]]
-        self.signs = sorted({w for p in self.pivots.values() for w, _ in p})
-
-    def scan(self, text: str) -> tuple[str | None, float, int, int | None, int | None]:
-        """(licence, coverage, aligned words, first word, last word) of the best find."""
-        low = text.lower()
-        there = {w for w in self.signs if w in low}
-        best: tuple = (0, 0.0, "", None, None)
-        if there:
-            words = words_of(text)
-            where: dict[str, list[int]] = {w: [] for w in there}
-            for k, w in enumerate(words):
-                if w in where:
-                    where[w].append(k)
-            for name, template in self.templates.items():
-                seen = set()
-                n = len(template)
-                for pivot, at in self.pivots[name]:
-                    for k in where.get(pivot, ()):
-                        a, z = max(0, k - int(at * SLACK) - 2), k + int((n - at) * SLACK) + 2
-                        window = tuple(words[a:z])
-                        if window in seen:
-                            continue
-                        seen.add(window)
-                        held = align(list(window), template)
-                        share = len(held) / n
-                        if share >= COVERED and (len(held), share, name) > best[:3] and (len(held), share) > best[:2]:
-                            best = (len(held), share, name, a + held[0][0], a + held[-1][0])
-        n, share, name, first, last = best
-        return name or None, share, n, first, last
+        split = {name: words_of(t) for name, t in sorted(templates.items())}
+        self.number = {w: k for k, w in enumerate(sorted({w for ws in split.values() for w in ws}))}
+        self.templates = [Template(name, [self.number[w] for w in ws]) for name, ws in split.items() if ws]
+        self.counts = np.array([np.bincount(t.words, minlength=len(self.number)) for t in self.templates])
+        self.need = np.array([t.need for t in self.templates])
+
+    def scan(self, text: str) -> list[Find]:
+        """The finds that overlap no better one, the best first."""
+        words = np.fromiter((self.number.get(w, -1) for w in words_of(text)), np.int64)
+        own = np.bincount(words[words >= 0], minlength=len(self.number))
+        able = np.flatnonzero(np.minimum(self.counts, own).sum(1) >= self.need)
+        found = [f for k in able.tolist() for f in self.templates[k].finds(words)]
+        out: list[Find] = []
+        taken = np.zeros(len(words), bool)
+        for f in sorted(found, key=lambda f: (-f.n_aligned, -f.coverage, f.license, f.first_word)):
+            if not taken[f.first_word : f.last_word + 1].any():
+                taken[f.first_word : f.last_word + 1] = True
+                out.append(f)
+        return out
+
+
+FIND = T.StructType([T.StructField(n, k) for n, k in zip(Find._fields, [T.StringType(), T.DoubleType(), T.LongType(), T.LongType(), T.LongType()], strict=True)])
 
 
 def scanned(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with license, coverage, n_aligned, first_word and last_word; and those columns' names."""
-    own = ["license", "coverage", "n_aligned", "first_word", "last_word"]
-    kinds = [T.StringType(), T.DoubleType(), T.LongType(), T.LongType(), T.LongType()]
-    names = dict(zip(own, free_names(docs, own), strict=True))
+    """``docs`` with the best find's license, coverage, n_aligned, first_word and last_word, and all finds; and those columns'
+    names."""
+    names = dict(zip([*Find._fields, "finds"], free_names(docs, [*Find._fields, "finds"]), strict=True))
+    kinds = [*[f.dataType for f in FIND.fields], T.ArrayType(FIND)]
+    arrow = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
     def work():
         scanner = Scanner(templates or TEMPLATES)
-        arrow = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        return lambda texts: [pa.array([x[k] for x in found], arrow[k]) for found in [[scanner.scan(t) for t in texts]] for k in range(5)]
+
+        def made(texts: list[str]) -> list[pa.Array]:
+            found = list(map(scanner.scan, texts))
+            best = [f[0] if f else (None, 0.0, 0, None, None) for f in found]
+            finds = pa.array([[x._asdict() for x in f] for f in found], pa.list_(pa.struct(list(zip(Find._fields, arrow, strict=True)))))
+            return [*[pa.array([b[k] for b in best], arrow[k]) for k in range(5)], finds]
+
+        return made
 
     return with_python_columns(docs, text_col, list(zip(names.values(), kinds, strict=True)), work), names
 

@@ -1,10 +1,11 @@
 """Shards of nearly equal bytes by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows with equal texts form a group and go to one shard, unless the group is heavier than 1 / GRAIN of a shard: then it is
-split into chunks below that weight. Groups are too many to place one by one on a driver, so the light ones are first
-dealt by hash into BUCKETS bundles. Bundles and chunks number at most BUCKETS + 2 * shards * GRAIN, whatever the input's
-size; each, largest first, goes to the shard where the dot product of its vector with the shard's residual capacity is
-highest, and exchanges of two items between the fullest and the emptiest shard then even out the bytes.
+Tokens are words. Rows with equal texts form a group and go to one shard, unless the group has more than 1 / GRAIN of a
+shard's bytes, tokens or rows: then it is split into chunks below that. Groups are too many to place one by one on a driver, so
+the light ones are first dealt by hash into BUCKETS bundles. Bundles and chunks number at most BUCKETS + 6 * shards * GRAIN,
+whatever the input's size; each, largest first, goes to the shard where the dot product of its vector with the shard's residual capacity is
+highest, and exchanges of two items between the fullest and the emptiest shard then even out the bytes, as far as tokens and
+rows stay balanced.
 
 Slots are numbered per task and shard in a first pass over narrow rows and moved by the sums of the tasks before, so no
 shard is ever gathered in one task.
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import stored, table
-from tarnbeck.llm.exact_dedup import normalised
 
 BUCKETS, GRAIN = 4096, 4
+#: How far over the mean a shard's tokens or rows may come where bytes are evened out, tried in turn until bytes are this close.
+LOOSE, CLOSE = (0.02, 0.1, 9.0), 0.002
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -38,35 +41,49 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     for k in np.argsort(-share.max(1), kind="stable"):
         where[k] = int(np.argmax(left @ share[k]))
         left[where[k]] -= share[k]
-    return even_out(items[:, 0], where, shards)
+    return even_out(items, where, shards)
 
 
-def even_out(weights: np.ndarray, where: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
-    """Move or exchange items between the heaviest and the lightest shard while that brings the two closer."""
-    loads = np.bincount(where, weights, shards)
+def even_out(items: np.ndarray, where: np.ndarray, shards: int) -> np.ndarray:
+    """Even out the bytes (the first dimension), for they are the law: with the other dimensions at most LOOSE over their mean,
+    or wider where that does not bring the bytes within CLOSE."""
+    for loose in LOOSE:
+        where = exchanged(items, where, shards, loose)
+        loads = np.bincount(where, items[:, 0], shards)
+        if loads.max() - loads.min() <= CLOSE * loads.mean():
+            break
+    return where
+
+
+def exchanged(items: np.ndarray, where: np.ndarray, shards: int, loose: float, rounds: int = 2000) -> np.ndarray:
+    """Move or exchange items between the shards with the most and the fewest bytes while that brings the two closer and leaves
+    no shard with more of another dimension than the fullest has, or than ``loose`` over the mean."""
+    weights = items[:, 0]
+    loads = np.stack([np.bincount(where, x, shards) for x in items.T], 1)
     for _ in range(rounds):
-        hi, lo = int(loads.argmax()), int(loads.argmin())
-        gap = loads[hi] - loads[lo]
+        hi, lo = int(loads[:, 0].argmax()), int(loads[:, 0].argmin())
+        gap = loads[hi, 0] - loads[lo, 0]
         a, b = np.flatnonzero(where == hi), np.flatnonzero(where == lo)
         if not len(a) or gap <= 1:
             break
-        # the exchange (or plain move) whose difference is nearest to half the gap
+        # for each item of the fullest, the two partners (or none) whose difference is nearest to half the gap
         order = b[np.argsort(weights[b], kind="stable")]
-        give = np.concatenate(([0.0], weights[order]))
+        back = np.concatenate((np.zeros((1, items.shape[1])), items[order]))
         want = weights[a] - gap / 2
-        at = np.clip(np.searchsorted(give, want), 1, len(give) - 1) if len(give) > 1 else np.zeros(len(a), np.int64)
+        at = np.clip(np.searchsorted(back[:, 0], want), 1, len(back) - 1) if len(back) > 1 else np.zeros(len(a), np.int64)
         both = np.stack([at, np.maximum(at - 1, 0)])
-        miss = np.abs(give[both] - want)
+        moved = items[a] - back[both]
+        most = np.maximum(loads.max(0), loads.mean(0) * (1 + loose))[1:]
+        good = (moved[..., 0] > 0) & (moved[..., 0] < gap) & ((loads[lo] + moved)[..., 1:] <= most).all(-1) & ((loads[hi] - moved)[..., 1:] <= most).all(-1)
+        miss = np.where(good, np.abs(back[both][..., 0] - want), np.inf)
         j, i = np.unravel_index(int(miss.argmin()), miss.shape)
-        back = int(both[j, i])
-        moved = weights[a[i]] - give[back]
-        if not 0 < moved < gap:
+        if not good[j, i]:
             break
         where[a[i]] = lo
-        if back:
-            where[order[back - 1]] = hi
-        loads[hi] -= moved
-        loads[lo] += moved
+        if both[j, i]:
+            where[order[both[j, i] - 1]] = hi
+        loads[hi] -= moved[j, i]
+        loads[lo] += moved[j, i]
     return where
 
 
@@ -74,22 +91,23 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     """id_col, size (bytes + 1), tokens (words), text_crc32, shard and slot, one row for each row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # a sum for tokens that needs no tokeniser: the characters that are blanks, and one
-    words = F.length(text) - F.length(normalised(text)) + 1
+    words = F.regexp_count(text, F.lit(WORD))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), words.cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("row"),
     )
     rows = stored(rows, "sizes")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, total // (shards * GRAIN))
-    heavy = rows.groupBy("group").agg(F.sum("size").alias("s")).filter(F.col("s") > limit)
-    # fewer than shards * GRAIN groups can be heavier than 1 / (shards * GRAIN) of the total
-    heavy = stored(heavy.select("group", (F.floor(F.col("s") / limit) + 1).cast("long").alias("chunks")), "heavy")
+    sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")]
+    total = rows.agg(*sums).first()
+    # how many times a group has what a chunk of it may have, by the dimension that it has most of
+    times = F.greatest(*[F.col(c) / max(1, (total[c] or 0) // (shards * GRAIN)) for c in "btn"])
+    # fewer than 3 * shards * GRAIN groups can have more than 1 / (shards * GRAIN) of one of three totals
+    heavy = rows.groupBy("group").agg(*sums).select("group", (F.floor(times) + 1).cast("long").alias("chunks")).filter(times > 1)
+    heavy = stored(heavy, "heavy")
     tag = F.when(F.col("chunks").isNull(), F.struct(F.lit(None).cast("long").alias("g"), F.pmod(F.xxhash64("group"), F.lit(BUCKETS)).alias("k")))
     tag = tag.otherwise(F.struct(F.col("group").alias("g"), F.pmod(F.xxhash64("row"), F.col("chunks")).alias("k")))
     tagged = rows.join(F.broadcast(heavy), "group", "left").withColumn("item", tag)
-    items = tagged.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("item").collect()
+    items = tagged.groupBy("item").agg(*sums).orderBy("item").collect()
     where = place(np.array([[x.b, x.t, x.n] for x in items], float).reshape(-1, 3), shards)
     placed = spark.createDataFrame([(x.item.g, x.item.k, int(w)) for x, w in zip(items, where, strict=True)], "g long, k long, shard int")
 
