@@ -15,7 +15,7 @@ __all__ = ["BLANKS", "bounded_batches", "new_folder", "stored", "table", "texts_
 BLANKS = "\t\n\x0b\x0c\r "
 
 #: Rows and bytes of one Arrow batch at most. A text longer than that is a batch of its own.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 4096, 8 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker's cache holds at most (about 200 bytes each), and the longest that it takes, in bytes.
-CACHED, LONGEST = 800_000, 64
+CACHED, LONGEST = 400_000, 64
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

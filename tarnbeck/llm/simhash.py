@@ -14,7 +14,8 @@ copies cost nothing here. Components are found by alternating large-star and sma
 a Jaccard similarity of 0.8 or more. One changed word changes five shingles, so the fingerprints of such sets are too far
 apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the distinct words, which hardly moves, and
 verifies by a second one of SHINGLE_BITS bits of the distinct shingles, in the join as well: a similarity of 0.8 is expected
-at 0.15 of its bits. Both limits are parameters; the README has the recall and what else they link.
+at 0.15 of its bits. Rows that share a part's value are first compared with a few of them, and only rows that those stars do
+not tie together are paired, so a large group of near copies is not expanded into its pairs. Both limits are parameters; the README has the recall and what else they link.
 
 Defined results: a null or word-less text has fingerprint zero and links like any other; a null doc_id never is a
 component's id unless the component has no other (then it is null); repeated rows are all returned; an empty table gives
@@ -24,7 +25,7 @@ an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +44,8 @@ WIDTH, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 7, 22, 128
 BLOCK = 11
 #: What one probe, a shuffled row, costs in candidates, which are compared where they meet.
 PROBE_COST = 10
+#: Centres of each key that its rows are compared with before any are paired.
+STARS = 4
 #: Links that a task folds into a spanning forest before it passes them on.
 FOLD = 400_000
 
@@ -274,17 +277,41 @@ def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] =
                         yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[pa.array(np.repeat(x[some], len(m))) for x in own]], names=["key", *carried])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The key of each part, and the columns."""
         for b in batches:
             for g, v in enumerate(part_values(b.column(at_fp).to_numpy(), groups)):
                 yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *carried])
 
+    def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        differ = lambda c: F.bit_count(a(c).bitwiseXOR(b(c)))
+        own = differ("fp") <= max_bits
+        return own & (sum([differ(c) for c in near], F.lit(0)) <= near_bits) if near else own
+
     schema = ", ".join(f"{c} long" for c in ["key", *carried])
+    if near:
+        # a dense group has about the square of its size in pairs: what stars tie together already is not paired again
+        tied = stored(stars(stored(fps.select(carried).mapInArrow(index, schema), "keys"), carried, close), "stars")
+        fps = stored(fps.join(components(tied), "node", "left").withColumn("tied", F.coalesce("root", "node")), "tied")
+        carried = [*carried, "tied"]
+        schema += ", tied long"
     q, x = fps.select(carried).mapInArrow(probe, schema).alias("q"), fps.select(carried).mapInArrow(index, schema).alias("x")
-    differ = lambda c: F.bit_count(F.col(f"q.{c}").bitwiseXOR(F.col(f"x.{c}")))
-    linked = (F.col("q.key") == F.col("x.key")) & (F.col(f"q.{node}") < F.col(f"x.{node}")) & (differ("fp") <= max_bits)
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    linked = (F.col("q.key") == F.col("x.key")) & (F.col(f"q.{node}") < F.col(f"x.{node}")) & close(of("q"), of("x"))
     if near:
-        linked &= sum([differ(c) for c in near], F.lit(0)) <= near_bits
-    return q.join(x, linked).select(F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")).mapInArrow(folded, "u long, v long")
+        linked &= F.col("q.tied") != F.col("x.tied")
+    met = q.join(x, linked).select(F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")).mapInArrow(folded, "u long, v long")
+    return met.union(tied) if near else met
+
+
+def stars(keyed: DataFrame, carried: list[str], close: Callable) -> DataFrame:
+    """(u, v): links of each row (key, node, ...) to those of its key's STARS centres that it is close to; the centres are the
+    least by as many hashes of the node. At most STARS links a row."""
+    centre = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), *carried)).alias(f"centre{k}")
+    centres = keyed.groupBy("key").agg(F.count("*").alias("n"), *map(centre, range(STARS))).filter("n > 1")
+    met = keyed.join(stored(centres, "centres"), "key")
+    near_ones = F.filter(F.array(*[F.col(f"centre{k}") for k in range(STARS)]), lambda c: (c["node"] != F.col("node")) & close(F.col, lambda n: c[n]))
+    ties = met.select("node", F.explode(F.array_distinct(F.transform(near_ones, lambda c: c["node"]))).alias("centre"))
+    return ties.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
 
 
 def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
