@@ -19,7 +19,7 @@ PLAIN, COMPACT = "canonical-json-v1", "compact-v2"
 FORMAT_FIELD, DATA_FIELD = "contextArtifactFormat", "artifact"
 TABLE, SEGMENTS, ITEMS, RUNS, ESCAPED = "$t", "$l", "$i", "$r", "$o"
 DIRECTIVES = (TABLE, SEGMENTS, ITEMS, RUNS, ESCAPED)
-FILE_SECTIONS = ("contracts", "signals", "calls", "imports", "freeFunctions", "comments")
+FILE_SECTIONS = ("calls", "comments", "contracts", "freeFunctions", "imports", "signals")
 
 
 class Malformed(ValueError):
@@ -60,69 +60,45 @@ def _runs(records: list):
     return {RUNS: out}
 
 
+def _placed(record: dict, path: str, place: int) -> dict:
+    """The record with its file put back where it stood."""
+    keys = list(record)
+    return {k: path if k == "file" else record[k] for k in [*keys[:place], "file", *keys[place:]]}
+
+
+#: What each directive stands for.
+MEANING: dict[str, Callable] = {
+    TABLE: lambda b: [dict(zip(b[0], map(unpacked, row), strict=True)) for row in b[1:]],
+    SEGMENTS: lambda b: [x for part in b for x in unpacked(part)],
+    ITEMS: lambda b: list(map(unpacked, b)),
+    RUNS: lambda b: [_placed(r, path, place) for path, place, part in b for r in unpacked(part)],
+    ESCAPED: lambda b: {k: unpacked(v) for k, v in b.items()},
+}
+
+
 def unpacked(value):
-    """The inverse of ``packed``; Malformed for anything that is no encoding."""
+    """What an encoded value stands for; anything may happen to what is no encoding."""
     if isinstance(value, list):
-        return [unpacked(x) for x in value]
+        return list(map(unpacked, value))
     if not isinstance(value, dict):
         return value
-    name, body = next(iter(value.items())) if len(value) == 1 else (None, None)
-    if name in READERS:
-        return READERS[name](body)
+    if len(value) == 1 and (name := next(iter(value))) in MEANING:
+        return MEANING[name](value[name])
     return {k: unpacked(v) for k, v in value.items()}
 
 
-def _check(ok: bool, what: str) -> None:
-    if not ok:
-        raise Malformed(what)
-
-
-def _read_table(body) -> list:
-    _check(isinstance(body, list) and len(body) > 2 and all(isinstance(r, list) and len(r) == len(body[0]) for r in body), "table")
-    keys = body[0]
-    _check(bool(keys) and all(isinstance(k, str) for k in keys) and len(set(keys)) == len(keys), "table header")
-    return [dict(zip(keys, map(unpacked, r), strict=True)) for r in body[1:]]
-
-
-def _read_segments(body) -> list:
-    _check(isinstance(body, list), "segments")
-    out = []
-    for part in body:
-        _check(isinstance(part, dict) and len(part) == 1 and set(part) <= {TABLE, ITEMS}, "segment")
-        if TABLE in part:
-            out += _read_table(part[TABLE])
-        else:
-            _check(isinstance(part[ITEMS], list), "items")
-            out += map(unpacked, part[ITEMS])
-    return out
-
-
-def _read_runs(body) -> list:
-    _check(isinstance(body, list), "runs")
-    out = []
-    for run in body:
-        _check(isinstance(run, list) and len(run) == 3 and isinstance(run[0], str) and type(run[1]) is int, "run")
-        records = unpacked(run[2])
-        _check(isinstance(records, list), "run records")
-        for r in records:
-            _check(isinstance(r, dict) and "file" not in r and 0 <= run[1] <= len(r), "run record")
-            own = list(r.items())
-            out.append(dict([*own[: run[1]], ("file", run[0]), *own[run[1] :]]))
+def strictly_unpacked(value, sections: tuple[str, ...]):
+    """A document has one encoding, so a value is an encoding when encoding what it stands for gives the same text again."""
+    try:
+        out = unpacked(value)
+        same = json.dumps(packed(out, sections)) == json.dumps(value)
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError) as e:
+        raise Malformed(str(e)) from e
+    if not same:
+        raise Malformed("not the encoding of what it stands for")
     return out
 
 
-def _read_escaped(body) -> dict:
-    _check(isinstance(body, dict), "escape")
-    return {k: unpacked(v) for k, v in body.items()}
-
-
-def _read_items(body):
-    raise Malformed("items outside segments")
-
-
-READERS: dict[str, Callable] = {TABLE: _read_table, SEGMENTS: _read_segments, RUNS: _read_runs, ESCAPED: _read_escaped, ITEMS: _read_items}
-
-
 def encode(text: str, form: str = COMPACT, sections: tuple[str, ...] = FILE_SECTIONS) -> str:
     value = json.loads(text)
     if form == PLAIN:
@@ -132,12 +108,13 @@ def encode(text: str, form: str = COMPACT, sections: tuple[str, ...] = FILE_SECT
     return json.dumps({FORMAT_FIELD: COMPACT, DATA_FIELD: packed(value, sections)}, ensure_ascii=False, separators=(",", ":"))
 
 
-def decode(text: str, form: str = COMPACT) -> str:
+def decode(text: str, form: str = COMPACT, sections: tuple[str, ...] = FILE_SECTIONS) -> str:
     """Back to canonical JSON."""
     value = json.loads(text)
     if form == COMPACT:
-        _check(isinstance(value, dict) and set(value) == {FORMAT_FIELD, DATA_FIELD} and value[FORMAT_FIELD] == COMPACT, "envelope")
-        value = unpacked(value[DATA_FIELD])
+        if not isinstance(value, dict) or value.get(FORMAT_FIELD) != COMPACT or len(value) != 2 or DATA_FIELD not in value:
+            raise Malformed("envelope")
+        value = strictly_unpacked(value[DATA_FIELD], sections)
     elif form != PLAIN:
         raise ValueError(f"unknown format {form!r}")
     return json.dumps(value, ensure_ascii=False)
