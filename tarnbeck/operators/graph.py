@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +48,12 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("from")), "from", "left_semi").join(nodes.select(F.col("node").alias("to")), "to", "left_semi")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, extend: Column, most_steps: int = 8) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, extend: Column, most_steps: int | None = None) -> DataFrame:
     """(start, hops, node): paths without a repeated node, from each start; ``extend`` (over the edge's columns and node)
-    says whether a path may go on from the node that it has reached."""
+    says whether a path may go on from the node that it has reached. Without ``most_steps`` all of them, which may be many."""
     frontier = _stored(starts.select("start", F.array("start").alias("hops"), F.col("start").alias("node"), F.lit(True).alias("open")))
     out = frontier.filter("false")
-    for _ in range(most_steps):
+    for _ in count() if most_steps is None else range(most_steps):
         e = edges.withColumn("go_on", extend)
         step = frontier.filter("open").join(e, frontier["node"] == e["from"]).filter(~F.array_contains("hops", F.col("to")))
         frontier = _stored(step.select("start", F.concat("hops", F.array("to")).alias("hops"), F.col("to").alias("node"), F.col("go_on").alias("open")).distinct())
@@ -61,15 +63,13 @@ def simple_paths(edges: DataFrame, starts: DataFrame, extend: Column, most_steps
     return out.drop("open")
 
 
-def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(cycle): every simple cycle of at most ``most`` nodes once, from its least node; a self edge is [a, a]."""
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): every simple cycle once, from its least node; a self edge is [a, a]."""
     e = _stored(edges.select("from", "to").distinct())
     found = e.filter(F.col("from") == F.col("to")).select(F.array("from", "to").alias("cycle"))
     # a cycle is walked from its least node only, so a path never steps below its start
     paths = _stored(e.filter(F.col("from") < F.col("to")).select(F.array("from", "to").alias("hops")))
-    for _ in range(most - 1):
-        if paths.isEmpty():
-            break
+    while not paths.isEmpty():
         last, first = F.element_at("hops", -1), F.element_at("hops", 1)
         step = paths.join(e, last == e["from"])
         found = found.union(step.filter(F.col("to") == first).select(F.col("hops").alias("cycle")))
@@ -77,12 +77,12 @@ def cycles(edges: DataFrame, most: int = 8) -> DataFrame:
     return found
 
 
-def linearised(bases: DataFrame, most: int = 16) -> DataFrame:
+def linearised(bases: DataFrame) -> DataFrame:
     """(node, base, place): each node's bases in depth-first preorder, each once. ``bases``: (node, place, base). A path of
     places sorts as the walk goes, and of several paths to a base the first holds."""
     step = _stored(bases.select("node", "base", F.array("place").alias("path"), F.array("node", "base").alias("seen")))
     every = step
-    for _ in range(most):
+    while True:
         b = bases.select(F.col("node").alias("base"), F.col("place").alias("p"), F.col("base").alias("next"))
         step = _stored(step.join(b, "base").filter(~F.array_contains("seen", F.col("next"))).select("node", F.col("next").alias("base"), F.concat("path", F.array("p")).alias("path"), F.concat("seen", F.array("next")).alias("seen")))
         if step.isEmpty():

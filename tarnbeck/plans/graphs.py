@@ -46,7 +46,7 @@ def _(t):
 
 @_q.add("H6_delegate_cycles", """
 WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS a, (s_suppkey * 3 + s_nationkey) % 100 AS b FROM supplier UNION SELECT s_suppkey, s_suppkey FROM supplier WHERE s_nationkey = 3),
- w AS (SELECT a AS start, [a, b] AS hops, b AS node FROM e WHERE a < b UNION ALL SELECT start, list_append(hops, b), b FROM w JOIN e ON a = node WHERE b > start AND NOT list_contains(hops, b) AND len(hops) < 8)
+ w AS (SELECT a AS start, [a, b] AS hops, b AS node FROM e WHERE a < b UNION ALL SELECT start, list_append(hops, b), b FROM w JOIN e ON a = node WHERE b > start AND NOT list_contains(hops, b))
 SELECT hops AS cycle FROM w JOIN e ON a = node AND b = start UNION ALL SELECT [a, a] FROM e WHERE a = b""")
 def _(t):
     s = F.col("s_suppkey")

@@ -163,3 +163,15 @@ def test_evidence_precedence(spark):
     lines = spark.createDataFrame([("f", k, f"line  {k} text") for k in range(1, 20)], "file string, line int, text string")
     q = spark.createDataFrame([(1, "f", 5, "line 5   text"), (2, "f", 5, "line 15 text"), (3, "f", 5, "nothing"), (4, "g", 5, "x"), (5, "f", 5, "line 8 text"), (6, "f", 5, "line 9 text")], "i int, file string, line int, quote string")
     assert values(P.evidence_status(q, lines, "i"), "i", "status") == [(1, "verified"), (2, "location_mismatch"), (3, "fabricated"), (4, "unverifiable"), (5, "verified"), (6, "location_mismatch")]
+
+
+def test_long_cycles_and_paths(spark):
+    ring = spark.createDataFrame([(k, k % 20 + 1) for k in range(1, 21)], "from int, to int")
+    assert [r.cycle for r in H.cycles(ring).collect()] == [list(range(1, 21))]
+    line = spark.createDataFrame([(k, k + 1) for k in range(1, 21)], "from int, to int")
+    from pyspark.sql import functions as F
+
+    paths = H.simple_paths(line, spark.createDataFrame([(1,)], "start int"), F.lit(True)).collect()
+    assert max(len(r.hops) for r in paths) == 21 and len(paths) == 20
+    bases = spark.createDataFrame([(k, 0, k + 1) for k in range(1, 21)], "node int, place int, base int")
+    assert H.linearised(bases).filter("node = 1").count() == 20
