@@ -13,8 +13,8 @@ copies cost nothing here. Components are found by alternating large-star and sma
 ``near_duplicates`` links by one fingerprint of word shingles. ``keep_one`` means texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. One changed word changes five shingles, so the fingerprints of such sets are too far
 apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the distinct words, which hardly moves, and
-verifies by a second one of SHINGLE_BITS bits of the distinct shingles, in the join as well: a similarity of 0.8 is expected
-at 0.15 of its bits. Rows that share a part's value are first compared with a few of them, and only rows that those stars do
+verifies in the join as well, by a sketch of SHINGLE_BITS bits of the shingles: one bit of the least shingle under each of
+as many hashes, so that (1 - similarity) / 2 of the bits are expected to differ, 0.1 of them at 0.8. Rows that share a part's value are first compared with a few of them, and only rows that those stars do
 not tie together are paired, so a large group of near copies is not expanded into its pairs. Both limits are parameters; the README has the recall and what else they link.
 
 Defined results: a null or word-less text has fingerprint zero and links like any other; a null doc_id never is a
@@ -38,8 +38,10 @@ from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
 
 BITS, SEED = 64, 42
-#: Near duplicates: words of a shingle, most differing bits of the words' fingerprint and of the shingles' one, and its bits.
-WIDTH, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 7, 22, 128
+#: Near duplicates: words of a shingle, most differing bits of the words' fingerprint and of the shingles' sketch, and its bits.
+WIDTH, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 7, 61, 512
+#: Shingles that are sketched at a time.
+SKETCHED = 256
 #: Bits of a block whose value counts are kept for the estimates: 2**11 counts for each of six blocks at most a part.
 BLOCK = 11
 #: What one probe, a shuffled row, costs in candidates, which are compared where they meet.
@@ -96,20 +98,38 @@ def majority(digests: bytes, size: int) -> bytes:
     return np.packbits(2 * ones > len(rows)).tobytes()
 
 
+def sketch_factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` hashes x -> factor * x + summand of 32 bits."""
+    rule = np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) for k in range(n)], np.uint64)
+    return (rule >> np.uint64(32)).astype(np.uint32) | np.uint32(1), rule.astype(np.uint32)
+
+
+FACTORS, SUMMANDS = sketch_factors(SHINGLE_BITS)
+#: Odd factor that mixes a least value before its highest bit is taken.
+MIX = np.uint32(0x9E3779B1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit of the least of ``hashes`` (their upper halves) under each of SHINGLE_BITS hashes; zeros if there is none."""
+    if not len(hashes):
+        return bytes(SHINGLE_BITS // 8)
+    upper, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(SHINGLE_BITS, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(upper), SKETCHED):
+        np.minimum(least, (upper[k : k + SKETCHED, None] * FACTORS + SUMMANDS).min(0), out=least)
+    return np.packbits((least * MIX) >> np.uint32(31) > 0, bitorder="little").tobytes()
+
+
 def near_prints(text: bytes, width: int = WIDTH) -> bytes:
-    """A text's fingerprint of distinct words (8 bytes) and that of distinct shingles (SHINGLE_BITS / 8 bytes)."""
-    words = text.lower().split()
-    n = max(len(words) - width + 1, 1 if words else 0)
-    shingles = {b" ".join(words[k : k + width]) for k in range(n)}
-    own, wide = xxhash.xxh64_digest, xxhash.xxh3_128_digest
-    return majority(b"".join([own(w, SEED) for w in set(words)]), 8) + majority(b"".join([wide(x, SEED) for x in shingles]), SHINGLE_BITS // 8)
+    """A text's fingerprint of distinct words (8 bytes) and the sketch of its shingles (SHINGLE_BITS / 8 bytes)."""
+    own = [xxhash.xxh64_digest(w, SEED) for w in set(text.lower().split())]
+    return majority(b"".join(own), 8) + sketch(shingle_hashes(text, width))
 
 
 NEAR = [f"near{k}" for k in range(SHINGLE_BITS // 64)]
 
 
 def near_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp, near0, near1): ``near_prints`` as signed longs, one row for each row of ``docs``."""
+    """(id, fp, near0, near1, ...): ``near_prints`` as signed longs, one row for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -100,8 +100,14 @@ def plain_near(text: str) -> tuple[int, int]:
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     shingles = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({b" ".join(words)} if words else set())
     own = [xxhash.xxh64_intdigest(w, seed=42) for w in set(words)]
-    wide = [xxhash.xxh3_128_intdigest(x, seed=42) for x in shingles]
-    return tuple(sum(1 << b for b in range(n) if 2 * sum(x >> b & 1 for x in h) > len(h)) for n, h in ((64, own), (128, wide)))
+    upper = [xxhash.xxh64_intdigest(x, seed=42) >> 32 for x in shingles]
+    sketch = 0
+    for k in range(512 if upper else 0):
+        rule = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed=42)
+        factor, summand = rule >> 32 | 1, rule & 0xFFFFFFFF
+        least = min((x * factor + summand) & 0xFFFFFFFF for x in upper)
+        sketch |= (least * 0x9E3779B1 >> 31 & 1) << k
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)), sketch
 
 
 def near_roots(texts: list[str]) -> list[int]:
@@ -163,3 +169,16 @@ def test_keep_one_with_repeated_ids_and_clashing_names(spark):
     out = S.keep_one(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "One text"), (9, "and one more"), (9, "quite another")]
+
+
+def test_sketch_tells_similarity():
+    """The share of differing bits is half of what two sets don't have in common; long texts are sketched in pieces."""
+    rng = np.random.default_rng(5)
+    for similarity in (0.5, 0.7, 0.8, 0.9, 1.0):
+        off = []
+        for _ in range(30):
+            pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            a, b = pool[: round(1000 * (1 + similarity) / 2)], pool[round(1000 * (1 - similarity) / 2) :]
+            off.append((int.from_bytes(S.sketch(a), "big") ^ int.from_bytes(S.sketch(b), "big")).bit_count() / 512)
+        assert abs(np.mean(off) - (1 - similarity) / 2) < 0.01
+    assert S.sketch(np.empty(0, np.uint64)) == bytes(64)
