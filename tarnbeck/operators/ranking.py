@@ -8,6 +8,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnbeck.sources.folders import stored
+
+
+def _in_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows with the range (``_range``) and the number there (``_nth``) of a total order. Rows are dealt out by ranges and
+    sorted inside them; they are written once, so that both numbers stay what they were."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.withColumns({"_range": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "ranges")
+
+
+def placed(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, in a total order of all rows. Only the counts of the ranges meet in one place."""
+    rows = _in_ranges(df, order)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
+    before = sizes.select("_range", "_first", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return rows.join(before, "_range").withColumn(place, F.col("_before") + F.col("_nth") - F.col("_first") + 1).drop("_range", "_nth", "_first", "_before")
+
 
 def fair_key(last_claimed: Column, priority: Column, bonus_seconds: int = 300) -> Column:
     """A tenant's last claim, a bonus earlier for priority jobs; null (never claimed) goes first."""
@@ -21,13 +38,12 @@ def fair_order(jobs: DataFrame, last_claimed: str, priority: str, tenant_created
 
 def round_robin(jobs: DataFrame, tenant: str, order: Sequence[Column], tenant_order: str) -> DataFrame:
     """The whole schedule where each claim moves its tenant to the back and no job has priority: a tenant's k-th job is in
-    round k, and a round follows the tenants' order. Only counts of rounds meet in one place, so a round's tenants may be any
-    number: the place is the count of rows in earlier rounds and the rank inside the round."""
-    rows = jobs.withColumn("round", F.row_number().over(Window.partitionBy(tenant).orderBy(*order)) - 1)
-    sizes = rows.groupBy("round").agg(F.count("*").alias("_n"))
-    before = sizes.select("round", (F.sum("_n").over(Window.orderBy("round")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("round").orderBy(tenant_order, tenant))
-    return rows.join(before, "round").withColumn("place", F.col("_before") + place).drop("_before")
+    round k, and a round follows the tenants' order. Both numbers come from sorted ranges, so a tenant may have any number of
+    jobs and a round any number of tenants."""
+    rows = placed(jobs, [F.col(tenant), *order], "_at")
+    first = rows.groupBy(F.col(tenant).alias("_tenant")).agg(F.min("_at").alias("_first"))
+    rounds = rows.join(first, F.col(tenant).eqNullSafe(F.col("_tenant"))).withColumn("round", F.col("_at") - F.col("_first")).drop("_at", "_tenant", "_first")
+    return placed(rounds, [F.col("round"), F.col(tenant_order), F.col(tenant)])
 
 
 def claims(jobs: DataFrame, tenants: DataFrame, queue: str, picks: int) -> DataFrame:
@@ -84,8 +100,15 @@ def lifecycle(present: DataFrame, scans: DataFrame, keys: Sequence[str], key: st
 
 
 def prefix_budget(df: DataFrame, group: str, order: Sequence[Column], size: Column, budget: int) -> DataFrame:
-    """Rows in rank order while their running size stays within the budget: the lowest ranks are popped."""
-    running = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", running).filter(F.col("running") <= budget)
+    """Rows in rank order while their running size (none below 0) stays within the budget: the lowest ranks are popped. A group
+    may be any size: its sums by ranges of the order are added up first, ranges beyond the budget go, and only inside a range
+    are rows added one by one."""
+    rows = _in_ranges(df.withColumn("_size", size), [F.col(group), *order])
+    sums = rows.groupBy(group, "_range").agg(F.sum("_size").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(group).orderBy("_range")) - F.col("_sum"))
+    left = before.filter(F.col("_before") <= budget).select(F.col(group).alias("_group"), F.col("_range").alias("_r"), "_before")
+    near = rows.join(left, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_group")))
+    own = F.sum("_size").over(Window.partitionBy("_range", group).orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("running", F.col("_before") + own).filter(F.col("running") <= budget).select(*df.columns, "running")
 
 

@@ -7,6 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnbeck.operators.aggregates import SEVERITIES, score_band
+
+# What a report's fields may hold, and its limits.
+CATEGORIES = [f"SC{k:02d}" for k in range(1, 11)]
+MODES = ["quick", "standard", "pro"]
+COMPLETENESS = ["complete", "partial", "failed"]
+MOST_EVIDENCE = 5
+
 
 def id_set_errors(got: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """One row: whether the lengths differ, and how many ids are repeated, unknown and missing."""
@@ -25,6 +33,49 @@ def violations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFram
     return df.select(key.alias("key"), F.explode(names).alias("rule"))
 
 
+def report_errors(reports: DataFrame, findings: DataFrame, coverage: DataFrame, partial_rule: bool = True, forced_partial: bool = False) -> DataFrame:
+    """(report, key, rule): every rule that a report breaks; key is the finding's id where the rule is about a finding.
+
+    ``reports``: (report, mode, completeness, score, score_status, band, summary, notes, gas), of which summary is a text and
+    notes and gas count entries. ``findings``: (report, id, stable_key, want_id, want_key, category, severity, status, patch,
+    evidence, locations), the last two counts. ``coverage``: (report, category, status).
+
+    R-02 key and id are those computed; R-04 a finding's category is DETECTED; R-05 a partial or failed report has a
+    NOT_ASSESSED category (``partial_rule=False`` leaves this rule out; ``forced_partial`` lets a partial report pass whose ten
+    categories are all DETECTED and backed by a finding that isn't informational); R-06 quick reports have neither patch nor gas
+    entries; R-07 status and severity are informational together; R-08 a score is there just when it was computed, with its
+    own band; R-09 summary and notes are for pro; then the shapes: ten distinct categories, ids once each, fields from their
+    lists, at most MOST_EVIDENCE lines of evidence, a location or more. A null field breaks the rule that needs it."""
+    said = lambda c: F.coalesce(c, F.lit(False))
+    plain = F.col("severity") != "INFORMATIONAL"
+    covered = coverage.groupBy("report").agg(
+        F.count("*").alias("n"), F.count_distinct("category").alias("kinds"), F.bool_and(said(F.col("category").isin(CATEGORIES))).alias("known"),
+        F.bool_or(F.col("status") == "NOT_ASSESSED").alias("gap"), F.count_distinct(F.when(F.col("status") == "DETECTED", F.col("category"))).alias("detected"),
+    )
+    backed = findings.filter(plain & F.col("category").isin(CATEGORIES)).groupBy("report").agg(F.count_distinct("category").alias("backed"))
+    r = reports.join(covered, "report", "left").join(backed, "report", "left")
+    partial = F.col("completeness").isin("partial", "failed") & ~said(F.col("gap"))
+    if forced_partial:
+        partial &= ~said((F.col("completeness") == "partial") & (F.col("detected") == len(CATEGORIES)) & (F.col("backed") == len(CATEGORIES)))
+    scored = F.col("score_status") == "computed"
+    whole = {
+        "R-05": ~partial if partial_rule else F.lit(True), "R-06": (F.col("mode") != "quick") | (F.col("gas") == 0),
+        "R-08": said(scored == F.col("score").isNotNull()) & (~said(scored) | said(F.col("band") == score_band(F.col("score")))),
+        "R-09": (F.col("mode") == "pro") | (F.col("summary").isNull() & (F.col("notes") == 0)), "categories": (F.col("n") == len(CATEGORIES)) & (F.col("kinds") == len(CATEGORIES)) & F.col("known"),
+        "mode": F.col("mode").isin(MODES), "completeness": F.col("completeness").isin(COMPLETENESS),
+    }
+    found = coverage.groupBy("report", "category").agg(F.bool_and(F.col("status") == "DETECTED").alias("is_detected"))
+    f = findings.join(found, ["report", "category"], "left").join(reports.select("report", "mode"), "report", "left")
+    each = {
+        "R-02": (F.col("stable_key") == F.col("want_key")) & (F.col("id") == F.col("want_id")), "R-04": ~F.col("category").isin(CATEGORIES) | F.col("is_detected"),
+        "R-06": (F.col("mode") != "quick") | F.col("patch").isNull(), "R-07": (F.col("status") == "informational") == (F.col("severity") == "INFORMATIONAL"),
+        "severity": F.col("severity").isin(SEVERITIES), "evidence": F.col("evidence") <= MOST_EVIDENCE, "locations": F.col("locations") >= 1,
+    }
+    broken = lambda df, key, rules: df.select("report", key.alias("key"), F.explode(F.array_compact(F.array(*[F.when(~said(ok), F.lit(n)) for n, ok in rules.items()]))).alias("rule"))
+    twice = findings.groupBy("report", "id").agg(F.count("*").alias("n")).filter("n > 1").select("report", F.col("id").alias("key"), F.lit("repeated_id").alias("rule"))
+    return broken(r, F.lit(None).cast("string"), whole).unionByName(broken(f, F.col("id"), each)).unionByName(twice)
+
+
 def repeated(df: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     """Keys that a unique rule finds more than once."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(F.concat_ws(":", *keys).alias("key"), F.lit(rule).alias("rule"))

@@ -52,9 +52,13 @@ def phrase_hits(df: DataFrame, id_col: str, text_col: str, rules: Sequence[tuple
 
 
 def input_hash(files: DataFrame, group: str, text: Column) -> DataFrame:
-    """Of each group, one hash of its files that neither line ends nor the files' order change."""
-    each = F.sha2(F.regexp_replace(text, "\r\n?", "\n"), 256)
-    return files.groupBy(group).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(each))), 256).alias("input_hash"))
+    """Of each group, one hash of its files that neither line ends nor the files' order change; a null text is an empty one. The
+    files' hashes, sorted, are hashed by their first three digits, and those 4,096 hashes or fewer again, so no row holds a
+    whole group."""
+    each = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), 256)
+    joined = lambda xs: F.sha2(F.concat_ws("\n", xs), 256)
+    parts = files.select(group, each.alias("h")).groupBy(group, F.substring("h", 1, 3).alias("b")).agg(joined(F.sort_array(F.collect_list("h"))).alias("h"))
+    return parts.groupBy(group).agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])).alias("input_hash"))
 
 
 def calls_of(df: DataFrame, id_col: str, text_col: str, keywords: Sequence[str]) -> DataFrame:

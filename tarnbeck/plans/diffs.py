@@ -33,21 +33,29 @@ def _(t):
     return V.key_status(*_sides(t), ["k"], COMPARED).select("k", "status", "changed")
 
 
-@_q.add("C13_N1_finding_diff", """
+_DIFF = """
 WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS severity, o_custkey || '/' || o_totalprice AS second FROM orders),
      a AS (SELECT id, severity, second FROM o WHERE id % 7 <> 0),
      b AS (SELECT CASE WHEN id % 10 = 3 THEN id + 1000000 ELSE id END AS id, CASE WHEN id % 11 = 0 THEN 'X' ELSE severity END AS severity, second FROM o WHERE id % 9 <> 0),
      m AS (SELECT a.id, b.id AS after_id, CASE WHEN a.severity IS DISTINCT FROM b.severity THEN 'modified' ELSE 'matched' END AS status, 'key' AS matched_by FROM a JOIN b ON a.id = b.id),
      l AS (SELECT *, count(*) OVER (PARTITION BY second) AS n FROM a WHERE id NOT IN (SELECT id FROM m)), r AS (SELECT *, count(*) OVER (PARTITION BY second) AS n FROM b WHERE id NOT IN (SELECT id FROM m)),
-     s AS (SELECT l.id, r.id AS after_id, 'modified' AS status, 'secondary' AS matched_by FROM l JOIN r ON l.second = r.second AND l.n = 1 AND r.n = 1)
-SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT id, NULL, 'resolved', NULL FROM l WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT NULL, id, 'new', NULL FROM r WHERE id NOT IN (SELECT after_id FROM s)""")
-def _(t):
+     s AS (SELECT l.id, r.id AS after_id, 'modified' AS status, 'secondary' AS matched_by FROM l JOIN r ON l.second = r.second AND l.n = 1 AND r.n = 1),
+     d AS (SELECT * FROM m UNION ALL SELECT * FROM s UNION ALL SELECT id, NULL, 'resolved', NULL FROM l WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT NULL, id, 'new', NULL FROM r WHERE id NOT IN (SELECT after_id FROM s))"""
+
+
+def _diffed(t):
+    """(id, after_id, status, matched_by) of two snapshots of the orders, as findings."""
     o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("severity"), F.concat_ws("/", F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("second"))
     i = F.col("id")
     b = o.filter("id % 9 <> 0").select(F.when(i % 10 == 3, i + 1000000).otherwise(i).alias("id"), F.when(i % 11 == 0, "X").otherwise(F.col("severity")).alias("severity"), "second")
     return V.matched_findings(o.filter("id % 7 <> 0"), b, "id", "second", ["severity"]).select("id", F.col("after_key").alias("after_id"), "status", "matched_by")
 
 
+@_q.add("C13_N1_finding_diff", _DIFF + " SELECT * FROM d")
+def _(t):
+    return _diffed(t)
+
+
 @_q.add("C15_duplicate_identities", """
 SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n, list_sort(list(o_orderkey)) AS records, [x for x in [CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'status' END, CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'priority' END] if x IS NOT NULL] AS disagree
 FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -165,12 +173,14 @@ def _(t):
     return t("lineitem").join(implementations, "l_partkey").groupBy(F.col("l_suppkey").alias("proxy")).agg(F.countDistinct("l_partkey").alias("n"))
 
 
-@_q.add("N7_pr_gate", """
+@_q.add("N7_pr_gate", _DIFF + """, n AS (SELECT CASE WHEN after_id % 10 = 3 THEN after_id - 1000000 ELSE after_id END AS o_orderkey FROM d WHERE status = 'new')
 SELECT o_custkey, CASE WHEN bool_or(o_orderstatus IN ('F', 'P') AND coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 END >= 2, true) AND o_orderkey % 10 IN (1, 2)) THEN 'FAIL' ELSE 'PASS' END AS gate
-FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1""")
+FROM orders JOIN n USING (o_orderkey) GROUP BY 1""")
 def _(t):
     p = F.col("o_orderpriority")
-    rows = t("orders").filter("o_orderkey % 3 = 0").withColumns({"confidence": F.when(p == "1-URGENT", "high").when(p == "2-HIGH", "medium").when(p == "3-MEDIUM", "low").when(p == "5-LOW", "strange"), "category": F.concat(F.lit("c"), (F.col("o_orderkey") % 10).cast("string"))})
+    after = F.col("after_id")
+    new = _diffed(t).filter("status = 'new'").select(F.when(after % 10 == 3, after - 1000000).otherwise(after).alias("o_orderkey"))
+    rows = t("orders").join(new, "o_orderkey").withColumns({"confidence": F.when(p == "1-URGENT", "high").when(p == "2-HIGH", "medium").when(p == "3-MEDIUM", "low").when(p == "5-LOW", "strange"), "category": F.concat(F.lit("c"), (F.col("o_orderkey") % 10).cast("string"))})
     blocks = P.gate(rows, "o_orderstatus", "confidence", "category", ["F", "P"], "medium", ["c1", "c2"])
     return rows.groupBy("o_custkey").agg(F.when(F.bool_or(blocks), "FAIL").otherwise("PASS").alias("gate"))
 

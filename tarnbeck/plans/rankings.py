@@ -32,9 +32,8 @@ def _(t):
 WITH j AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS round, min(o_orderdate) OVER (PARTITION BY o_custkey) AS made FROM orders WHERE o_orderstatus = 'O')
 SELECT o_orderkey, round, row_number() OVER (ORDER BY round, made, o_custkey) AS place FROM j""")
 def _(t):
-    from pyspark.sql import Window
-
-    jobs = t("orders").filter("o_orderstatus = 'O'").withColumn("made", F.min("o_orderdate").over(Window.partitionBy("o_custkey")))
+    jobs = t("orders").filter("o_orderstatus = 'O'")
+    jobs = jobs.join(jobs.groupBy("o_custkey").agg(F.min("o_orderdate").alias("made")), "o_custkey")
     return K.round_robin(jobs, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], "made").select("o_orderkey", F.col("round").cast("long").alias("round"), F.col("place").cast("long").alias("place"))
 
 
@@ -103,10 +102,10 @@ def _(t):
 
 
 @_q.add("E8_E10_severity_order", """
-SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 3 ELSE 1 END DESC, o_orderkey LIMIT 60""")
+SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 3 ELSE 1 END DESC, o_orderkey) AS place FROM orders""")
 def _(t):
     severity = F.when(F.col("o_orderstatus") == "F", "CRITICAL").when(F.col("o_orderstatus") == "P", "HIGH").otherwise("LOW")
-    return R.page(t("orders"), [A.rank_of(severity, A.SEVERITIES).desc(), F.col("o_orderkey")], 60).select("o_orderkey")
+    return K.placed(t("orders").select("o_orderkey", "o_orderstatus"), [A.rank_of(severity, A.SEVERITIES).desc(), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @_q.add("E11_lifecycle", """

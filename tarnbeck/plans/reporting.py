@@ -82,7 +82,7 @@ def _(t):
     return rows.select("doc_id", F.col("sha").alias("identity"))
 
 
-@_q.add("R3_validate", """
+@_q.add("R3_rule_rows", """
 WITH f AS (SELECT l_orderkey AS k, l_quantity AS q, l_discount AS d, l_returnflag AS rf, l_linestatus AS ls, l_tax AS x, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem)
 SELECT k || '/' || n || '/' || p || '/' || s AS key, 'R-02' AS rule FROM f WHERE q > 49 UNION ALL SELECT k || '/' || n || '/' || p || '/' || s, 'R-04' FROM f WHERE rf = 'R' AND d > 0.09
 UNION ALL SELECT k || '/' || n || '/' || p || '/' || s, 'R-08' FROM f WHERE (ls = 'O') <> (nullif(x, 0) IS NOT NULL)""")
@@ -92,6 +92,51 @@ def _(t):
     return P.violations(t("lineitem"), key, rules)
 
 
+_REPORTS = """
+WITH r AS (SELECT o_orderkey AS report, CASE o_orderstatus WHEN 'F' THEN 'quick' WHEN 'P' THEN 'pro' WHEN 'O' THEN CASE WHEN o_orderkey % 40 = 7 THEN 'ultra' ELSE 'standard' END END AS mode,
+  CASE o_orderkey % 5 WHEN 0 THEN 'partial' WHEN 1 THEN 'failed' WHEN 2 THEN CASE WHEN o_orderkey % 9 = 0 THEN 'almost' ELSE 'complete' END ELSE 'complete' END AS completeness,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 101 END AS score, o_orderkey % 13 <> 0 AND o_orderkey % 7 <> 0 AS scored, o_orderkey % 11 = 0 AS wrong_band, o_orderpriority = '1-URGENT' AS summary, o_custkey % 10 = 0 AS gas FROM orders),
+ c AS (SELECT o_orderkey AS report, n, CASE WHEN o_orderkey % 17 = 0 AND n = 10 THEN 1 ELSE n END AS category, CASE WHEN o_orderkey % 3 = 0 OR (o_orderkey + n) % 4 = 0 THEN 'DETECTED' WHEN o_orderkey % 4 = 1 AND n = 6 THEN 'NOT_ASSESSED' ELSE 'NOT_DETECTED' END AS status FROM orders, range(1, 11) v(n)),
+ k AS (SELECT report, category, bool_and(status = 'DETECTED') AS hit FROM c GROUP BY 1, 2),
+ f AS (SELECT l_orderkey AS report, CAST(l_linenumber AS VARCHAR) AS id, l_partkey % 11 + 1 AS category, l_returnflag = 'R' AS informational, l_returnflag = 'R' AND l_suppkey % 6 <> 0 AS so, l_partkey % 50 = 0 AS tampered, l_tax < 0.02 AS patch, l_linenumber AS evidence, l_suppkey % 9 AS locations FROM lineitem),
+ b AS (SELECT report, count(DISTINCT category) AS backed FROM f WHERE NOT so AND category <= 10 GROUP BY 1),
+ w AS (SELECT r.*, gap, kinds, coalesce(backed, 0) AS backed, detected FROM r JOIN (SELECT report, bool_or(status = 'NOT_ASSESSED') AS gap, count(DISTINCT category) AS kinds, count(DISTINCT category) FILTER (status = 'DETECTED') AS detected FROM c GROUP BY 1) USING (report) LEFT JOIN b USING (report)),
+ x AS (SELECT f.*, mode, hit FROM f LEFT JOIN r USING (report) LEFT JOIN k USING (report, category))
+SELECT report, CAST(NULL AS VARCHAR) AS key, 'R-05' AS rule FROM w WHERE completeness IN ('partial', 'failed') AND NOT gap AND NOT (completeness = 'partial' AND detected = 10 AND backed = 10)
+UNION ALL SELECT report, NULL, 'R-06' FROM w WHERE mode = 'quick' AND gas
+UNION ALL SELECT report, NULL, 'R-08' FROM w WHERE scored <> (score IS NOT NULL) OR (scored AND wrong_band)
+UNION ALL SELECT report, NULL, 'R-09' FROM w WHERE mode <> 'pro' AND summary
+UNION ALL SELECT report, NULL, 'categories' FROM w WHERE kinds < 10 UNION ALL SELECT report, NULL, 'mode' FROM w WHERE mode = 'ultra' UNION ALL SELECT report, NULL, 'completeness' FROM w WHERE completeness = 'almost'
+UNION ALL SELECT report, id, 'R-02' FROM x WHERE tampered UNION ALL SELECT report, id, 'R-04' FROM x WHERE category <= 10 AND hit IS DISTINCT FROM TRUE
+UNION ALL SELECT report, id, 'R-06' FROM x WHERE (mode = 'quick' AND patch) OR (mode IS NULL AND patch) UNION ALL SELECT report, id, 'R-07' FROM x WHERE informational <> so
+UNION ALL SELECT report, id, 'evidence' FROM x WHERE evidence > 5 UNION ALL SELECT report, id, 'locations' FROM x WHERE locations = 0
+UNION ALL SELECT report, id, 'repeated_id' FROM f GROUP BY 1, 2 HAVING count(*) > 1"""
+
+
+@_q.add("R3_validate", _REPORTS)
+def _(t):
+    o, p, s = F.col("o_orderkey"), F.col("l_partkey"), F.col("o_orderstatus")
+    named = lambda n: F.concat(F.lit("SC"), F.lpad(n.cast("string"), 2, "0"))
+    mode = F.when(s == "F", "quick").when(s == "P", "pro").when((s == "O") & (o % 40 == 7), "ultra").when(s == "O", "standard")
+    state = F.when(o % 5 == 0, "partial").when(o % 5 == 1, "failed").when((o % 5 == 2) & (o % 9 == 0), "almost").otherwise("complete")
+    score = F.when(o % 7 != 0, F.col("o_custkey") % 101)
+    reports = t("orders").select(
+        o.alias("report"), mode.alias("mode"), state.alias("completeness"), score.alias("score"), F.when((o % 13 != 0) & (o % 7 != 0), "computed").otherwise("not_computed").alias("score_status"),
+        F.when(o % 11 == 0, "NONE").otherwise(A.score_band(score)).alias("band"), F.when(F.col("o_orderpriority") == "1-URGENT", "text").alias("summary"), F.lit(0).alias("notes"), (F.col("o_custkey") % 10 == 0).cast("int").alias("gas"),
+    )
+    n = F.col("n")
+    status = F.when((o % 3 == 0) | ((o + n) % 4 == 0), "DETECTED").when((o % 4 == 1) & (n == 6), "NOT_ASSESSED").otherwise("NOT_DETECTED")
+    coverage = t("orders").select("o_orderkey", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("n")).select(o.alias("report"), named(F.when((o % 17 == 0) & (n == 10), 1).otherwise(n)).alias("category"), status.alias("status"))
+    number, flag = F.col("l_linenumber").cast("string"), F.col("l_returnflag") == "R"
+    key = F.sha2(p.cast("string"), 256)
+    findings = t("lineitem").select(
+        F.col("l_orderkey").alias("report"), number.alias("id"), number.alias("want_id"), F.when(p % 50 == 0, "other").otherwise(key).alias("stable_key"), key.alias("want_key"), named(p % 11 + 1).alias("category"),
+        F.when(flag & (F.col("l_suppkey") % 6 != 0), "INFORMATIONAL").otherwise("LOW").alias("severity"), F.when(flag, "informational").otherwise("open").alias("status"), F.when(F.col("l_tax") < 0.02, "diff").alias("patch"),
+        F.col("l_linenumber").alias("evidence"), (F.col("l_suppkey") % 9).alias("locations"),
+    )
+    return P.report_errors(reports, findings, coverage, forced_partial=True)
+
+
 @_q.add("V1_constraints", """
 SELECT CAST(o_orderkey AS VARCHAR) AS key, 'status_known' AS rule FROM orders WHERE o_orderstatus NOT IN ('P', 'F') UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'price_with_priority' FROM orders WHERE nullif(o_orderpriority, '5-LOW') <> '1-URGENT' AND o_totalprice > 450000
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'customer_exists' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)

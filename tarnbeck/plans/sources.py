@@ -58,13 +58,13 @@ def _(t):
     return t("documents").select("doc_id", git_blob_sha(F.col("text")).alias("sha"), (F.octet_length("text") > 20000).alias("over_limit"))
 
 
-_MANIFEST = """WITH f AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 1 THEN 'Src/' || (doc_id - 1) || '.SOL' WHEN doc_id % 50 = 2 THEN '/abs.sol' ELSE 'src/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.sol' ELSE '.txt' END END AS path, text FROM documents WHERE NOT contains(text, chr(13)))"""
+_MANIFEST = r"""WITH f AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 1 THEN 'Src/' || (doc_id - 1) || '.SOL' WHEN doc_id % 50 = 2 THEN '/abs.sol' ELSE 'src/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.sol' ELSE '.txt' END END AS path, regexp_replace(regexp_replace(text, '^\x{feff}', ''), '\r\n?', chr(10), 'g') AS text FROM documents)"""
 
 
 def _sources(t):
     i = F.col("doc_id")
     path = F.when(i % 50 == 1, F.concat(F.lit("Src/"), (i - 1).cast("string"), F.lit(".SOL"))).when(i % 50 == 2, "/abs.sol").otherwise(F.concat(F.lit("src/"), i.cast("string"), F.when(i % 3 == 0, ".sol").otherwise(".txt")))
-    return t("documents").filter(~F.col("text").contains("\r")).select("doc_id", "lang", path.alias("path"), F.col("text").alias("content"))
+    return t("documents").select("doc_id", "lang", path.alias("path"), F.col("text").alias("content"))
 
 
 @_q.add("A14_A29_manifest", _MANIFEST + """

@@ -175,3 +175,64 @@ def test_long_cycles_and_paths(spark):
     assert max(len(r.hops) for r in paths) == 21 and len(paths) == 20
     bases = spark.createDataFrame([(k, 0, k + 1) for k in range(1, 21)], "node int, place int, base int")
     assert H.linearised(bases).filter("node = 1").count() == 20
+
+
+def test_places_follow_a_total_order_over_many_ranges(spark):
+    rows = [(k * 7919 % 1000, None if k % 3 else "hot") for k in range(1000)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(6)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", -r[0]))
+    assert [tuple(r)[:2] for r in K.placed(df, [F.col("g"), F.col("k").desc()]).orderBy("place").collect()] == want
+    assert K.placed(df.limit(0), [F.col("k")]).count() == 0
+    spread = K.round_robin(df.withColumn("made", F.lit(1)), "g", [F.col("k")], "made")
+    turns = [(k, g) for k in range(666) for g in (None, "hot") if g is None or k < 334]
+    assert [tuple(r) for r in spread.orderBy("place").select("round", "g").collect()] == turns
+
+
+def test_a_budget_is_held_over_ranges_and_null_groups(spark):
+    rows = [(k, None if k % 2 else "a", k % 5) for k in range(400)]
+    got = K.prefix_budget(spark.createDataFrame(rows, "k long, g string, n long").repartition(5), "g", [F.col("k")], F.col("n"), 300)
+    want = []
+    for g in ("a", None):
+        run = 0
+        for k, _, n in (r for r in rows if r[1] == g):
+            run += n
+            want += [(k, g, n, run)] if run <= 300 else []
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+REPORT = "report long, mode string, completeness string, score int, score_status string, band string, summary string, notes int, gas int"
+FINDING = "report long, id string, stable_key string, want_id string, want_key string, category string, severity string, status string, patch string, evidence int, locations int"
+
+
+def errors(spark, report=(), finding=(), statuses=None, n=1, **options):
+    """The rules that one report breaks: a valid one but for the given fields."""
+    r = {"mode": "standard", "completeness": "complete", "score": 85, "score_status": "computed", "band": "LOW", "summary": None, "notes": 0, "gas": 0, **dict(report)}
+    f = {"id": "F-1", "stable_key": "k", "want_id": "F-1", "want_key": "k", "category": "SC01", "severity": "HIGH", "status": "open", "patch": None, "evidence": 5, "locations": 1, **dict(finding)}
+    statuses = statuses or {"SC01": "DETECTED"}
+    found = [(1, *f.values())] * n if n <= 1 else [(1, *{**f, "id": f"F-{k}", "want_id": f"F-{k}", "category": f"SC{k:02d}"}.values()) for k in range(1, n + 1)]
+    cover = [(1, c, statuses.get(c, "NOT_DETECTED")) for c in P.CATEGORIES]
+    made = (spark.createDataFrame(found, FINDING), spark.createDataFrame(cover, "report long, category string, status string"))
+    return sorted(x["rule"] for x in P.report_errors(spark.createDataFrame([(1, *r.values())], REPORT), *made, **options).collect())
+
+
+def test_each_rule_of_a_report(spark):
+    assert errors(spark) == [] and errors(spark, n=0, statuses={"SC02": "NOT_ASSESSED"}) == []
+    assert errors(spark, finding={"stable_key": "x"}) == errors(spark, finding={"id": "F-x"}) == ["R-02"]
+    assert errors(spark, statuses={"SC02": "DETECTED"}) == ["R-04"] and errors(spark, finding={"category": "EXTRA-x"}) == []
+    assert errors(spark, {"mode": "quick"}, {"patch": "diff"}) == errors(spark, {"mode": "quick", "gas": 1}) == ["R-06"]
+    assert errors(spark, finding={"status": "informational"}) == ["R-07"]
+    assert errors(spark, {"score_status": "not_computed"}) == errors(spark, {"band": "CRITICAL"}) == errors(spark, {"band": None}) == ["R-08"]
+    assert errors(spark, {"score": None, "score_status": "not_computed", "band": None}) == []
+    assert errors(spark, {"summary": "x"}) == errors(spark, {"notes": 1}) == ["R-09"] and errors(spark, {"mode": "pro", "summary": "x", "notes": 2}) == []
+    assert errors(spark, {"mode": "ultra"}) == ["mode"] and errors(spark, {"mode": None}) == ["mode"]
+    assert errors(spark, finding={"evidence": 6}) == ["evidence"] and errors(spark, finding={"locations": 0}) == ["locations"] and errors(spark, finding={"severity": "SUPER"}) == ["severity"]
+
+
+def test_the_rule_of_partial_reports(spark):
+    part, every = {"completeness": "partial"}, dict.fromkeys(P.CATEGORIES, "DETECTED")
+    assert errors(spark, part) == ["R-05"] and errors(spark, part, partial_rule=False) == []
+    assert errors(spark, part, statuses={"SC01": "DETECTED", "SC06": "NOT_ASSESSED"}) == []
+    assert errors(spark, part, statuses=every, n=10) == ["R-05"] and errors(spark, part, statuses=every, n=10, forced_partial=True) == []
+    assert errors(spark, {"completeness": "failed"}, statuses=every, n=10, forced_partial=True) == ["R-05"]
+    assert errors(spark, part, statuses=every, n=9, forced_partial=True) == ["R-05"]
+    assert errors(spark, {"completeness": "almost"}) == ["completeness"]
