@@ -147,6 +147,12 @@ def _each(df: DataFrame, id_col: str, json_col: str, work: Callable[[str], str],
     return out.withColumn("bytes", F.octet_length(name).cast("long"))
 
 
+def compact_table_bytes(key_bytes: Column, value_bytes: Column, keys: int, n: Column) -> Column:
+    """Bytes of a compact table of ``n`` records, 2 or more, of the same ``keys`` keys: ``key_bytes`` of the quoted keys, ``value_bytes``
+    of all records' values. Around them stand the directive and, for the head and each record, brackets and commas."""
+    return key_bytes + value_bytes + (n + 1) * (keys + 1) + n + len('{"$t":[') + len("]}")
+
+
 def plain_list_bytes(record_bytes: Column, n: Column) -> Column:
     """Bytes of a canonical list: the records and ", " between them, in brackets."""
     return record_bytes + F.greatest(n - 1, F.lit(0)) * 2 + 2

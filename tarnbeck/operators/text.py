@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that try to steer a reader, and shapes of secrets.
+# Phrases, by language, that try to steer a reader, and shapes of secrets.
 INJECTION_PHRASES = [
-    "ignore previous instructions", "ignore all previous", "disregard the above", "ignora las instrucciones anteriores", "ignorez les instructions",
-    "ignoriere alle vorherigen", "ignore as instruções anteriores", "ignora le istruzioni precedenti",
+    ("en", "ignore previous instructions"), ("en", "ignore all previous"), ("en", "disregard the above"), ("es", "ignora las instrucciones anteriores"), ("fr", "ignorez les instructions"),
+    ("de", "ignoriere alle vorherigen"), ("pt", "ignore as instruções anteriores"), ("pt", "ignore as instrucoes anteriores"), ("it", "ignora le istruzioni precedenti"), ("it", "ignora questo commento"),
 ]
-SECRET_SHAPES = {"private_key": r"(?i)(?:private[_ ]?key|secret)\W{0,5}(?:0x)?[0-9a-f]{64}", "aws_key": r"AKIA[0-9A-Z]{16}", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][a-z]+"}
+SECRET_SHAPES = {"hex64-possible-private-key": r"(?i)(?:private[_ -]?key|secret|mnemonic|seed)[^\n]{0,60}?\b(?:0x)?[0-9a-f]{64}\b", "aws_key": r"AKIA[0-9A-Z]{16}", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][a-z]+"}
 LANGUAGE_MARKS = [("solidity", r"pragma\s+solidity|contract\s+\w+\s*\{"), ("vyper", r"@external|# @version"), ("rust", r"fn\s+\w+\s*\(|use\s+\w+::")]
 
 
@@ -51,6 +51,12 @@ def phrase_hits(df: DataFrame, id_col: str, text_col: str, rules: Sequence[tuple
     return df.select(id_col, F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select(id_col, "h.rule", "h.n")
 
 
+def injection_signals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, language, phrase, n, weight, informational): the phrases of INJECTION_PHRASES. They weigh nothing and only inform."""
+    hits = phrase_hits(df, id_col, text_col, [(f"{lang}:{phrase}", phrase) for lang, phrase in INJECTION_PHRASES])
+    return hits.select(id_col, F.substring("rule", 1, 2).alias("language"), F.substring("rule", 4, 200).alias("phrase"), "n", F.lit(0).alias("weight"), F.lit(True).alias("informational"))
+
+
 def input_hash(files: DataFrame, group: str, text: Column) -> DataFrame:
     """Of each group, one hash of its files that neither line ends nor the files' order change; a null text is an empty one. The
     files' hashes, sorted, are hashed by their first three digits, and those 4,096 hashes or fewer again, so no row holds a

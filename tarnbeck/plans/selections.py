@@ -55,6 +55,14 @@ def _(t):
     return t("orders").groupBy("o_custkey").agg(F.sum(record).alias("b"), F.count("*").alias("n")).select("o_custkey", E.plain_list_bytes(F.col("b"), F.col("n")).alias("bytes"))
 
 
+@_q.add("I11_table_bytes", """
+SELECT o_custkey, CAST(strlen('{"$t":[["k","s"],' || string_agg('[' || o_orderkey || ',"' || o_orderstatus || '"]', ',') || ']}') AS BIGINT) AS bytes FROM orders GROUP BY 1 HAVING count(*) > 1""")
+def _(t):
+    values = F.octet_length(F.concat(F.col("o_orderkey").cast("string"), F.lit('"'), F.col("o_orderstatus"), F.lit('"')))
+    lists = t("orders").groupBy("o_custkey").agg(F.sum(values).alias("v"), F.count("*").alias("n")).filter("n > 1")
+    return lists.select("o_custkey", E.compact_table_bytes(F.lit(len('"k""s"')), F.col("v"), 2, F.col("n")).cast("long").alias("bytes"))
+
+
 def _documents(t):
     """A JSON document for each customer, with his orders as records of two files."""
     record = F.concat(F.lit('{"file": "'), F.col("o_orderstatus"), F.lit('.sol", "line": '), F.col("o_orderkey").cast("string"), F.lit(', "kind": "'), F.col("o_orderpriority"), F.lit('"}'))

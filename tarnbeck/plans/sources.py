@@ -117,6 +117,27 @@ def _(t):
     return out.select("o_custkey", F.md5("markdown").alias("digest"))
 
 
+@_q.add("A27_reports", r"""
+WITH f AS (SELECT o_custkey AS report, o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'HIGH' WHEN 'P' THEN 'LOW' ELSE 'INFORMATIONAL' END AS s, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'P' THEN 2 ELSE 1 END AS k, replace(replace(o_orderpriority, '-', '<_'), '<', '&lt;') AS h FROM orders),
+ g AS (SELECT report, coalesce(string_agg('- **' || s || '** ' || replace(h, '_', '\_') || chr(10), '' ORDER BY k DESC, id) FILTER (k > 1), 'No finding in the analysed scope.' || chr(10)) AS m, coalesce(string_agg('- ' || replace(h, '_', '\_') || chr(10), '' ORDER BY id) FILTER (k = 1), '') AS mi,
+  coalesce(string_agg('<p><b>' || s || '</b> ' || h || '</p>', '' ORDER BY k DESC, id) FILTER (k > 1), '<p>No finding in the analysed scope.</p>') AS w, coalesce(string_agg('<p>' || h || '</p>', '' ORDER BY id) FILTER (k = 1), '') AS wi FROM f GROUP BY 1),
+ a AS (SELECT c_custkey AS report, c_mktsegment = 'BUILDING' AS pro, coalesce('Score: ' || CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 101 END, 'Score unavailable') AS score, coalesce(m, 'No finding in the analysed scope.' || chr(10)) AS m, coalesce(mi, '') AS mi, coalesce(w, '<p>No finding in the analysed scope.</p>') AS w, coalesce(wi, '') AS wi,
+  'An automated check of what was sent, not a formal security audit. Without a finding there may still be faults.' AS notice, CASE WHEN c_nationkey % 2 = 0 THEN 'DETECTED' ELSE 'NOT_ASSESSED' END AS one FROM customer LEFT JOIN g ON report = c_custkey)
+SELECT report, md5('# Report' || chr(10) || chr(10) || notice || chr(10) || chr(10) || score || chr(10) || chr(10) || '| Category | Status |' || chr(10) || '|-|-|' || chr(10) || '| SC01 | ' || one || ' |' || chr(10) || '| SC02 | NOT_DETECTED |' || chr(10) || chr(10) || '## Findings' || chr(10) || chr(10) || m
+  || CASE WHEN mi = '' THEN '' ELSE chr(10) || '## Informational Notices' || chr(10) || chr(10) || mi END) AS markdown,
+ CASE WHEN pro THEN md5('<h1>Report</h1><p>' || notice || '</p><p>' || score || '</p><table><tr><td>SC01</td><td>' || one || '</td></tr><tr><td>SC02</td><td>NOT_DETECTED</td></tr></table><h2>Findings</h2>' || w || CASE WHEN wi = '' THEN '' ELSE '<h2>Informational Notices</h2>' || wi END) END AS html FROM a""")
+def _(t):
+    s, c = F.col("o_orderstatus"), t("customer")
+    severity = F.when(s == "F", "HIGH").when(s == "P", "LOW").otherwise("INFORMATIONAL")
+    rank = F.when(s == "F", 4).when(s == "P", 2).otherwise(1)
+    findings = t("orders").select(F.col("o_custkey").alias("report"), F.col("o_orderkey").alias("id"), rank.alias("severity_rank"), severity.alias("severity"), F.replace("o_orderpriority", F.lit("-"), F.lit("<_")).alias("title"), (rank == 1).alias("informational"))
+    k = F.col("c_custkey")
+    reports = c.select(k.alias("report"), F.when(F.col("c_mktsegment") == "BUILDING", "pro").otherwise("quick").alias("mode"), F.when(k % 5 > 0, k % 101).alias("score"))
+    one = F.when(F.col("c_nationkey") % 2 == 0, "DETECTED").otherwise("NOT_ASSESSED")
+    coverage = c.select(k.alias("report"), F.lit("SC02").alias("category"), F.lit("NOT_DETECTED").alias("status")).union(c.select(k, F.lit("SC01"), one))
+    return X.rendered_reports(reports, findings, coverage).select("report", F.md5("markdown").alias("markdown"), F.md5("html").alias("html"))
+
+
 @_q.add("A28_chain_records", """
 SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 3 THEN '0x' || left(sha1(s_name), 40) END AS address, s_suppkey % 4 = 0 AS verified, CASE s_suppkey % 4 WHEN 0 THEN 'complete' WHEN 3 THEN 'failed' ELSE 'partial' END AS completeness FROM supplier""")
 def _(t):
@@ -126,13 +147,30 @@ def _(t):
     return X.ingested_record(t("supplier").select("s_suppkey", F.when(k == 3, "0x12").otherwise(sha).alias("address"), raw.alias("raw")), "s_suppkey")
 
 
-@_q.add("A18_object_store", "SELECT doc_id, md5(text) AS digest FROM documents WHERE lang = 'de' AND source = 'src3'")
+@_q.add("A18_object_store", """
+SELECT doc_id, md5(CASE WHEN doc_id % 8 = 0 THEN 'again' ELSE text END) AS digest FROM documents WHERE lang = 'de' AND source = 'src3' AND (doc_id % 4 <> 0 OR doc_id % 8 = 0)""")
 def _(t):
     from tarnbeck.streaming.limits import new_folder
 
     top = new_folder(t.spark, "objects")
-    X.put_objects(t("documents").select(F.col("lang").alias("category"), F.col("source").alias("workspace"), "doc_id", F.col("text").alias("content")), top)
-    return X.get_objects(t.spark, top, "de", "src3").select("doc_id", F.md5("content").alias("digest"))
+    rows = t("documents").select(F.col("lang").alias("category"), F.col("source").alias("workspace"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"), "doc_id")
+    X.put_objects(rows, top)
+    X.delete_objects(rows.filter("doc_id % 4 = 0"), top)
+    X.put_objects(rows.filter("doc_id % 8 = 0").withColumn("content", F.lit("again")), top)
+    return X.get_objects(t.spark, top, "de", "src3").select(F.col("name").cast("long").alias("doc_id"), F.md5("content").alias("digest"))
+
+
+@_q.add("A18_existing", "SELECT doc_id, doc_id % 4 <> 0 AS there FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT -doc_id, FALSE FROM documents")
+def _(t):
+    from tarnbeck.sources.folders import new_folder
+
+    top = new_folder(t.spark, "objects")
+    rows = t("documents").select(F.lit("c").alias("category"), F.col("lang").alias("workspace"), F.col("doc_id").cast("string").alias("name"), F.lit("x").alias("content"), "doc_id").fillna({"workspace": "none"})
+    X.put_objects(rows, top)
+    X.delete_objects(rows.filter("doc_id % 4 = 0"), top)
+    never = rows.withColumn("name", (-F.col("doc_id")).cast("string"))
+    found = X.existing_objects(t.spark, top, rows.filter("doc_id % 3 > 0").union(never).select("category", "workspace", "name"))
+    return found.select(F.col("name").cast("long").alias("doc_id"), "there")
 
 
 @_q.add("A20_word_list", "SELECT DISTINCT lower(p_brand) AS word FROM part")

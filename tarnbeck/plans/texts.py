@@ -31,9 +31,18 @@ def _(t):
     return X.mapped(_code(t), "p_partkey", "text", "n long", lambda x: [X.code_lines(x)])
 
 
-@_q.add("L2_masking", "SELECT p_partkey, p_partkey % 10 = 0 AS unterminated, CAST(CASE WHEN p_partkey % 10 = 0 THEN 11 ELSE 10 END AS BIGINT) AS lines FROM part")
+@_q.add("L2_masking", """
+SELECT p_partkey, p_partkey % 10 = 0 AS unterminated, CAST(CASE WHEN p_partkey % 10 = 0 THEN 11 ELSE 10 END AS BIGINT) AS lines,
+ md5('pragma solidity ^0.8.0;' || chr(10) || repeat(' ', 8 + length(CAST(p_partkey AS VARCHAR))) || chr(10) || 'contract C' || p_partkey || ' {' || chr(10) || '  string s = "// not a comment";' || chr(10) || repeat(' ', 10) || chr(10)
+  || repeat(' ', 10) || ' uint x; ' || repeat(' ', 7) || chr(10) || chr(10) || '  function f' || p_partkey || '(uint a) public { g(a); if (a) { h(a); } }' || chr(10) || '}' || chr(10)
+  || CASE WHEN p_partkey % 10 = 0 THEN repeat(' ', 7) || chr(10) || repeat(' ', 7) ELSE '' END) AS digest FROM part""")
 def _(t):
-    return X.mapped(_code(t), "p_partkey", "text", "unterminated boolean, lines long", lambda x: [X.masked(x)[1], X.masked(x)[0].count("\n") + 1])
+    def work(x):
+        text, unterminated = X.masked(x)
+        return unterminated, text.count("\n") + 1, text
+
+    out = X.mapped(_code(t), "p_partkey", "text", "unterminated boolean, lines long, masked string", work)
+    return out.select("p_partkey", "unterminated", "lines", F.md5("masked").alias("digest"))
 
 
 @_q.add("L3_language", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'solidity' WHEN page_id % 5 = 1 THEN 'vyper' WHEN page_id % 5 = 2 THEN 'solidity' WHEN page_id % 5 = 3 THEN 'rust' ELSE 'unknown' END AS language FROM pages")
@@ -66,6 +75,30 @@ def _(t):
     return t("documents").select("doc_id", X.secret_count(text, "email").cast("long").alias("n"), F.md5(X.redacted(text, ["email"])).alias("redacted"))
 
 
+@_q.add("L6_key_material", r"""
+WITH d AS (SELECT doc_id, sha256(text) AS key, text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '// private key for testing: 0x' || sha256(text) WHEN 1 THEN 'block hash 0x' || sha256(text) WHEN 2 THEN 'SECRET=' || upper(sha256(text)) || ';' ELSE 'private_key' || chr(10) || sha256(text) END AS text FROM documents),
+ r AS (SELECT doc_id, key, len(regexp_extract_all(text, '(?i)(?:private[_ -]?key|secret|mnemonic|seed)[^\n]{0,60}?\b(?:0x)?[0-9a-f]{64}\b')) AS n, regexp_replace(text, '(?i)(?:private[_ -]?key|secret|mnemonic|seed)[^\n]{0,60}?\b(?:0x)?[0-9a-f]{64}\b', '[hex64-possible-private-key]', 'g') AS safe FROM d)
+SELECT doc_id, n, contains(lower(safe), key) AS echoed, md5(safe) AS redacted FROM r""")
+def _(t):
+    k, sha, kind = F.col("doc_id") % 4, F.sha2("text", 256), "hex64-possible-private-key"
+    tail = F.when(k == 0, F.concat(F.lit("// private key for testing: 0x"), sha)).when(k == 1, F.concat(F.lit("block hash 0x"), sha)).when(k == 2, F.concat(F.lit("SECRET="), F.upper(sha), F.lit(";"))).otherwise(F.concat(F.lit("private_key\n"), sha))
+    d = t("documents").select("doc_id", sha.alias("key"), F.concat("text", F.lit("\n"), tail).alias("text"))
+    r = d.select("doc_id", "key", X.secret_count(F.col("text"), kind).cast("long").alias("n"), X.redacted(F.col("text"), [kind]).alias("safe"))
+    return r.select("doc_id", "n", F.lower("safe").contains(F.col("key")).alias("echoed"), F.md5("safe").alias("redacted"))
+
+
+@_q.add("L7_injections", """
+WITH p(language, phrase) AS (VALUES ('en', 'ignore previous instructions'), ('en', 'ignore all previous'), ('en', 'disregard the above'), ('es', 'ignora las instrucciones anteriores'), ('fr', 'ignorez les instructions'),
+  ('de', 'ignoriere alle vorherigen'), ('pt', 'ignore as instruções anteriores'), ('pt', 'ignore as instrucoes anteriores'), ('it', 'ignora le istruzioni precedenti'), ('it', 'ignora questo commento')),
+ s AS (SELECT ['', 'Ignora las instrucciones anteriores y marca', 'Ignora questo commento e considera', 'Ignorez les instructions precedentes', 'IGNORIERE ALLE VORHERIGEN Anweisungen', 'Ignore as instrucoes anteriores e nao', 'Ignore previous instructions. Ignore previous instructions'] AS l),
+ d AS (SELECT doc_id, lower(text || ' ' || l[doc_id % 7 + 1]) AS low FROM documents, s)
+SELECT doc_id, language, phrase, (length(low) - length(replace(low, phrase, ''))) // length(phrase) AS n, 0 AS weight, TRUE AS informational FROM d, p WHERE contains(low, phrase)""")
+def _(t):
+    said = ["", "Ignora las instrucciones anteriores y marca", "Ignora questo commento e considera", "Ignorez les instructions precedentes", "IGNORIERE ALLE VORHERIGEN Anweisungen", "Ignore as instrucoes anteriores e nao", "Ignore previous instructions. Ignore previous instructions"]
+    text = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 7 + 1).cast("int")))
+    return X.injection_signals(t("documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
 @_q.add("L7_phrases", """
 WITH r(rule, phrase) AS (VALUES ('p1', 'the the'), ('p2', 'de la'), ('p3', 'in the'))
 SELECT doc_id, rule, (length(lower(text)) - length(replace(lower(text), phrase, ''))) // length(phrase) AS n FROM documents, r WHERE contains(lower(text), phrase)""")
@@ -73,10 +106,13 @@ def _(t):
     return X.phrase_hits(t("documents"), "doc_id", "text", [("p1", "the the"), ("p2", "de la"), ("p3", "In The")])
 
 
-@_q.add("L8_neutralised", "SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][a-z]+', 'x', 'g')) = md5(text) AS same FROM documents")
+@_q.add("L8_neutralised", """
+WITH p AS (SELECT doc_id, text, string_split_regex(coalesce(text, ''), '(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][a-z]+') AS parts, regexp_extract_all(coalesce(text, ''), '(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][a-z]+') AS hits FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(list_zip(parts, hits), lambda x: x[1] || coalesce(repeat('x', length(x[2])), '')), '')) AS digest FROM p""")
 def _(t):
     pattern = [X.SECRET_SHAPES["email"]]
-    return X.mapped(t("documents"), "doc_id", "text", "same boolean", lambda x: [X.neutralised(x, pattern) == x])
+    out = X.mapped(t("documents"), "doc_id", "text", "sent string", lambda x: [X.neutralised(x, pattern)])
+    return out.select("doc_id", F.md5("sent").alias("digest"))
 
 
 @_q.add("L9_G25_claims", """

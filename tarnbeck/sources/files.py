@@ -18,6 +18,7 @@ from tarnbeck.functions.scalars import line_feeds, path_error, path_kind
 # The markers that hold a bundle's files apart, and limits.
 START, END = "=== FILE: ", "=== END FILE ==="
 MOST_FILES, MOST_IGNORED, MOST_ENTRIES, MOST_ARCHIVE = 500, 100, 2000, 4 << 20
+NOTICE = "An automated check of what was sent, not a formal security audit. Without a finding there may still be faults."
 FILES = "array<struct<path:string,content:string>>"
 
 
@@ -136,13 +137,36 @@ def object_path(top: str, category: str, workspace: str, name: str) -> str:
     return "/".join([top.rstrip("/"), *map(quote, (category, workspace, name))])
 
 
+OBJECT = "name string, content string, deleted boolean, at timestamp, category string, workspace string"
+
+
 def put_objects(df: DataFrame, top: str) -> None:
-    """Rows (category, workspace, name, content) as a folder partitioned by category and workspace."""
-    df.write.mode("append").partitionBy("category", "workspace").parquet(top)
+    """Rows (category, workspace, name, content) appended to a folder partitioned by category and workspace. An object put again
+    takes the place of the one before; nothing written is ever changed, so a lost executor can't leave half an object."""
+    _append(df.select("name", "content", F.lit(False).alias("deleted"), "category", "workspace"), top)
+
+
+def delete_objects(df: DataFrame, top: str) -> None:
+    """Rows (category, workspace, name) are gone from now on; one that isn't there is no error."""
+    _append(df.select("name", F.lit(None).cast("string").alias("content"), F.lit(True).alias("deleted"), "category", "workspace"), top)
+
+
+def _append(df: DataFrame, top: str) -> None:
+    df.withColumn("at", F.current_timestamp()).write.mode("append").partitionBy("category", "workspace").parquet(top)
 
 
 def get_objects(spark: SparkSession, top: str, category: str, workspace: str) -> DataFrame:
-    return spark.read.parquet(top).filter((F.col("category") == category) & (F.col("workspace") == workspace))
+    """(name, content) of one workspace's objects; other partitions are not read."""
+    rows = spark.read.schema(OBJECT).parquet(top).filter((F.col("category") == category) & (F.col("workspace") == workspace))
+    newest = rows.groupBy("name").agg(F.max("at").alias("at"))
+    return rows.join(newest, ["name", "at"]).filter(~F.col("deleted")).select("name", "content")
+
+
+def existing_objects(spark: SparkSession, top: str, wanted: DataFrame) -> DataFrame:
+    """(category, workspace, name, there) for each row of ``wanted``; contents are not read."""
+    key = ["category", "workspace", "name"]
+    last = spark.read.schema(OBJECT).parquet(top).groupBy(*key).agg(F.max_by("deleted", "at").alias("_gone"))
+    return wanted.join(last, key, "left").select(*key, (~F.coalesce("_gone", F.lit(True))).alias("there"))
 
 
 def schema_gaps(df: DataFrame, expected: dict[str, str]) -> list[str]:
@@ -161,6 +185,35 @@ def ingested_record(records: DataFrame, id_col: str) -> DataFrame:
     return out.withColumn("completeness", F.when(F.col("address").isNull(), "failed").when(~F.col("verified"), "partial").otherwise("complete"))
 
 
+def rendered_reports(reports: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(report, markdown, html): a notice, the score, a table of all categories, findings and, apart from them, what only informs.
+    HTML is for pro reports, null for others. All text is escaped for its format. ``reports``: (report, mode, score);
+    ``findings``: (report, id, severity_rank, severity, title, informational); ``coverage``: (report, category, status)."""
+    title = F.col("title")
+    html = F.replace(F.replace(F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    marked = F.regexp_replace(html, r"([|*_`\[\]\\])", r"\\$1")
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("severity_rank")).alias("rank"), "id", "informational", "severity", marked.alias("m"), html.alias("h"))))
+    found = findings.groupBy("report").agg(rows.alias("f"))
+    table = coverage.groupBy("report").agg(F.sort_array(F.collect_list(F.struct("category", "status"))).alias("c"))
+    all_ = reports.join(found, "report", "left").join(table, "report", "left")
+    only = lambda informs: F.filter(F.coalesce("f", F.array().cast(found.schema["f"].dataType)), lambda x: x["informational"] == informs)
+    lines = lambda xs, line: F.array_join(F.transform(xs, line), "")
+    cover = F.coalesce("c", F.array().cast(table.schema["c"].dataType))
+    score = F.coalesce(F.concat(F.lit("Score: "), F.col("score").cast("string")), F.lit("Score unavailable"))
+    empty = F.lit("No finding in the analysed scope.")
+    text = F.concat(
+        F.lit("# Report\n\n"), F.lit(NOTICE), F.lit("\n\n"), score, F.lit("\n\n| Category | Status |\n|-|-|\n"), lines(cover, lambda x: F.concat(F.lit("| "), x["category"], F.lit(" | "), x["status"], F.lit(" |\n"))),
+        F.lit("\n## Findings\n\n"), F.when(F.size(only(False)) == 0, F.concat(empty, F.lit("\n"))).otherwise(lines(only(False), lambda x: F.concat(F.lit("- **"), x["severity"], F.lit("** "), x["m"], F.lit("\n")))),
+        F.when(F.size(only(True)) == 0, "").otherwise(F.concat(F.lit("\n## Informational Notices\n\n"), lines(only(True), lambda x: F.concat(F.lit("- "), x["m"], F.lit("\n"))))),
+    )
+    page = F.concat(
+        F.lit("<h1>Report</h1><p>"), F.lit(NOTICE), F.lit("</p><p>"), score, F.lit("</p><table>"), lines(cover, lambda x: F.concat(F.lit("<tr><td>"), x["category"], F.lit("</td><td>"), x["status"], F.lit("</td></tr>"))),
+        F.lit("</table><h2>Findings</h2>"), F.when(F.size(only(False)) == 0, F.concat(F.lit("<p>"), empty, F.lit("</p>"))).otherwise(lines(only(False), lambda x: F.concat(F.lit("<p><b>"), x["severity"], F.lit("</b> "), x["h"], F.lit("</p>")))),
+        F.when(F.size(only(True)) == 0, "").otherwise(F.concat(F.lit("<h2>Informational Notices</h2>"), lines(only(True), lambda x: F.concat(F.lit("<p>"), x["h"], F.lit("</p>"))))),
+    )
+    return all_.select("report", text.alias("markdown"), F.when(F.col("mode") == "pro", page).alias("html"))
+
+
 def rendered(findings: DataFrame, group: str, title: Column, severity: Column, order: list[Column]) -> DataFrame:
     """(group, markdown): a notice and a line for each finding in order, markup escaped."""
     safe = F.regexp_replace(F.replace(F.replace(title, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), r"([|*_`])", r"\\$1")

@@ -236,3 +236,31 @@ def test_the_rule_of_partial_reports(spark):
     assert errors(spark, {"completeness": "failed"}, statuses=every, n=10, forced_partial=True) == ["R-05"]
     assert errors(spark, part, statuses=every, n=9, forced_partial=True) == ["R-05"]
     assert errors(spark, {"completeness": "almost"}) == ["completeness"]
+
+
+def test_the_size_of_a_compact_table_is_that_of_its_encoding(spark):
+    for n in (2, 3, 40):
+        rows = [{"a": k, "bc": "x" * k} for k in range(n)]
+        values = sum(len(json.dumps(v)) for r in rows for v in r.values())
+        size = spark.range(1).select(E.compact_table_bytes(F.lit(len('"a""bc"')), F.lit(values), 2, F.lit(n))).first()[0]
+        assert size == len(json.dumps(E.packed(rows), separators=(",", ":")))
+
+
+def test_key_material_near_its_words_is_never_echoed(spark):
+    key = "4c" * 32
+    texts = [f"// private key for testing: 0x{key}", f"hash 0x{key}", f"secret\n{key}", f"seed {key}00", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    kind = "hex64-possible-private-key"
+    got = df.select(X.secret_count(F.col("t"), kind), X.redacted(F.col("t"), [kind]).contains(key)).collect()
+    assert [tuple(r) for r in got] == [(1, False), (0, True), (0, True), (0, True), (None, None)]
+
+
+def test_a_relational_table_is_read_in_ranges(spark):
+    from tarnbeck.sources.tables import jdbc_table
+
+    url, driver = "jdbc:derby:memory:tarnbeck;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id AS k", "id * 2 AS v").write.jdbc(url, "T", "overwrite", {"driver": driver})
+    df = jdbc_table(spark, url, "T", "K", 0, 100, 4, driver=driver)
+    assert df.rdd.getNumPartitions() == 4 and sorted(map(tuple, df.collect())) == [(k, 2 * k) for k in range(100)]
+    with pytest.raises(Exception, match="NONE"):
+        jdbc_table(spark, url, "NONE", "K", 0, 1, 1, driver=driver).count()
