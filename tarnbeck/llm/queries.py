@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarnbeck.llm.chat import op3_chat_formatting
 from tarnbeck.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tarnbeck.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from tarnbeck.llm.licenses import op5_license_scan
 from tarnbeck.llm.packing import op6_packing
 from tarnbeck.llm.quality import op8_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op13_hard_negatives": OP13_SQL}
