@@ -14,6 +14,7 @@ from tarnbeck.llm.simhash import op1_simhash_near_dedup
 from tarnbeck.llm.spelling import OP12_SQL, op12_spelling_variants
 from tarnbeck.llm.token_files import op10_token_files
 from tarnbeck.llm.toxicity import op4_toxicity
+from tarnbeck.llm.warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
+    "op11_warc": op11_warc,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op11_warc": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
