@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.sources.folders import stored
@@ -79,16 +80,67 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def linearised(bases: DataFrame) -> DataFrame:
     """(node, base, place): each node's bases in depth-first preorder, each once. ``bases``: (node, place, base). A path of
-    places sorts as the walk goes, and of several paths to a base the first holds."""
-    step = _stored(bases.select("node", "base", F.array("place").alias("path"), F.array("node", "base").alias("seen")))
-    every = step
+    places sorts as the walk goes, and of several paths to a base the first holds. Of each node and base only the first path
+    known so far is kept and, where it got better, walked on, so the work is bounded by pairs and not by paths."""
+    first = F.min(F.struct("path", "seen")).alias("b")
+    b = _stored(bases.select(F.col("node").alias("base"), F.col("place").alias("p"), F.col("base").alias("next")).distinct())
+    step = _stored(bases.groupBy("node", "base").agg(F.min(F.struct(F.array("place").alias("path"), F.array("node", "base").alias("seen"))).alias("b")).select("node", "base", "b.*"))
+    best = step
     while True:
-        b = bases.select(F.col("node").alias("base"), F.col("place").alias("p"), F.col("base").alias("next"))
-        step = _stored(step.join(b, "base").filter(~F.array_contains("seen", F.col("next"))).select("node", F.col("next").alias("base"), F.concat("path", F.array("p")).alias("path"), F.concat("seen", F.array("next")).alias("seen")))
+        on = step.join(b, "base").filter(~F.array_contains("seen", F.col("next")))
+        on = on.select("node", F.col("next").alias("base"), F.concat("path", F.array("p")).alias("path"), F.concat("seen", F.array("next")).alias("seen")).groupBy("node", "base").agg(first)
+        known = best.select("node", "base", F.col("path").alias("known"))
+        step = _stored(on.join(known, ["node", "base"], "left").filter(F.col("known").isNull() | (F.col("b.path") < F.col("known"))).select("node", "base", "b.*"))
         if step.isEmpty():
             break
-        every = every.union(step)
-    from pyspark.sql import Window
+        best = _stored(best.join(step.select("node", "base"), ["node", "base"], "left_anti").union(step))
+    return best.select("node", "base", (F.row_number().over(Window.partitionBy("node").orderBy("path")) - 1).alias("place"))
+
+
+def privilege_paths(functions: DataFrame, calls: DataFrame, delegates: DataFrame) -> DataFrame:
+    """(contract, function, target_contract, target_function, hops, ambiguous, matched): from each function that anyone may call and
+    that changes state, all functions of other contracts of that kind which it reaches, with a shortest way there.
+
+    ``functions``: (contract, name, signature, exposed, readonly, guarded), a row for each overload; ``calls``: (from, function,
+    to, method); ``delegates``: (from, to). A call reaches a name if any of its overloads is unguarded, and goes on from there,
+    also through one that only reads; a name whose overloads are all guarded ends the branch. A contract that delegates
+    reaches every exposed unguarded function of the other. A call without a method is not guessed. ``ambiguous`` says that the
+    target has several overloads, ``matched`` has the signatures of those that are exposed, unguarded and change state. An unknown
+    guard counts as none.
+
+    Ways are never enumerated: each start keeps a node at its first step only, with the least node before it, and the ways are read back from
+    the targets at the end. So of several shortest ways the one with the least nodes, from its end, comes out."""
+    free = ~F.coalesce("guarded", F.lit(False))
+    shown = free & F.coalesce("exposed", F.lit(False))
+    hit = shown & ~F.coalesce("readonly", F.lit(False))
+    node = lambda contract, name: F.struct(F.col(contract).alias("contract"), F.col(name).alias("name"))
+    names = _stored(functions.groupBy(node("contract", "name").alias("node")).agg(
+        F.bool_or(free).alias("open"), F.bool_or(shown).alias("shown"), F.bool_or(hit).alias("target"), (F.count("*") > 1).alias("ambiguous"), F.sort_array(F.collect_set(F.when(hit, F.col("signature")))).alias("matched")
+    ))
+    own = calls.filter(F.col("method").isNotNull()).select(node("from", "function").alias("node"), node("to", "method").alias("to")).distinct()
+    own = _stored(own.join(names.filter("open").select(F.col("node").alias("to")), "to", "left_semi").select("node", "to"))
+    whole = _stored(delegates.select("from", "to").distinct())
+    of_contract = names.filter("shown").select(F.col("node.contract").alias("to"), "node")
+
+    frontier = _stored(names.filter("target").select(F.col("node").alias("start"), "node", F.lit(None).cast(names.schema["node"].dataType).alias("before")))
+    reached, steps = frontier, 0
+    while not frontier.isEmpty():
+        called = frontier.select("start", F.col("node").alias("before"), "node").join(own, "node").select("start", F.col("to").alias("node"), "before")
+        # all functions of a contract lead to the other one: the least of them stands for it
+        handed = frontier.select("start", F.col("node.contract").alias("from"), "node").groupBy("start", "from").agg(F.min("node").alias("before")).join(whole, "from")
+        handed = handed.groupBy("start", "to").agg(F.min("before").alias("before")).join(of_contract, "to").select("start", "node", "before")
+        step = called.union(handed).groupBy("start", "node").agg(F.min("before").alias("before"))
+        frontier = _stored(step.join(reached, ["start", "node"], "left_anti"))
+        reached = reached.union(frontier) if steps % 8 < 7 else _stored(reached.union(frontier))
+        steps += 1
 
-    first = every.groupBy("node", "base").agg(F.min("path").alias("path"))
-    return first.select("node", "base", (F.row_number().over(Window.partitionBy("node").orderBy("path")) - 1).alias("place"))
+    found = reached.filter("start.contract <> node.contract").join(names.filter("target").select("node", "ambiguous", "matched"), "node")
+    left = _stored(found.select("start", F.col("node").alias("target"), "ambiguous", "matched", F.col("before").alias("at"), F.array("node").alias("hops")))
+    back = reached.select("start", F.col("node").alias("at"), "before")
+    done = []
+    while not left.isEmpty():
+        on = _stored(left.join(back, ["start", "at"]).select("start", "target", "ambiguous", "matched", F.col("before").alias("at"), F.concat(F.array("at"), "hops").alias("hops")))
+        done.append(on.filter("at IS NULL"))
+        left = on.filter("at IS NOT NULL")
+    out = reduce(DataFrame.union, done) if done else left
+    return out.select(F.col("start.contract").alias("contract"), F.col("start.name").alias("function"), F.col("target.contract").alias("target_contract"), F.col("target.name").alias("target_function"), "hops", "ambiguous", "matched")

@@ -36,12 +36,24 @@ def _(t):
 
 
 @_q.add("H5_privilege_paths", f"""
-WITH RECURSIVE {_EDGES}, w AS (SELECT p_partkey AS start, [p_partkey] AS hops, p_partkey AS node, true AS go FROM part WHERE p_type <> 'SMALL'
- UNION ALL SELECT start, list_append(hops, b), b, b % 5 <> 0 FROM w JOIN e ON a = node WHERE go AND NOT list_contains(hops, b) AND len(hops) < 4)
-SELECT start, hops, node FROM w WHERE len(hops) > 1""")
+WITH RECURSIVE {_EDGES},
+ g AS (SELECT p_partkey // 8 AS c, p_partkey % 8 // 2 AS f, p_partkey AS k, p_size % 3 = 0 AS guarded, p_size % 5 <> 0 AS exposed, p_type = 'SMALL' AS readonly FROM part),
+ n AS (SELECT c, f, bool_or(NOT guarded) AS open, bool_or(exposed AND NOT guarded) AS shown, bool_or(exposed AND NOT guarded AND NOT readonly) AS target, count(*) > 1 AS ambiguous,
+        list(k ORDER BY k) FILTER (exposed AND NOT guarded AND NOT readonly) AS matched FROM g GROUP BY c, f),
+ s AS (SELECT a // 8 AS c, a % 8 // 2 AS f, n.c AS tc, n.f AS tf FROM e JOIN n ON n.c = b // 8 AND n.f = b % 8 // 2 AND open WHERE b % 11 <> 0
+       UNION SELECT x.c, x.f, y.c, y.f FROM n x JOIN n y ON y.c = x.c // 3 AND y.shown WHERE x.c % 50 = 3),
+ w AS (SELECT c AS sc, f AS sf, c, f, [c * 10 + f] AS back FROM n WHERE target
+       UNION ALL SELECT sc, sf, tc, tf, list_prepend(tc * 10 + tf, back) FROM w JOIN s USING (c, f) WHERE NOT list_contains(back, tc * 10 + tf)),
+ p AS (SELECT sc, sf, c, f, first(back ORDER BY len(back), back) AS back FROM w WHERE sc <> c GROUP BY sc, sf, c, f)
+SELECT sc AS contract, sf AS function, c AS target_contract, f AS target_function, [h // 10 || '.' || h % 10 FOR h IN list_reverse(back)] AS hops, ambiguous, matched FROM p JOIN n USING (c, f) WHERE target""")
 def _(t):
-    starts = t("part").filter("p_type <> 'SMALL'").select(F.col("p_partkey").alias("start"))
-    return H.simple_paths(_edges(t), starts, F.col("to") % 5 != 0, 3).select("start", "hops", "node")
+    contract, name = lambda c: F.floor(F.col(c) / 8), lambda c: F.floor(F.col(c) % 8 / 2)
+    size = F.col("p_size")
+    functions = t("part").select(contract("p_partkey").alias("contract"), name("p_partkey").alias("name"), F.col("p_partkey").alias("signature"), (size % 3 == 0).alias("guarded"), (size % 5 != 0).alias("exposed"), (F.col("p_type") == "SMALL").alias("readonly"))
+    calls = _edges(t).select(contract("from").alias("from"), name("from").alias("function"), contract("to").alias("to"), F.when(F.col("to") % 11 != 0, name("to")).alias("method"))
+    delegates = functions.select(F.col("contract").alias("from")).filter("from % 50 = 3").withColumn("to", F.floor(F.col("from") / 3))
+    found = H.privilege_paths(functions, calls, delegates)
+    return found.withColumn("hops", F.transform("hops", lambda h: F.concat_ws(".", h["contract"].cast("string"), h["name"].cast("string"))))
 
 
 @_q.add("H6_delegate_cycles", """

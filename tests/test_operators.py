@@ -177,6 +177,67 @@ def test_long_cycles_and_paths(spark):
     assert H.linearised(bases).filter("node = 1").count() == 20
 
 
+def diamonds(count):
+    """(from, place, to): ``count`` diamonds on top of each other, 2 ** count paths from 0."""
+    return [x for k in range(0, 3 * count, 3) for x in ((k, 1, k + 1), (k, 2, k + 2), (k + 1, 1, k + 3), (k + 2, 1, k + 3))]
+
+
+def test_linearisation_of_stacked_diamonds(spark):
+    bases = spark.createDataFrame(diamonds(30), "node int, place int, base int")
+    rows = H.linearised(bases).filter("node = 0").orderBy("place").collect()
+    # the first way down comes first, the second sides on the way back up
+    assert [r.base for r in rows] == [x for k in range(0, 90, 3) for x in (k + 1, k + 3)] + [k + 2 for k in range(87, -1, -3)]
+
+
+def test_linearisation_with_a_cycle_and_a_better_longer_path(spark):
+    bases = spark.createDataFrame([(1, 2, 9), (1, 1, 2), (2, 1, 3), (3, 1, 9), (3, 2, 2)], "node int, place int, base int")
+    assert values(H.linearised(bases), "node", "base", "place") == [(1, 2, 0), (1, 3, 1), (1, 9, 2), (2, 3, 0), (2, 9, 1), (3, 2, 1), (3, 9, 0)]
+
+
+def privilege(spark, functions, calls, delegates=()):
+    """functions: contract.name(signature) and the letters g (guarded), v (only reads), i (internal)."""
+    rows = []
+    for x in functions:
+        name, _, flags = x.partition(" ")
+        contract, name = name.split(".")
+        name, _, signature = name.partition("(")
+        rows.append((contract, name, f"({signature}" if signature else "()", "i" not in flags, "v" in flags, "g" in flags))
+    f = spark.createDataFrame(rows, "contract string, name string, signature string, exposed boolean, readonly boolean, guarded boolean")
+    c = spark.createDataFrame([(*a.split("."), *(b.split(".") if "." in b else (b, None))) for a, b in calls], "`from` string, function string, to string, method string")
+    d = spark.createDataFrame(list(delegates), "`from` string, to string")
+    out = H.privilege_paths(f, c, d).collect()
+    return sorted((f"{r.contract}.{r.function}", [f"{h.contract}.{h.name}" for h in r.hops], r.ambiguous, r.matched) for r in out)
+
+
+def test_privilege_paths_rule_by_rule(spark):
+    way = lambda *hops: (hops[0], list(hops), False, ["()"])
+    assert privilege(spark, ["A.foo", "B.bar"], [("A.foo", "B.bar")]) == [way("A.foo", "B.bar")]
+    # guarded or reading targets, guarded starts, the own contract, a call without a method
+    for functions, calls in (
+        (["A.foo", "B.bar g"], [("A.foo", "B.bar")]), (["A.foo", "B.bar v"], [("A.foo", "B.bar")]), (["A.foo g", "B.bar"], [("A.foo", "B.bar")]),
+        (["A.foo i", "B.bar"], [("A.foo", "B.bar")]), (["A.foo", "A.bar"], [("A.foo", "A.bar")]), (["A.foo", "B.bar"], [("A.foo", "B")]), (["A.foo"], [("A.foo", "C.none")]), ([], []),
+    ):
+        assert privilege(spark, functions, calls) == []
+    passes = [("A.foo", "B.mid"), ("B.mid", "C.baz")]
+    assert privilege(spark, ["A.foo", "B.mid v", "C.baz"], passes) == [way("A.foo", "B.mid", "C.baz")]
+    assert privilege(spark, ["A.foo", "B.mid g", "C.baz"], passes) == []
+    # overloads are one name: any free one is found, whichever stands first
+    for functions, matched in ((["B.sweep() g", "B.sweep(address)"], ["(address)"]), (["B.sweep()", "B.sweep(address) g"], ["()"])):
+        assert privilege(spark, ["A.foo", *functions], [("A.foo", "B.sweep")]) == [("A.foo", ["A.foo", "B.sweep"], True, matched)]
+    assert privilege(spark, ["A.foo", "B.sweep() g", "B.sweep(address) g"], [("A.foo", "B.sweep")]) == []
+    assert privilege(spark, ["P.fallback", "I.drain", "I.safe g", "I.inner i", "I.read v"], [], [("P", "I")]) == [way("P.fallback", "I.drain")]
+    # a cycle back to the start's contract; the shortest of several ways, ties by the least node
+    assert privilege(spark, ["A.f", "A.g", "B.f"], [("A.f", "B.f"), ("B.f", "A.g"), ("A.g", "B.f")]) == [way("A.f", "B.f"), way("A.g", "B.f"), way("B.f", "A.g")]
+    ties = [("A.f", "C.m"), ("A.f", "B.m"), ("B.m", "D.f"), ("C.m", "D.f"), ("A.f", "E.m"), ("E.m", "E.n"), ("E.n", "D.f")]
+    assert privilege(spark, ["A.f", "B.m v", "C.m v", "E.m v", "E.n v", "D.f"], ties) == [way("A.f", "B.m", "D.f")]
+
+
+def test_privilege_paths_through_stacked_diamonds(spark):
+    edges = [(f"C{a}.f", f"C{b}.f") for a, _, b in diamonds(40)]
+    found = privilege(spark, ["C0.f", *[f"C{k}.f v" for k in range(1, 120)], "C120.f"], edges)
+    assert [(x[0], len(x[1])) for x in found] == [("C0.f", 81)]
+
+
 def test_places_follow_a_total_order_over_many_ranges(spark):
     rows = [(k * 7919 % 1000, None if k % 3 else "hot") for k in range(1000)]
     df = spark.createDataFrame(rows, "k long, g string").repartition(6)
