@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnbeck.plans.registry import Queries
+from tarnbeck.streaming import leases as T
 from tarnbeck.streaming import limits as L
+from tarnbeck.streaming import sinks as K
 
 _q = Queries()
 QUERIES, ORACLES = _q.queries, _q.oracles
@@ -58,11 +60,61 @@ def _(t):
     return L.leases(t("events"), "user_id", "ts", "6 hours")
 
 
-@_q.add("K7_A25_A26_alert_sink", "SELECT event_id, CASE WHEN value > 90 THEN 'critical' ELSE 'warning' END AS severity FROM events WHERE event_type = 'error' AND value > 50")
+_HOUR = 3_600_000_000
+_RULES = T.Rules(lease=12 * _HOUR, base=6 * _HOUR, longest=24 * _HOUR, remembered=48 * _HOUR)
+_LEASES = f"""
+WITH RECURSIVE r AS (
+  SELECT user_id AS k, event_type = 'purchase' AS done, epoch_us(ts) AS t, false AS last, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+  UNION ALL SELECT user_id, false, (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events), true, count(*) + 1 FROM events GROUP BY user_id),
+ f AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, 0 AS a, CAST(NULL AS BIGINT) AS ex, CAST(NULL AS BIGINT) AS op, CAST(NULL AS BIGINT) AS fg, CAST([] AS STRUCT(us BIGINT, what VARCHAR, attempts INTEGER, opens BIGINT)[]) AS steps FROM r
+  UNION ALL
+  SELECT k, n, CASE WHEN NOT last AND done AND ex IS NOT NULL THEN 0 ELSE a END, CASE WHEN last THEN ex WHEN done THEN NULL WHEN op IS NULL THEN t + {12 * _HOUR} END, op, CASE WHEN last OR done OR op IS NOT NULL THEN fg END,
+   list_concat(steps, CASE WHEN last THEN [] WHEN done AND ex IS NULL THEN [(t, 'fenced', a, op)] WHEN done THEN [(t, 'done', a, NULL)] WHEN op IS NOT NULL THEN [(t, 'refused', a, op)] WHEN ex IS NULL THEN [(t, 'claimed', a, NULL)] ELSE [] END)
+  FROM (SELECT * REPLACE (CASE WHEN fg < t OR last AND fg <= t THEN 0 ELSE a END AS a, CASE WHEN fg < t OR last AND fg <= t THEN NULL ELSE fg END AS fg)
+   FROM (SELECT * REPLACE (CASE WHEN op <= t THEN op + {48 * _HOUR} ELSE fg END AS fg, CASE WHEN op <= t THEN NULL ELSE op END AS op, CASE WHEN op <= t THEN list_append(steps, (op, 'eligible', a, NULL)) ELSE steps END AS steps)
+    FROM (SELECT k, n, t, done, last, CASE WHEN NOT over THEN a WHEN a + 1 < 3 THEN a + 1 ELSE 0 END AS a, CASE WHEN NOT over THEN ex END AS ex, CASE WHEN over AND a + 1 < 3 THEN gate ELSE op END AS op, fg,
+           CASE WHEN NOT over THEN [] WHEN a + 1 < 3 THEN [(ex, 'requeued', a + 1, gate)] ELSE [(ex, 'failed', a + 1, NULL)] END AS steps
+     FROM (SELECT f.* EXCLUDE (n), r.* EXCLUDE (k), coalesce(ex < t OR last AND ex <= t, false) AS over, ex + least({24 * _HOUR}, {6 * _HOUR} * CAST(pow(2, a) AS BIGINT)) AS gate FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1))))),
+ s AS (SELECT k, unnest(steps) AS x FROM f)
+SELECT k AS user_id, make_timestamp(x.us) AS "at", x.what, x.attempts, make_timestamp(x.opens) AS opens FROM s"""
+
+
+@_q.add("K3_K4_timers", _LEASES)
+def _(t):
+    stream, _rows = _stream(t)
+    with T.timers(t.spark):
+        return L.run_to_end(T.lease_stream(stream, "user_id", "ts", "event_id", F.col("event_type") == "purchase", _RULES), L.new_folder(t.spark, "leases"))
+
+
+@_q.add("K3_K4_history", _LEASES)
+def _(t):
+    rows = t("events")
+    until = rows.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("u")).first().u or 0
+    return T.lease_history(rows, "user_id", "ts", "event_id", F.col("event_type") == "purchase", _RULES, until // 1000 * 1000)
+
+
+@_q.add("K7_A25_A26_alert_sink", "SELECT event_id, CASE WHEN value > 90 THEN 'error' ELSE 'warning' END AS severity FROM events WHERE event_type = 'error' AND value > 50")
 def _(t):
     path = L.new_folder(t.spark, "alerts")
-    stream, rows = _stream(t)
-    severity = F.when(F.col("value") > 90, "critical").otherwise("warning")
-    alerts = L.alert_rows(stream.filter("value > 50"), severity, ["error"], "event_type").select("event_id", "severity")
-    L.each_batch(alerts, lambda batch, _n: batch.write.mode("append").parquet(path), f"{path}-state")
-    return t.spark.read.schema(alerts.schema).parquet(path)
+    stream, _rows = _stream(t)
+    severity = F.when(F.col("value") > 90, "error").otherwise("warning")
+    alerts = K.alerts(stream.filter("value > 50"), severity, ["error"], "event_type").select("event_id", "severity")
+    work = K.ledger(path)
+
+    def twice(batch, number):
+        work(batch, number)
+        work(batch, number)  # as after a failure: the second writes over the first
+
+    L.each_batch(alerts, twice, f"{path}-state")
+    return K.read_ledger(t.spark, path, alerts).select("event_id", "severity")
+
+
+@_q.add("A25_audit_append", "SELECT event_id, user_id, event_type, event_type = 'click' AS refused FROM events")
+def _(t):
+    path = L.new_folder(t.spark, "audit")
+    stream, _rows = _stream(t)
+    kind = F.when(F.col("event_type") != "click", F.col("event_type")).otherwise(" ")
+    rows = K.audit_rows(stream.withColumn("kind", kind), "kind").select("event_id", "user_id", "event_type", "refused")
+    L.each_batch(rows, K.ledger(path), f"{path}-state")
+    return K.read_ledger(t.spark, path, rows).drop("batch")

@@ -84,8 +84,3 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], Any], state:
     """Poll a stream: ``work`` on every micro-batch, at once to the end or every second."""
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", state)
     (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start().awaitTermination()
-
-
-def alert_rows(events: DataFrame, severity: Any, kinds: Sequence[str], kind_col: str) -> DataFrame:
-    """Events of the alerting kinds with a severity; all others make no alert."""
-    return events.filter(F.col(kind_col).isin(*kinds)).withColumn("severity", severity)
