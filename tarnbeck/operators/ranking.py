@@ -87,7 +87,38 @@ def target_score(signals: DataFrame, keys: Sequence[str], risk: Column, tier: Co
 
 
 def lifecycle(present: DataFrame, scans: DataFrame, keys: Sequence[str], key: str, order: str) -> DataFrame:
-    """Of each (keys, key) at each scan of its keys: new, open, resolved, absent, regressed (there again after it had been
+    """(keys, key, order, status, ever_regressed): each change of status and no other row: new, resolved (at the first scan without
+    it), regressed (there again). ``scans``: (keys, order); ``present``: (keys, order, key). Presence falls into runs of
+    consecutive scans; a run's first row is a change, and the scan behind its last one. A null key is a key."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    numbered = scans.select(*keys, order).distinct().withColumns({"_n": F.row_number().over(by), "_next": F.lead(order).over(by)})
+    rows = present.select(*keys, key, order).distinct().join(numbered, [*keys, order])
+    own = Window.partitionBy(*keys, key).orderBy("_n")
+    first = F.coalesce(F.lag("_n").over(own) < F.col("_n") - 1, F.lit(True))
+    last = F.coalesce(F.lead("_n").over(own) > F.col("_n") + 1, F.col("_next").isNotNull())
+    runs = rows.withColumns({"_first": first, "_last": last}).filter("_first OR _last").withColumn("_run", F.sum(F.col("_first").cast("int")).over(own))
+    change = lambda at, status: F.struct(at.alias("at"), F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"))
+    begins = F.when(F.col("_first"), change(F.col(order), F.when(F.col("_run") == 1, "new").otherwise("regressed")))
+    ends = F.when(F.col("_last"), change(F.col("_next"), "resolved"))
+    out = runs.withColumn("_x", F.explode(F.filter(F.array(begins, ends), lambda x: x.isNotNull())))
+    return out.select(*keys, key, F.col("_x.at").alias(order), "_x.status", (F.col("_run") > 1).alias("ever_regressed"))
+
+
+def current_status(changes: DataFrame, keys: Sequence[str], key: str, order: str) -> DataFrame:
+    """(keys, key, status, ever_regressed) now, present or resolved, from the changes of ``lifecycle``."""
+    last = changes.groupBy(*keys, key).agg(F.max_by("status", order).alias("_s"), F.bool_or("ever_regressed").alias("ever_regressed"))
+    return last.select(*keys, key, F.when(F.col("_s") == "resolved", "resolved").otherwise("present").alias("status"), "ever_regressed")
+
+
+def status_at(changes: DataFrame, asked: DataFrame, keys: Sequence[str], key: str, order: str) -> DataFrame:
+    """(keys, key, order, status) of each row (keys, key, order) of ``asked``: the last change up to then, null before the first."""
+    own = Window.partitionBy(*keys, key).orderBy(order, "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    both = changes.select(*keys, key, order, "status", F.lit(False).alias("_asked")).unionByName(asked.select(*keys, key, order, F.lit(None).cast("string").alias("status"), F.lit(True).alias("_asked")))
+    return both.withColumn("status", F.last("status", ignorenulls=True).over(own)).filter("_asked").drop("_asked")
+
+
+def lifecycle_grid(present: DataFrame, scans: DataFrame, keys: Sequence[str], key: str, order: str) -> DataFrame:
+    """Where every scan is asked for: of each (keys, key) at each scan of its keys: new, open, resolved, absent, regressed (there again after it had been
     resolved), and whether it ever regressed so far. ``scans``: (keys, order); ``present``: (keys, order, key)."""
     found = present.select(*keys, key).distinct()
     grid = scans.select(*keys, order).distinct().join(found, list(keys)).join(present.select(*keys, order, key, F.lit(True).alias("_there")).distinct(), [*keys, order, key], "left")

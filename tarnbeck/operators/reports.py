@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.operators.aggregates import SEVERITIES, score_band
+from tarnbeck.sources.folders import stored
 
 # What a report's fields may hold, and its limits.
 CATEGORIES = [f"SC{k:02d}" for k in range(1, 11)]
@@ -134,19 +135,81 @@ def plain_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def evidence_status(quotes: DataFrame, lines: DataFrame, key: str, near: int = 3) -> DataFrame:
+#: Words of a shingle by which long quotes are looked up, and characters of a gram for those that are too short for it.
+SHINGLE, GRAM = 2, 3
+
+
+def _kind(text: Column) -> Column:
+    """By what a quote is looked up: 0 shingles, which its first and last word have no part in, for they may be cut; 1 to GRAM:
+    grams of as many characters."""
+    return F.when(F.size(F.split(text, " ")) >= SHINGLE + 2, 0).otherwise(F.least(F.length(text), F.lit(GRAM)))
+
+
+def _grams(text: Column, kind: Column, inner: int) -> Column:
+    """The distinct grams of a text. Of shingles, ``inner`` words are left out at either end."""
+    words = F.split(text, " ")
+    at = lambda first, last: F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    shingles = F.transform(at(F.lit(1 + inner), F.size(words) - inner - SHINGLE + 1), lambda k: F.array_join(F.slice(words, k, SHINGLE), " "))
+    grams = F.transform(at(F.lit(1), F.length(text) - kind + 1), lambda k: F.substring(text, k, kind))
+    return F.array_distinct(F.when(kind == 0, shingles).otherwise(grams))
+
+
+def evidence_status(quotes: DataFrame, lines: DataFrame, key: str, near: int = 3, end: str | None = None) -> DataFrame:
     """Of each quote (key, file, line, quote): verified if a line of the file within ``near`` of the stated one holds it,
-    location_mismatch if another one does, fabricated if none does, unverifiable if the file is not there. Runs of white
-    space count as one."""
-    q = quotes.withColumn("_q", plain_spaces(F.col("quote")))
-    files = lines.select("file").distinct().withColumn("_there", F.lit(True))
-    hits = q.join(lines.select("file", F.col("line").alias("_line"), plain_spaces(F.col("text")).alias("_text")), "file")
-    hits = hits.filter(F.col("_text").contains(F.col("_q"))).groupBy(key).agg(F.min(F.abs(F.col("_line") - F.col("line"))).alias("_gap"))
-    out = quotes.join(files, "file", "left").join(hits, key, "left")
-    status = F.when(F.col("_there").isNull() | (plain_spaces(F.col("quote")) == ""), "unverifiable").when(F.col("_gap").isNull(), "fabricated").when(F.col("_gap") <= near, "verified").otherwise("location_mismatch")
+    location_mismatch if another one does, fabricated if none does, unverifiable if the file is not there or no line is
+    stated. Runs of white space count as one. With a column ``end`` the stated place reaches from ``line`` to ``end``.
+
+    Quotes meet lines by an index and not by their file: a line's word shingles, of which each quote asks for the rarest, or
+    for short quotes its grams of characters. What is met is verified. Equal lines of a file are one text, equal quotes of a file one
+    quote; the nearest of a text's lines is found in their order."""
+    q = stored(quotes.select(key, "file", "line", F.col(end or "line").alias("end"), plain_spaces(F.col("quote")).alias("q")), "quotes")
+    asked = q.filter("q <> '' AND file IS NOT NULL").select("file", "q").distinct().withColumn("kind", _kind(F.col("q")))
+    asked = stored(asked.withColumn("quote_id", F.monotonically_increasing_id()), "quotes")
+    wanted = stored(asked.select("quote_id", "file", "kind", F.explode(_grams(F.col("q"), F.col("kind"), 1)).alias("gram")), "wanted")
+
+    own = lines.select("file", "line", plain_spaces(F.col("text")).alias("text")).join(asked.select("file").distinct(), "file", "left_semi").filter("text <> ''")
+    texts = stored(own.select("file", "text").distinct().withColumn("text_id", F.monotonically_increasing_id()), "texts")
+    kinds = asked.select("file", "kind").distinct()
+    held = texts.join(kinds, "file").select("text_id", "file", "kind", F.explode(_grams(F.col("text"), F.col("kind"), 0)).alias("gram"))
+    held = stored(held.join(wanted.select("file", "kind", "gram").distinct(), ["file", "kind", "gram"], "left_semi"), "held")
+    counts = stored(held.groupBy("file", "kind", "gram").agg(F.count("*").alias("n")), "counts")
+    rare = wanted.join(counts, ["file", "kind", "gram"], "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "file", "kind", "gram")).alias("x"))
+    # a gram that no line has settles its quote
+    rare = stored(rare.filter("x.n > 0").select("quote_id", "x.file", "x.kind", "x.gram"), "rarest")
+    met = rare.join(held, ["file", "kind", "gram"]).select("quote_id", "text_id")
+    met = met.join(asked.select("quote_id", "q"), "quote_id").join(texts.select("text_id", "text"), "text_id").filter(F.col("text").contains(F.col("q")))
+    met = stored(met.select("quote_id", "text_id"), "met")
+
+    lines_of = own.join(texts, ["file", "text"]).select("text_id", F.col("line").alias("at"), F.lit(None).cast(q.schema[key].dataType).alias(key), F.lit(None).cast("long").alias("line"), F.lit(False).alias("asks"))
+    places = q.join(asked, ["file", "q"]).join(met, "quote_id").select("text_id", F.col("end").alias("at"), key, "line", F.lit(True).alias("asks"))
+    both = lines_of.unionByName(places)
+    line = F.when(~F.col("asks"), F.col("at"))
+    up, down = (Window.partitionBy("text_id").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((F.asc("at"), F.asc("asks")), (F.desc("at"), F.asc("asks"))))
+    before, after = F.last(line, ignorenulls=True).over(up), F.last(line, ignorenulls=True).over(down)
+    above = F.when(F.col("_before").isNotNull(), F.greatest(F.col("line") - F.col("_before"), F.lit(0)))
+    gaps = both.withColumns({"_before": before, "_after": after}).filter("asks")
+    gaps = gaps.groupBy(key).agg(F.min(F.least(above, F.col("_after") - F.col("at"))).alias("_gap"))
+    files = lines.join(q.select("file").distinct(), "file", "left_semi").select("file").distinct().withColumn("_there", F.lit(True))
+    out = q.join(files, "file", "left").join(gaps, key, "left")
+    status = F.when(F.col("_there").isNull() | F.col("q").isNull() | (F.col("q") == "") | F.col("line").isNull(), "unverifiable").when(F.col("_gap").isNull(), "fabricated").when(F.col("_gap") <= near, "verified").otherwise("location_mismatch")
     return out.select(key, status.alias("status"))
 
 
+def finding_evidence(findings: DataFrame, quotes: DataFrame, locations: DataFrame, lines: DataFrame, key: str, near: int = 3) -> DataFrame:
+    """(key, status) of each finding by all its quotes (key, quote) and locations (key, file, line, end). A quote is verified near any
+    of the locations, mismatched if one of their files holds it elsewhere, fabricated if none does, unverifiable if none of the
+    files is there. Of a finding, fabricated outranks location_mismatch, that unverifiable, that verified; one without
+    quotes or locations is unverifiable."""
+    rows = quotes.select(key, "quote").distinct().join(locations.select(key, "file", "line", "end").distinct(), key)
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "evidence")
+    found = rows.join(evidence_status(rows, lines, "_row", near, "end"), "_row")
+    has = lambda status: F.bool_or(F.col("status") == status)
+    each = found.groupBy(key, "quote").agg(F.when(has("verified"), 1).when(has("location_mismatch"), 3).when(has("fabricated"), 4).otherwise(2).alias("_s"))
+    worst = each.groupBy(key).agg(F.max("_s").alias("_s"))
+    names = F.create_map(*[F.lit(x) for pair in ((1, "verified"), (2, "unverifiable"), (3, "location_mismatch"), (4, "fabricated")) for x in pair])
+    return findings.select(key).distinct().join(worst, key, "left").select(key, names[F.coalesce("_s", F.lit(2))].alias("status"))
+
+
 def bytecode_verdict(verified: Column, source: Column, runtime: Column, unlinked: Column, unresolved: Column) -> Column:
     """UNRESOLVED, UNAVAILABLE, INCOMPLETE, MATCH or MISMATCH, the first that applies."""
     missing = ~F.coalesce(verified, F.lit(False)) | source.isNull() | runtime.isNull()

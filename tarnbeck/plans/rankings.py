@@ -115,10 +115,42 @@ WITH d AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events), p
      s AS (SELECT *, CASE WHEN now AND NOT ever THEN 'new' WHEN now AND NOT last THEN 'regressed' WHEN now THEN 'open' WHEN last THEN 'resolved' WHEN ever THEN 'absent' ELSE 'unseen' END AS status FROM l)
 SELECT user_id, CAST(day AS DATE) AS day, event_type, status, bool_or(status = 'regressed') OVER (PARTITION BY user_id, event_type ORDER BY day) AS ever_regressed FROM s""")
 def _(t):
+    rows = t("events").select("user_id", F.to_date("ts").alias("day"), "event_type")
+    return K.lifecycle_grid(rows, rows, ["user_id"], "event_type", "day")
+
+
+_CHANGES = """
+WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), p AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events),
+     g AS (SELECT d.user_id, d.day, k.event_type, p.day IS NOT NULL AS now FROM d JOIN (SELECT DISTINCT user_id, event_type FROM p) k ON d.user_id = k.user_id LEFT JOIN p ON p.user_id = d.user_id AND p.day = d.day AND p.event_type = k.event_type),
+     l AS (SELECT *, lag(now, 1, false) OVER w AS last, coalesce(bool_or(now) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ever FROM g WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day)),
+     s AS (SELECT *, CASE WHEN now AND NOT ever THEN 'new' WHEN now AND NOT last THEN 'regressed' WHEN NOT now AND last THEN 'resolved' END AS status FROM l),
+     c AS (SELECT user_id, event_type, day, status, bool_or(status = 'regressed') OVER (PARTITION BY user_id, event_type ORDER BY day) AS ever_regressed FROM s WHERE status IS NOT NULL)"""
+
+
+def _changes(t):
     rows = t("events").select("user_id", F.to_date("ts").alias("day"), "event_type")
     return K.lifecycle(rows, rows, ["user_id"], "event_type", "day")
 
 
+@_q.add("E11_history", _CHANGES + " SELECT * FROM c")
+def _(t):
+    return _changes(t)
+
+
+@_q.add("E11_current", _CHANGES + """
+SELECT user_id, event_type, CASE WHEN max_by(status, day) = 'resolved' THEN 'resolved' ELSE 'present' END AS status, bool_or(ever_regressed) AS ever_regressed FROM c GROUP BY 1, 2""")
+def _(t):
+    return K.current_status(_changes(t), ["user_id"], "event_type", "day")
+
+
+@_q.add("E11_status_at", _CHANGES + """
+SELECT u.user_id, u.event_type, DATE '2024-01-15' AS day, (SELECT max_by(status, day) FROM c WHERE c.user_id = u.user_id AND c.event_type = u.event_type AND day <= DATE '2024-01-15') AS status
+FROM (SELECT DISTINCT user_id, event_type FROM events) u""")
+def _(t):
+    asked = t("events").select("user_id", "event_type").distinct().withColumn("day", F.lit("2024-01-15").cast("date"))
+    return K.status_at(_changes(t), asked, ["user_id"], "event_type", "day")
+
+
 @_q.add("C9_E9_enclosing_span", """
 WITH s AS (SELECT o_orderkey AS span, o_custkey % 150 AS user_id, o_orderkey % 28 AS a, o_orderkey % 28 + o_custkey % 9 AS z FROM orders),
      p AS (SELECT event_id, user_id, day(ts) - 1 AS pt FROM events),

@@ -192,6 +192,25 @@ def _(t):
     return P.evidence_status(q, docs, "item_id")
 
 
+@_q.add("R10_finding_evidence", """
+WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+ n AS (SELECT file, line, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM l),
+ q AS (SELECT item_id // 3 AS finding, trim(regexp_replace(CASE WHEN item_id % 9 = 0 THEN text ELSE (SELECT left(n.text, CAST(item_id % 40 AS INT)) FROM n WHERE n.file = item_id // 3 * 7 AND n.line = 1 + item_id % 2 * 6) END, '\\s+', ' ', 'g')) AS quote FROM benchmark),
+ p AS (SELECT DISTINCT item_id // 3 AS finding, item_id // 3 * 7 AS file, 2 AS line, 4 AS z FROM benchmark UNION SELECT item_id // 3, item_id // 3 * 11, 1, 3 FROM benchmark WHERE item_id // 3 % 4 = 1),
+ s AS (SELECT DISTINCT q.finding, quote, p.file, p.line, p.z, p.file IN (SELECT file FROM l) AS there FROM q JOIN p USING (finding) WHERE quote IS NOT NULL),
+ g AS (SELECT finding, quote, there, (SELECT min(greatest(s.line - n.line, n.line - s.z, 0)) FROM n WHERE n.file = s.file AND s.quote <> '' AND contains(n.text, s.quote)) AS gap FROM s),
+ e AS (SELECT finding, quote, CASE WHEN bool_or(gap <= 3) THEN 1 WHEN bool_or(gap IS NOT NULL) THEN 3 WHEN bool_or(there AND quote <> '') THEN 4 ELSE 2 END AS s FROM g GROUP BY ALL)
+SELECT f.finding, ['verified', 'unverifiable', 'location_mismatch', 'fabricated'][coalesce(max(s), 2)] AS status FROM (SELECT DISTINCT finding FROM q) f LEFT JOIN e USING (finding) GROUP BY f.finding""")
+def _(t):
+    docs = t("documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    item, finding = F.col("item_id"), F.floor(F.col("item_id") / 3)
+    near = docs.filter("line IN (1, 7)").select("file", F.col("line").alias("_line"), P.plain_spaces(F.col("text")).alias("start"))
+    b = t("benchmark").withColumns({"finding": finding, "file": finding * 7, "_line": (item % 2 * 6 + 1).cast("int")}).join(near, ["file", "_line"], "left")
+    quotes = b.select("finding", F.when(item % 9 == 0, F.col("text")).otherwise(F.left("start", (item % 40).cast("int"))).alias("quote"))
+    places = b.select("finding", (F.col("finding") * 7).alias("file"), F.lit(2).alias("line"), F.lit(4).alias("end")).union(b.filter("finding % 4 = 1").select("finding", F.col("finding") * 11, F.lit(1), F.lit(3)))
+    return P.finding_evidence(b, quotes.filter("quote IS NOT NULL"), places, docs, "finding")
+
+
 @_q.add("R12_bytecode_verdicts", """
 SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'UNRESOLVED' WHEN p_type = 'SMALL' OR p_size % 10 = 1 THEN 'UNAVAILABLE' WHEN p_size % 10 = 2 THEN 'INCOMPLETE' WHEN p_partkey % 2 = 0 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM part""")
 def _(t):

@@ -165,6 +165,79 @@ def test_evidence_precedence(spark):
     assert values(P.evidence_status(q, lines, "i"), "i", "status") == [(1, "verified"), (2, "location_mismatch"), (3, "fabricated"), (4, "unverifiable"), (5, "verified"), (6, "location_mismatch")]
 
 
+def test_evidence_by_index_equals_all_lines(spark):
+    import random
+
+    rng = random.Random(11)
+    words = ["a", "bb", "ccc", "amount", "=", "balance;", "x.y(z)", "é"]
+    texts = [("f", k, "  ".join(rng.choice(words) for _ in range(rng.randint(0, 7)))) for k in range(1, 90)]
+    texts += [("f", k, "same line of many words") for k in range(100, 130)] + [("g", 1, ""), (None, 1, "a")]
+    quotes = []
+    for k in range(250):
+        file, _, text = rng.choice(texts)
+        line, end = rng.randint(1, 140), None
+        cut = sorted(rng.randint(0, len(text)) for _ in range(2))
+        quotes.append((k, rng.choice([file, "f", "none"]), line, rng.choice([text, text[cut[0] : cut[1]], text + " odd", " ".join(text.split())[1:-1]]), line + rng.randint(0, 5)))
+    quotes += [(900, "f", None, "a", None), (901, None, 1, "a", 1), (902, "f", 1, None, 1)]
+    flat = lambda x: " ".join(x.split())
+
+    def plain(file, line, quote, end):
+        own = [(at, flat(text)) for f, at, text in texts if f == file and f]
+        if not own or not quote or not flat(quote) or line is None:
+            return "unverifiable"
+        gaps = [max(line - at, at - end, 0) for at, text in own if flat(quote) in text]
+        return "fabricated" if not gaps else "verified" if min(gaps) <= 3 else "location_mismatch"
+
+    lines = spark.createDataFrame(texts, "file string, line int, text string")
+    q = spark.createDataFrame(quotes, "i int, file string, line int, quote string, z int")
+    got = {r.i: r.status for r in P.evidence_status(q, lines, "i", end="z").collect()}
+    assert got == {k: plain(f, at, text, z) for k, f, at, text, z in quotes} and len(set(got.values())) == 4
+    got = {r.i: r.status for r in P.evidence_status(q, lines, "i").collect()}
+    assert got == {k: plain(f, at, text, at) for k, f, at, text, _ in quotes}
+    assert P.evidence_status(q.limit(0), lines, "i").count() == 0 and P.evidence_status(q, lines.limit(0), "i").filter("status = 'unverifiable'").count() == len(quotes)
+
+
+def test_evidence_of_whole_findings(spark):
+    lines = spark.createDataFrame([("A", k, t) for k, t in enumerate(["// x", "pragma solidity 0.8.20;", "contract A {", "", "function f() {", "uint256 amount = balance;", "balance = 0;", "}"], 1)], "file string, line int, text string")
+    cases = {
+        1: (["uint256 amount = balance;", "balance = 0;"], [("A", 6, 7)], "verified"), 2: (["uint256  amount   = balance;"], [("A", 8, 8)], "verified"), 3: (["uint256 amount=balance;"], [("A", 6, 6)], "fabricated"),
+        4: (["pragma solidity 0.8.20;"], [("A", 6, 6)], "location_mismatch"), 5: (["pragma solidity 0.8.20;", "invented"], [("A", 6, 6)], "fabricated"), 6: (["x"], [("B", 1, 1)], "unverifiable"),
+        7: ([], [("A", 1, 1)], "unverifiable"), 8: (["x"], [], "unverifiable"), 9: (["uint256 amount = balance;"], [("A", 1, 1), ("A", 6, 6)], "verified"), 10: (["balance = 0;"], [("A", 1, 1), ("A", 2, 3)], "location_mismatch"),
+    }
+    f = spark.createDataFrame([(k,) for k in cases], "i int")
+    q = spark.createDataFrame([(k, x) for k, v in cases.items() for x in v[0]], "i int, quote string")
+    p = spark.createDataFrame([(k, *x) for k, v in cases.items() for x in v[1]], "i int, file string, line int, end int")
+    assert {r.i: r.status for r in P.finding_evidence(f, q, p, lines, "i").collect()} == {k: v[2] for k, v in cases.items()}
+
+
+def test_lifecycle_of_changes(spark):
+    import random
+
+    rng = random.Random(2)
+    scans = [(t, n) for t in "ab" for n in sorted(rng.sample(range(50), 12))]
+    present = [(t, n, k) for t, n in scans for k in ("x", "y", "z", None) if rng.random() < 0.6] * 2
+    want = []
+    for t in "ab":
+        for k in ("x", "y", "z", None):
+            was, ever, regressed = False, False, False
+            for n in [n for u, n in scans if u == t]:
+                now = (t, n, k) in present
+                if now != was:
+                    regressed |= now and ever
+                    want.append((t, k, n, "resolved" if was else "regressed" if ever else "new", regressed))
+                was, ever = now, ever or now
+    s, p = spark.createDataFrame(scans, "t string, n int"), spark.createDataFrame(present, "t string, n int, k string")
+    order = lambda rows: sorted(rows, key=str)
+    changes = K.lifecycle(p, s, ["t"], "k", "n")
+    assert order(tuple(r) for r in changes.collect()) == order(want)
+    last = {(t, k): (status, ever) for t, k, _, status, ever in want}
+    assert {(r.t, r.k): (r.status, r.ever_regressed) for r in K.current_status(changes, ["t"], "k", "n").collect()} == {k: ("resolved" if v[0] == "resolved" else "present", v[1]) for k, v in last.items()}
+    asked = spark.createDataFrame([("a", "x", 0), ("a", "x", 25), ("b", "y", 99), ("c", "x", 9)], "t string, k string, n int")
+    upto = lambda t, k, n: ([w[3] for w in want if w[:2] == (t, k) and w[2] <= n] or [None])[-1]
+    assert {tuple(r) for r in K.status_at(changes, asked, ["t"], "k", "n").select("t", "k", "n", "status").collect()} == {(*a, upto(*a)) for a in (("a", "x", 0), ("a", "x", 25), ("b", "y", 99), ("c", "x", 9))}
+    assert K.lifecycle(p.limit(0), s, ["t"], "k", "n").count() == 0
+
+
 def test_long_cycles_and_paths(spark):
     ring = spark.createDataFrame([(k, k % 20 + 1) for k in range(1, 21)], "from int, to int")
     assert [r.cycle for r in H.cycles(ring).collect()] == [list(range(1, 21))]
