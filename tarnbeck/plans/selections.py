@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.operators import budgets as B
 from tarnbeck.operators import encoding as E
+from tarnbeck.operators import sizes as Z
 from tarnbeck.plans.registry import Queries
 
 _q = Queries()
@@ -22,10 +23,49 @@ def _files(t):
     return files, need(2).union(need(3)).distinct()
 
 
+_BUDGET, _REASON = 40_000, ["LOC_LIMIT_EXCEEDED"]
+
+
+def _closure(files, reach):
+    """Whole closures of needs, by the place of a file in its source."""
+    from tarnbeck.operators.graph import closure
+
+    node = lambda c: F.concat_ws(":", "source", F.col(c))
+    found = closure(reach.select(node("file").alias("from"), node("need").alias("to")), files.select(node("file").alias("seed")))
+    part = lambda c, k: F.split_part(F.col(c), F.lit(":"), F.lit(k))
+    return found.select(part("seed", 1).alias("source"), part("seed", 2).alias("file"), part("node", 2).alias("need"))
+
+
 @_q.add("I1_I2_I7_first_fit")
 def _(t):
     files, reach = _files(t)
-    return B.select_files(B.candidates(files, reach, "source"), "source", 40_000, 500)
+    reserve = B.metadata_reserve(files, "source", F.lit(_BUDGET), F.array(*map(F.lit, _REASON)))
+    return B.select_files(B.candidates(files, _closure(files, reach), "source").join(reserve, "source"), "source", F.lit(_BUDGET) - F.col("reserve"))
+
+
+@_q.add("I2_reserve", """
+WITH f AS (SELECT source, count(*) AS n, string_agg('"' || doc_id || '"', ', ') AS taken, string_agg('{"file": "' || doc_id || '", "reason": "closure_exceeds_budget"}', ', ') AS out FROM documents GROUP BY source)
+SELECT source, CAST(strlen('{"selectionVersion": "1.0", "status": "applied", "budgetBytes": 40000, "estimatedContextBytes": 40000, "includedFiles": [' || taken || '], "excludedFiles": [' || out || '], "selectionReasons": ["LOC_LIMIT_EXCEEDED"]}') - 4 AS BIGINT) AS reserve FROM f""")
+def _(t):
+    files, _reach = _files(t)
+    return B.metadata_reserve(files, "source", F.lit(_BUDGET), F.array(*map(F.lit, _REASON)))
+
+
+@_q.add("I2_stated_total", """
+SELECT o_orderkey, rest + (SELECT min(d) FROM range(1, 21) r(d) WHERE strlen(CAST(rest + d AS VARCHAR)) = d) AS total
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 97 ELSE CAST(pow(10, o_orderkey % 15) AS BIGINT) - o_orderkey % 30 + 20 END AS rest FROM orders)""")
+def _(t):
+    k = F.col("o_orderkey")
+    rest = F.when(k % 2 == 0, k * 97).otherwise(F.pow(F.lit(10), k % 15).cast("long") - k % 30 + 20)
+    return t("orders").select(k, Z.stated_total(rest).alias("total"))
+
+
+@_q.add("I7_completeness_gate")
+def _(t):
+    files, reach = _files(t)
+    length = F.length("source").cast("long")
+    docs = files.select("source").distinct().select("source", (200 + length).alias("base"), F.when(length % 2 == 0, F.array(F.lit("MISSING_IMPORT"), F.lit("FILE_LIMIT_EXCEEDED"))).alias("codes"))
+    return B.completeness_gate(docs, files, _closure(files, reach), "source", _BUDGET, ["LOC_LIMIT_EXCEEDED", "FILE_LIMIT_EXCEEDED"])
 
 
 @_q.add("I1_first_fit_alone", """
@@ -45,7 +85,7 @@ def _(t):
 @_q.add("I4_pass_plan")
 def _(t):
     files, reach = _files(t)
-    return B.plan_passes(B.candidates(files, reach, "source"), "source", 40_000, 500, 4)
+    return B.plan_passes(B.candidates(files, _closure(files, reach), "source"), "source", _BUDGET, 500, 4)
 
 
 @_q.add("I3_I11_list_bytes", """
@@ -63,6 +103,40 @@ def _(t):
     return lists.select("o_custkey", E.compact_table_bytes(F.lit(len('"k""s"')), F.col("v"), 2, F.col("n")).cast("long").alias("bytes"))
 
 
+def _records(t):
+    """A record for each order, some with one key more and a list inside."""
+    more = F.when(F.col("o_orderkey") % 7 < 2, ', "at": [1, 2]').otherwise("")
+    json = F.concat(F.lit('{"file": "'), F.col("o_orderstatus"), F.lit('.sol", "line": '), F.col("o_orderkey").cast("string"), F.lit(', "kind": "'), F.col("o_orderpriority"), F.lit('"'), more, F.lit("}"))
+    return t("orders").select("o_custkey", "o_orderstatus", "o_orderkey", json.alias("json"))
+
+
+@_q.add("I11_segments", """
+WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 7 < 2 AS wide, '"' || o_orderstatus || '.sol",' || o_orderkey || ',"' || o_orderpriority || '"' || CASE WHEN o_orderkey % 7 < 2 THEN ',[1,2]' ELSE '' END AS vals,
+   '{"file":"' || o_orderstatus || '.sol","line":' || o_orderkey || ',"kind":"' || o_orderpriority || '"' || CASE WHEN o_orderkey % 7 < 2 THEN ',"at":[1,2]' ELSE '' END || '}' AS item,
+   strlen('{"file": "' || o_orderstatus || '.sol", "line": ' || o_orderkey || ', "kind": "' || o_orderpriority || '"' || CASE WHEN o_orderkey % 7 < 2 THEN ', "at": [1, 2]' ELSE '' END || '}') AS plain FROM orders),
+ n AS (SELECT *, sum(cut) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM (SELECT *, CASE WHEN wide = lag(wide) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) THEN 0 ELSE 1 END AS cut FROM r)),
+ s AS (SELECT o_custkey, run, wide, count(*) AS k, string_agg('[' || vals || ']', ',' ORDER BY o_orderkey) AS rows, string_agg(item, ',' ORDER BY o_orderkey) AS items, sum(plain) AS plain FROM n GROUP BY ALL),
+ m AS (SELECT *, sum(CASE WHEN k > 1 OR coalesce(before > 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY run) AS seg FROM (SELECT *, lag(k) OVER (PARTITION BY o_custkey ORDER BY run) AS before FROM s)),
+ g AS (SELECT o_custkey, seg, max(k) > 1 AS tab, any_value(wide) AS wide, string_agg(rows, ',' ORDER BY run) AS rows, string_agg(items, ',' ORDER BY run) AS items, sum(plain) AS plain, sum(k) AS k FROM m GROUP BY ALL),
+ t AS (SELECT *, CASE WHEN tab THEN '{"$t":[["file","line","kind"' || CASE WHEN wide THEN ',"at"' ELSE '' END || '],' || rows || ']}' ELSE '{"$i":[' || items || ']}' END AS part FROM g)
+SELECT o_custkey, CAST(CASE WHEN count(*) > 1 THEN strlen('{"$l":[' || string_agg(part, ',') || ']}') WHEN bool_or(tab) THEN strlen(any_value(part)) ELSE strlen('[' || any_value(items) || ']') END AS BIGINT) AS bytes, CAST(sum(plain) + 2 * sum(k) AS BIGINT) AS plain_bytes
+FROM t GROUP BY o_custkey""")
+def _(t):
+    return Z.list_bytes(Z.measured(_records(t), "json"), ["o_custkey"], "o_orderkey")
+
+
+@_q.add("I3_run_sections", """
+WITH r AS (SELECT o_custkey, o_orderstatus AS s, o_orderkey, o_orderkey || ',"' || o_orderpriority || '"' AS vals, '{"line":' || o_orderkey || ',"kind":"' || o_orderpriority || '"}' AS item FROM orders WHERE o_orderkey % 7 >= 2),
+ f AS (SELECT o_custkey, s, count(*) AS n, string_agg('[' || vals || ']', ',') AS rows, string_agg(item, ',') AS items FROM r GROUP BY ALL),
+ p AS (SELECT o_custkey, s, '["' || s || '.sol",0,' || CASE WHEN n > 1 THEN '{"$t":[["line","kind"],' || rows || ']}' ELSE '[' || items || ']' END || ']' AS run FROM f)
+SELECT c.o_custkey, CAST(coalesce(strlen('{"$r":[' || string_agg(run, ',') || ']}'), 2) AS BIGINT) AS bytes
+FROM (SELECT DISTINCT o_custkey FROM r WHERE s <> 'P') c LEFT JOIN p ON p.o_custkey = c.o_custkey AND s <> 'P' GROUP BY 1""")
+def _(t):
+    parts = Z.measured(_records(t).filter("o_orderkey % 7 >= 2").withColumn("at", F.struct("o_orderstatus", "o_orderkey")), "json")
+    runs = Z.file_runs(parts, ["o_custkey"], "at")
+    return Z.chosen_section_bytes(runs, runs.filter("file <> 'P.sol'").select("o_custkey", "file"), ["o_custkey"])
+
+
 def _documents(t):
     """A JSON document for each customer, with his orders as records of two files."""
     record = F.concat(F.lit('{"file": "'), F.col("o_orderstatus"), F.lit('.sol", "line": '), F.col("o_orderkey").cast("string"), F.lit(', "kind": "'), F.col("o_orderpriority"), F.lit('"}'))
