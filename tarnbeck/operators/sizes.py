@@ -45,7 +45,7 @@ def measured(records: DataFrame, json_col: str) -> DataFrame:
 
     keys = F.json_object_keys(json_col)
     size = F.octet_length("_text")
-    lone = (F.size(keys) == 1) & F.element_at(keys, 1).isin(*DIRECTIVES)
+    lone = (F.size(keys) == 1) & F.get(keys, F.lit(0)).isin(*DIRECTIVES)
     # an escaped object was encoded with its escape already
     item = F.when(lone & ~F.col("_nested"), size + ESCAPE).otherwise(size)
     bare_keys = F.array_remove(keys, "file")
@@ -55,7 +55,7 @@ def measured(records: DataFrame, json_col: str) -> DataFrame:
     file = F.when(F.array_position(keys, "file") > 0, _file(F.col(json_col)))
     entry = F.lit(len('"file":')) + json_bytes(F.col("file"))
     bare = F.when(F.size(keys) == 1, 2).otherwise(size - entry - 1)
-    lone_bare = (F.size(bare_keys) == 1) & F.element_at(bare_keys, 1).isin(*DIRECTIVES)
+    lone_bare = (F.size(bare_keys) == 1) & F.get(bare_keys, F.lit(0)).isin(*DIRECTIVES)
     out = rows.withColumn("file", file).withColumns({
         "signature": listed(keys), "header": header(keys), "item": item, "row": row(F.when(lone & F.col("_nested"), size - ESCAPE).otherwise(size), keys), "plain": F.octet_length(json_col),
         "file_at": (F.array_position(keys, "file") - 1).cast("int"), "bare_signature": listed(bare_keys), "bare_header": header(bare_keys),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnbeck.operators import scopes as C
 from tarnbeck.operators import text as X
 from tarnbeck.plans.registry import Queries
 
@@ -59,6 +60,51 @@ def _(t):
     return X.structure(_code(t), "p_partkey", "text")
 
 
+def _sources(t):
+    """A source for each part: as many variables as its size says, of three kinds, locals of the same names, comments, and every tenth without its end."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    variable = lambda i: F.when(i % 3 == 0, F.concat(F.lit("  mapping(address => uint"), (i + 8).cast("string"), F.lit(") private v"), i.cast("string"), F.lit(";\n"))).when(
+        i % 3 == 1, F.concat(F.lit("  uint256[] v"), i.cast("string"), F.lit(";\n"))).otherwise(F.concat(F.lit("  bytes32 constant v"), i.cast("string"), F.lit(" =\n    keccak256('x;{');\n")))
+    variables = F.array_join(F.transform(F.sequence(F.lit(0), n), variable), "")
+    locals_ = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("    uint v"), i.cast("string"), F.lit("; // uint w;\n"))), "")
+    f = F.concat(F.lit("  function f"), k, F.lit("(address a, uint256[] memory b) external view only(1) {\n"), locals_, F.lit("  }\n"))
+    text = F.concat(F.lit("pragma solidity ^0.8."), k, F.lit(";\n/* contract No {\n*/\ncontract C"), k, F.lit(" is B {\n"), variables, f, F.when(F.col("p_partkey") % 10 == 0, "").otherwise("}\n"))
+    return t("part").select("p_partkey", text.alias("text"))
+
+
+_SOURCES = """
+WITH p AS (SELECT p_partkey AS k, p_size % 4 AS n, p_partkey % 10 = 0 AS cut, p_size % 4 + 1 + (p_size % 4 + 1) // 3 AS rows FROM part),
+ v AS (SELECT k, i, 5 + i + i // 3 AS line FROM p, generate_series(0, 3) g(i) WHERE i <= n)"""
+
+
+@_q.add("L4_declarations", _SOURCES + """
+SELECT k AS p_partkey, NULL AS holder, 'pragma' AS kind, 'solidity ^0.8.' || k AS name, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS line_end, false AS truncated, NULL AS visibility, NULL AS mutability, NULL AS modifiers, NULL AS signature FROM p
+UNION ALL SELECT k, NULL, 'contract', 'C' || k, 4, CASE WHEN cut THEN 6 + rows + n + 1 ELSE 7 + rows + n + 1 END, cut, NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT k, 'C' || k, 'function', 'f' || k, 5 + rows, 6 + rows + n + 1, false, 'external', 'view', 'only', '(address,uint256[])' FROM p
+UNION ALL SELECT k, 'C' || k, 'variable', 'v' || i, line, CASE WHEN i % 3 = 2 THEN line + 1 ELSE line END, false, CASE WHEN i % 3 = 0 THEN 'private' END, NULL, NULL, NULL FROM v""")
+def _(t):
+    found = C.declarations(_sources(t), "p_partkey", "text")
+    return found.select("p_partkey", "holder", "kind", "name", F.col("line").cast("long").alias("line"), F.col("line_end").cast("long").alias("line_end"), "truncated", "visibility", "mutability", F.when(F.size("modifiers") > 0, F.array_join("modifiers", ",")).alias("modifiers"), "signature")
+
+
+@_q.add("L4_state_variables", _SOURCES + """
+SELECT k AS p_partkey, 'v' || i AS name, CASE i % 3 WHEN 0 THEN 'mapping(address=>uint' || i + 8 || ')' WHEN 1 THEN 'uint256[]' ELSE 'bytes32' END AS type, CASE i % 3 WHEN 0 THEN 'private' WHEN 1 THEN '' ELSE 'constant' END AS marks FROM v""")
+def _(t):
+    return C.declarations(_sources(t), "p_partkey", "text").filter("kind = 'variable'").select("p_partkey", "name", "type", F.array_join("marks", ",").alias("marks"))
+
+
+@_q.add("L1_commented_lines", """
+WITH x AS (SELECT doc_id, string_split(replace(replace(replace(replace(text, '/', ''), '*', ''), '"', ''), chr(39), ''), chr(10)) AS ls FROM documents),
+ l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM x)
+SELECT doc_id, count(*) FILTER (k % 5 <> 0 AND k % 7 <> 0 AND (k % 7 <> 1 OR k = 1) AND regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]')) AS n FROM l GROUP BY doc_id""")
+def _(t):
+    plain = F.split(F.translate("text", "/*\"'", ""), "\n")
+    # every fifth line is commented out; from each seventh line to the next one's end a comment runs
+    at = lambda i, k: (i + 1) % k == 0
+    marked = F.transform(plain, lambda x, i: F.when(at(i, 7), F.concat(F.lit("/* "), x)).when((i % 7 == 0) & (i > 0), F.concat(x, F.lit(" */"))).when(at(i, 5), F.concat(F.lit("// "), x)).otherwise(x))
+    return C.code_line_counts(t("documents").select("doc_id", F.array_join(marked, "\n").alias("text")), "doc_id", "text")
+
+
 @_q.add("L5_signal_families", """
 SELECT doc_id, 'shouting' AS family, 2 AS tier FROM documents WHERE regexp_matches(text, '[A-Z]{4,}!!') UNION ALL SELECT doc_id, 'symbols', 1 FROM documents WHERE regexp_matches(text, '[*][*][*]|[$][$][$]')
 UNION ALL SELECT doc_id, 'table', 2 FROM documents WHERE contains(text, ' | ') UNION ALL SELECT doc_id, 'licence', 0 FROM documents WHERE regexp_matches(text, '(?i)licensed?')""")
