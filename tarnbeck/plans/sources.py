@@ -19,6 +19,45 @@ def _(t):
     return t.spark.sql("SELECT n_name, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 
 
+@_q.add("A2_database_files", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey > 100 AND c_nationkey IN (3, 7, 11) AND c_acctbal >= 0")
+def _(t):
+    from tarnbeck.sources.folders import new_folder, stored
+    from tarnbeck.sources.readers import register, write_sqlite_files
+
+    register(t.spark)
+    folder = new_folder(t.spark, "database")
+    stored(write_sqlite_files(t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").repartition(3, "c_custkey"), folder, "customer"), "database-files")
+    rows = t.spark.read.format("sqlite_files").option("path", folder).option("table", "customer").option("key", "c_custkey").load()
+    return rows.filter("c_custkey > 100 AND c_nationkey IN (3, 7, 11) AND c_acctbal >= 0").select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal")
+
+
+@_q.add("A10_paged_listing", """
+WITH n AS (SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_nationkey < 20),
+     r AS (SELECT *, row_number() OVER (ORDER BY lower(c_name), c_custkey) AS k, count(*) OVER () AS n FROM n)
+SELECT c_custkey, c_name, n > 80 AS truncated FROM r WHERE k <= 80""")
+def _(t):
+    from pyspark.sql import Window
+
+    from tarnbeck.operators.relational import capped
+    from tarnbeck.sources.folders import new_folder
+    from tarnbeck.sources.readers import register
+
+    register(t.spark)
+    folder, own = new_folder(t.spark, "pages"), Window.partitionBy("c_nationkey")
+    # each nation is a source of pages of ten; customers of the next key's nation are listed twice
+    c = t("customer").select("c_nationkey", "c_custkey", "c_name")
+    c = c.union(c.filter("c_custkey % 9 = 0").withColumn("c_nationkey", (F.col("c_nationkey") + 1) % 25)).dropDuplicates(["c_nationkey", "c_custkey"])
+    c = c.withColumns({"page": F.floor((F.row_number().over(own.orderBy("c_custkey")) - 1) / 10).cast("int") + 1, "total": F.count("*").over(own)})
+    item = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    pages = c.groupBy(F.col("c_nationkey").alias("source"), "page").agg(F.max("total").alias("total"), F.collect_list(item).alias("items"))
+    text = F.to_json(F.struct(F.col("total").alias("total_count"), "items"))
+    pages.select(text.alias("value"), "source", "page").write.partitionBy("source", "page").text(folder)
+    rows = t.spark.read.format("paged_listing").option("path", folder).option("page_size", 10).option("pages", 4).load()
+    found = rows.select(F.from_json("item", "id long, name string, nation int").alias("x")).select("x.*").join(t("customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("id")), "id", "left_semi")
+    found = found.select(F.col("id").alias("c_custkey"), F.col("name").alias("c_name"))
+    return capped(found, "c_custkey", [F.lower("c_name"), F.col("c_custkey")], 80)
+
+
 @_q.add("A6_listing", "SELECT 'nation.parquet' AS name UNION ALL SELECT 'region.parquet'")
 def _(t):
     return X.listed(t.spark, t.sf_dir, "{nation,region}.parquet").select("name")
