@@ -13,9 +13,13 @@ copies cost nothing here. Components are found by alternating large-star and sma
 ``near_duplicates`` links by one fingerprint of word shingles. ``keep_one`` means texts whose sets of five-word shingles have
 a Jaccard similarity of 0.8 or more. One changed word changes five shingles, so the fingerprints of such sets are too far
 apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the distinct words, which hardly moves, and
-verifies in the join as well, by a sketch of SHINGLE_BITS bits of the shingles: one bit of the least shingle under each of
-as many hashes, so that (1 - similarity) / 2 of the bits are expected to differ, 0.1 of them at 0.8. Rows that share a part's value are first compared with a few of them, and only rows that those stars do
-not tie together are paired, so a large group of near copies is not expanded into its pairs. Both limits are parameters; the README has the recall and what else they link.
+compares in the join a sketch of SHINGLE_BITS bits of the shingles: one bit of the least shingle under each of as many hashes, so
+that (1 - similarity) / 2 of the bits are expected to differ, 0.1 of them at 0.8; the limit is wider than that. Rows that share
+a part's value are first compared with a few of them, and only rows that those stars do not tie together are paired, so a large
+group of near copies is not expanded into its pairs. Of the links found so, each text's BEST closest are verified by the sets of
+shingles themselves, which are counted exactly, and only those tie a group. Texts that all their verified links let go are
+probed once more among themselves and what their neighbours became. So what a group loses a document to is always a text of
+that similarity; what the probes miss stays apart, and the README has the recall.
 
 Defined results: a null or word-less text has fingerprint zero and links like any other; a null doc_id never is a
 component's id unless the component has no other (then it is null); repeated rows are all returned; an empty table gives
@@ -31,15 +35,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
 
 BITS, SEED = 64, 42
-#: Near duplicates: words of a shingle, most differing bits of the words' fingerprint and of the shingles' sketch, and its bits.
-WIDTH, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 7, 61, 512
+#: Near duplicates: words of a shingle, least similarity in percent, most differing bits of the words' fingerprint and of the shingles'
+#: sketch, and its bits.
+WIDTH, PERCENT, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 80, 7, 66, 512
+#: Closest links of a text that are verified.
+BEST = 3
 #: Shingles that are sketched at a time.
 SKETCHED = 256
 #: Bits of a block whose value counts are kept for the estimates: 2**11 counts for each of six blocks at most a part.
@@ -272,7 +279,8 @@ def part_count(rows: int, max_bits: int, probe_cost: int = PROBE_COST) -> int:
 
 def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] = (), near_bits: int = 0) -> DataFrame:
     """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits. With
-    ``near``, ``fps`` is (node, fp, near...), u and v are nodes, and the bits that differ in those columns are at most near_bits."""
+    ``near``, ``fps`` is (node, fp, near...), u and v are nodes, the bits that differ in those columns are at most near_bits, and the
+    rows are links themselves, with those bits as ``d``."""
     node = "node" if near else "fp"
     carried = list(dict.fromkeys([node, "fp", *near]))
     # a wider row costs more to shuffle
@@ -302,15 +310,17 @@ def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] =
             for g, v in enumerate(part_values(b.column(at_fp).to_numpy(), groups)):
                 yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *carried])
 
+    def apart(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return sum([F.bit_count(a(c).bitwiseXOR(b(c))) for c in near], F.lit(0))
+
     def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        differ = lambda c: F.bit_count(a(c).bitwiseXOR(b(c)))
-        own = differ("fp") <= max_bits
-        return own & (sum([differ(c) for c in near], F.lit(0)) <= near_bits) if near else own
+        own = F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= max_bits
+        return own & (apart(a, b) <= near_bits) if near else own
 
     schema = ", ".join(f"{c} long" for c in ["key", *carried])
     if near:
         # a dense group has about the square of its size in pairs: what stars tie together already is not paired again
-        tied = stored(stars(stored(fps.select(carried).mapInArrow(index, schema), "keys"), carried, close), "stars")
+        tied = stored(stars(stored(fps.select(carried).mapInArrow(index, schema), "keys"), carried, close, apart), "stars")
         fps = stored(fps.join(components(tied), "node", "left").withColumn("tied", F.coalesce("root", "node")), "tied")
         carried = [*carried, "tied"]
         schema += ", tied long"
@@ -319,49 +329,72 @@ def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] =
     linked = (F.col("q.key") == F.col("x.key")) & (F.col(f"q.{node}") < F.col(f"x.{node}")) & close(of("q"), of("x"))
     if near:
         linked &= F.col("q.tied") != F.col("x.tied")
-    met = q.join(x, linked).select(F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")).mapInArrow(folded, "u long, v long")
-    return met.union(tied) if near else met
+    ends = [F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")]
+    if near:
+        return q.join(x, linked).select(*ends, apart(of("q"), of("x")).alias("d")).mapInArrow(spanning, "u long, v long, d int").union(tied)
+    return q.join(x, linked).select(*ends).mapInArrow(folded, "u long, v long")
 
 
-def stars(keyed: DataFrame, carried: list[str], close: Callable) -> DataFrame:
-    """(u, v): links of each row (key, node, ...) to those of its key's STARS centres that it is close to; the centres are the
+def stars(keyed: DataFrame, carried: list[str], close: Callable, apart: Callable) -> DataFrame:
+    """(u, v, d): links of each row (key, node, ...) to those of its key's STARS centres that it is close to; the centres are the
     least by as many hashes of the node. At most STARS links a row."""
     centre = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), *carried)).alias(f"centre{k}")
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), *map(centre, range(STARS))).filter("n > 1")
     met = keyed.join(stored(centres, "centres"), "key")
     near_ones = F.filter(F.array(*[F.col(f"centre{k}") for k in range(STARS)]), lambda c: (c["node"] != F.col("node")) & close(F.col, lambda n: c[n]))
-    ties = met.select("node", F.explode(F.array_distinct(F.transform(near_ones, lambda c: c["node"]))).alias("centre"))
-    return ties.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    ties = met.select("node", F.explode(F.array_distinct(F.transform(near_ones, lambda c: F.struct(c["node"].alias("node"), apart(F.col, lambda n: c[n]).cast("int").alias("d"))))).alias("c"))
+    return ties.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v"), "c.d").distinct()
 
 
-def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's links as a forest of stars; at most FOLD links are held before they are passed on."""
-    above: dict[int, int] = {}
+class Forest:
+    """Trees of the links seen so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
 
-    def root(x: int) -> int:
-        top = x
+    def root(self, x: int) -> int:
+        above, top = self.above, x
         while (y := above.get(top, top)) != top:
             top = y
         while (y := above.get(x, x)) != top:
             above[x], x = top, y
         return top
 
+    def joins(self, u: int, v: int) -> bool:
+        """Whether the link joins two trees, which are one then."""
+        a, z = sorted((self.root(u), self.root(v)))
+        if a != z:
+            self.above[z] = a
+        return a != z
+
+
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's links as a forest of stars; at most FOLD links are held before they are passed on."""
+    forest = Forest()
+
     def stars() -> pa.RecordBatch:
-        nodes = list(above)
-        out = pa.RecordBatch.from_arrays([pa.array([root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["u", "v"])
-        above.clear()
-        return out
+        nodes = list(forest.above)
+        return pa.RecordBatch.from_arrays([pa.array([forest.root(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["u", "v"])
 
     for b in batches:
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, z = sorted((root(u), root(v)))
-            if a != z:
-                above[z] = a
-        if len(above) > FOLD:
+            forest.joins(u, v)
+        if len(forest.above) > FOLD:
             yield stars()
+            forest = Forest()
     yield stars()
 
 
+def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of the task's links (u, v, d) that join two trees when they are met, closest first in each batch."""
+    forest = Forest()
+    for b in batches:
+        b = b.sort_by("d")
+        yield b.filter(pa.array([forest.joins(u, v) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+        if len(forest.above) > FOLD:
+            forest = Forest()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (u, v) reaches, by alternating star steps."""
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -398,16 +431,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), hex64("fp").alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, word_limit: int = WORD_LIMIT, shingle_limit: int = SHINGLE_LIMIT) -> DataFrame:
+def closest(edges: DataFrame, count: int = BEST) -> DataFrame:
+    """(u, v): of the links (u, v, d) those that are among the ``count`` closest of either end."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other"), "d").union(edges.select("v", "u", "d"))
+    first = ends.withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("d", "other"))).filter(F.col("n") <= count)
+    return first.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (u, v) whose texts' sets of shingles have a Jaccard similarity of ``percent`` or more. ``nodes``: (node, id)."""
+    bounded_batches(docs.sparkSession)
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")).join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts_of(b.column(1))]
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], names=["node", "hashes"])
+
+    # where ids repeat, a node's text may come more than once
+    sets = stored(texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+    side = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    both = F.size(F.array_intersect("a", "b"))
+    found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    return stored(found.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"), "alike")
+
+
+def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, word_limit: int, shingle_limit: int) -> DataFrame:
+    """(u, v): verified links between the nodes of ``distinct`` (node, least, fp, near0, ...)."""
+    nodes = distinct.select("node", F.col("least.id").alias("id"))
+    found = lambda some: stored(links(some, some.count(), word_limit, tuple(NEAR), shingle_limit), "found")
+    ends = lambda e: e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+    met = found(distinct)
+    first = alike(closest(met), nodes, docs, id_col, text_col, width, percent)
+    let_go = stored(ends(met).join(ends(first), "node", "left_anti"), "let-go")
+    if let_go.isEmpty():
+        return first
+    # once more: those that were let go, and what their neighbours became
+    around = met.select(F.col("u").alias("node"), F.col("v").alias("other")).union(met.select("v", "u")).join(let_go, "node", "left_semi").select(F.col("other").alias("node")).distinct()
+    became = around.join(components(first), "node", "left").select(F.coalesce("root", "node").alias("node"))
+    some = stored(distinct.join(became.union(let_go).distinct(), "node", "left_semi"), "once-more")
+    tried = closest(met)
+    again = closest(found(some)).join(tried, ["u", "v"], "left_anti")
+    return first.union(alike(again, nodes, docs, id_col, text_col, width, percent))
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, word_limit: int = WORD_LIMIT, shingle_limit: int = SHINGLE_LIMIT, percent: int = PERCENT,
+) -> DataFrame:
     """(id_col, keep_id), one row for each row of ``docs``: the least id, nulls last, of its group of near duplicates."""
     order = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("id"))
     rows = stored(near_fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = rows.groupBy("fp", *NEAR).agg(F.min(order("id")).alias("least")).withColumn("node", F.monotonically_increasing_id())
     distinct = stored(distinct, "distinct")
-    roots = components(links(distinct, distinct.count(), word_limit, tuple(NEAR), shingle_limit))
+    roots = components(near_links(distinct, docs, id_col, text_col, width, percent, word_limit, shingle_limit))
     rooted = stored(distinct.join(roots, "node", "left").select("fp", *NEAR, "least", F.coalesce("root", "node").alias("root")), "rooted")
-    keep = rooted.groupBy("root").agg(F.min("least").alias("keep"))
-    of_print = rooted.join(keep, "root").select("fp", *NEAR, F.col("keep.id").alias("keep_id"))
+    # written first: a join right above its aggregation can't be split where a group holds many rows
+    keep = stored(rooted.groupBy("root").agg(F.min("least").alias("keep")), "keep")
+    of_print = stored(rooted.join(keep, "root").select("fp", *NEAR, F.col("keep.id").alias("keep_id")), "kept")
     return rows.join(of_print, ["fp", *NEAR]).select(F.col("id").alias(id_col), "keep_id")
 
 

@@ -151,6 +151,9 @@ class Scorer:
         self.trees = gbt.fit(own).setPredictionCol("tree_label").setProbabilityCol("tree_share").setRawPredictionCol("tree_raw")
         own.unpersist()
         held = self.trees.transform(fit.filter("fold = 1")).select("label", vector_to_array("tree_share")[1].alias("share"))
+        if held.select("label").distinct().count() < 2:
+            self.steps = [(0.0, 0.0), (1.0, 1.0)]  # nothing to calibrate by: the trees' own share
+            return
         iso = IsotonicRegression(featuresCol="share", labelCol="label").fit(held)
         self.steps = list(zip(iso.boundaries.toArray().tolist(), iso.predictions.toArray().tolist(), strict=True))
 

@@ -96,11 +96,15 @@ def test_awkward_rows(spark):
     assert S.near_duplicates(empty(spark)).count() == 0
 
 
+def plain_shingles(text: str) -> set[bytes]:
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({b" ".join(words)} if words else set())
+
+
 def plain_near(text: str) -> tuple[int, int]:
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    shingles = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({b" ".join(words)} if words else set())
     own = [xxhash.xxh64_intdigest(w, seed=42) for w in set(words)]
-    upper = [xxhash.xxh64_intdigest(x, seed=42) >> 32 for x in shingles]
+    upper = [xxhash.xxh64_intdigest(x, seed=42) >> 32 for x in plain_shingles(text)]
     sketch = 0
     for k in range(512 if upper else 0):
         rule = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed=42)
@@ -111,7 +115,8 @@ def plain_near(text: str) -> tuple[int, int]:
 
 
 def near_roots(texts: list[str]) -> list[int]:
-    prints = [plain_near(t) for t in texts]
+    """Groups by links of similarity 0.8 or more, where the probes reach."""
+    prints, sets = [plain_near(t) for t in texts], [plain_shingles(t) for t in texts]
     out = list(range(len(texts)))
 
     def root(x):
@@ -121,7 +126,7 @@ def near_roots(texts: list[str]) -> list[int]:
 
     for i, (a, x) in enumerate(prints):
         for j, (b, y) in enumerate(prints[:i]):
-            if (a ^ b).bit_count() <= S.WORD_LIMIT and (x ^ y).bit_count() <= S.SHINGLE_LIMIT and root(i) != root(j):
+            if (a ^ b).bit_count() <= S.WORD_LIMIT and (x ^ y).bit_count() <= S.SHINGLE_LIMIT and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root(i) != root(j):
                 lo, hi = sorted((root(i), root(j)))
                 out[hi] = lo
     return [root(i) for i in range(len(texts))]
@@ -148,8 +153,45 @@ def test_near_groups_hold_the_pairs_of_similar_texts(spark):
     keep = {r.doc_id: r.keep_id for r in S.near_groups(df).collect()}
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     close = [k for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
-    assert len(close) > 30 and sum(keep[k] == keep[k + 1] == k for k in close) >= 0.8 * len(close)
-    assert all(keep[k] // 2 == k // 2 for k in keep)
+    assert len(close) > 30 and sum(keep[k] == keep[k + 1] == k for k in close) >= 0.9 * len(close)
+    assert all(keep[k] // 2 == k // 2 for k in keep) and all(keep[k + 1] == k + 1 for k in range(0, len(texts), 2) if k not in close)
+
+
+def chained(texts: dict[int, str], keep: dict[int, int]) -> bool:
+    """Whether each group hangs together by links of similarity 0.8 or more, all pairs of it looked at."""
+    groups = {}
+    for k, root in keep.items():
+        groups.setdefault(root, []).append(k)
+    for own in groups.values():
+        sets, left, todo = {k: plain_shingles(texts[k]) for k in own}, set(own[1:]), [own[0]]
+        while todo:
+            a = sets[todo.pop()]
+            near = {k for k in left if 5 * len(a & sets[k]) >= 4 * len(a | sets[k])}
+            left -= near
+            todo += near
+        if left:
+            return False
+    return True
+
+
+def test_dense_groups_hang_together_by_verified_links(spark):
+    """Families whose members lie on both sides of the limit: none goes without a partner, few partners are lost."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for family in range(12):
+        words = [f"f{family}w{k}" for k in range(rng.integers(80, 200))]
+        for _ in range(25):
+            own = list(words)
+            for _ in range(rng.integers(0, 5)):
+                own[rng.integers(len(own))] = f"x{rng.integers(10**6)}"
+            texts[len(texts)] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    keep = {r.doc_id: r.keep_id for r in S.near_groups(df).collect()}
+    assert chained(texts, keep)
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    near = [(a, b) for a in texts for b in range(a + 1, a - a % 25 + 25) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    far = sum(5 * len(sets[a] & sets[b]) < 4 * len(sets[a] | sets[b]) for a in texts for b in range(a + 1, a - a % 25 + 25))
+    assert len(near) > 500 and far > 500 and sum(keep[a] == keep[b] for a, b in near) >= 0.97 * len(near)
 
 
 def test_keep_one_of_awkward_rows(spark):

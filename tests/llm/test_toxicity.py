@@ -46,6 +46,17 @@ def test_without_labels_of_both_kinds(spark, labels):
     assert X.drop_toxic(empty(spark), marks).count() == 0
 
 
+@pytest.mark.parametrize("held", ["no label", "one kind"])
+def test_without_labels_to_calibrate_by_the_trees_share_stands(spark, held):
+    docs = awkward(spark, [f"you are an idiot number {k}" if k % 2 else f"a calm day number {k}" for k in range(150)])
+    marks = docs.filter("doc_id >= 15").select("doc_id", F.col("text").contains("idiot").cast("int").alias("toxic"))
+    marks = marks.filter((X.fold(F.col("doc_id")) != 1) | (F.lit(held == "one kind") & (F.col("toxic") == 1)))
+    fitted = X.scorer(docs, marks)
+    rows, score = fitted.score(docs)
+    got = {r.doc_id: r[score] for r in rows.collect()}
+    assert fitted.steps == [(0.0, 0.0), (1.0, 1.0)] and got[16] > 0.5 > got[17] and all(0 <= x <= 1 for x in got.values())
+
+
 def test_awkward_rows_get_scores_and_keep_their_columns(spark):
     docs = awkward(spark, [f"you are an idiot number {k}" if k % 2 else f"a calm day number {k}" for k in range(120)])
     marks = docs.filter("doc_id >= 15").select("doc_id", F.col("text").contains("idiot").cast("int").alias("toxic"))
