@@ -26,38 +26,35 @@ class Malformed(ValueError):
     """The text is no encoding of its format."""
 
 
-def packed(value, sections: tuple[str, ...] = ()):
-    """A JSON value with tables, segments and, in ``sections`` of this object, file runs."""
-    if isinstance(value, list):
-        return _list(value)
-    if not isinstance(value, dict):
+def _mark(record) -> tuple[str, int] | None:
+    """What a record shares with its neighbours in a run of a file: the file, and the place of that key."""
+    path = record.get("file") if isinstance(record, dict) else None
+    return (path, [*record].index("file")) if isinstance(path, str) else None
+
+
+def packed(value, sections: tuple[str, ...] = (), in_runs: bool = False):
+    """A JSON value in the compact form. A list is a sequence of runs of neighbours: with ``in_runs`` of one file, if each item
+    names one, else of the same keys, where two or more are a table and all else loose items. ``sections``: keys of this object
+    whose lists go by file."""
+    if isinstance(value, dict):
+        out = {k: packed(v, in_runs=k in sections) for k, v in value.items()}
+        return {ESCAPED: out} if out and set(out).issubset(DIRECTIVES) and len(out) == 1 else out
+    if not isinstance(value, list) or not value:
         return value
-    out = {k: _runs(v) if k in sections and isinstance(v, list) else packed(v) for k, v in value.items()}
-    return {ESCAPED: out} if len(out) == 1 and set(out) <= set(DIRECTIVES) else out
-
-
-def _list(items: list):
-    parts: list[dict] = []
-    for keys, run in groupby(items, lambda x: tuple(x) if isinstance(x, dict) else ()):
-        rows = list(run)
-        if keys and len(rows) > 1:
-            parts.append({TABLE: [list(keys), *([packed(x) for x in r.values()] for r in rows)]})
-        elif parts and ITEMS in parts[-1]:
-            parts[-1][ITEMS] += map(packed, rows)
-        else:
-            parts.append({ITEMS: [packed(x) for x in rows]})
-    if len(parts) == 1:
-        return parts[0].get(ITEMS) or parts[0]
-    return {SEGMENTS: parts} if parts else []
-
-
-def _runs(records: list):
-    if not records or not all(isinstance(r, dict) and isinstance(r.get("file"), str) for r in records):
-        return _list(records)
-    out = []
-    for (path, place), run in groupby(records, lambda r: (r["file"], list(r).index("file"))):
-        out.append([path, place, _list([{k: v for k, v in r.items() if k != "file"} for r in run])])
-    return {RUNS: out}
+    marks = [_mark(x) for x in value] if in_runs else [None]
+    if None not in marks:
+        bare = ((m, {k: v for k, v in x.items() if k != "file"}) for m, x in zip(marks, value, strict=True))
+        return {RUNS: [[*mark, packed([x for _, x in run])] for mark, run in groupby(bare, lambda p: p[0])]}
+    parts: list[tuple[str, list]] = []
+    for keys, run in groupby(value, lambda x: (*x,) if isinstance(x, dict) else ()):
+        rows = [*run]
+        table = bool(keys) and len(rows) > 1
+        if table or not parts or parts[-1][0] == TABLE:
+            parts.append((TABLE, [[*keys]]) if table else (ITEMS, []))
+        parts[-1][1].extend([packed(v) for v in x.values()] if table else packed(x) for x in rows)
+    if len(parts) > 1:
+        return {SEGMENTS: [dict([part]) for part in parts]}
+    return parts[0][1] if parts[0][0] == ITEMS else dict(parts)
 
 
 def _placed(record: dict, path: str, place: int) -> dict:

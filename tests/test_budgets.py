@@ -51,7 +51,7 @@ def rows_of(spark, documents):
 def test_sizes_of_lists_equal_the_encoder(spark):
     documents = lists(random.Random(1), 150)
     found = {r.d: (r.bytes, r.plain_bytes) for r in Z.list_bytes(Z.measured(rows_of(spark, documents), "j"), ["d"], "k").collect()}
-    assert found == {d: (compact(E._list(own)), plain(own)) for d, own in enumerate(documents)}
+    assert found == {d: (compact(E.packed(own)), plain(own)) for d, own in enumerate(documents)}
 
 
 def test_sizes_of_file_runs_equal_the_encoder_for_any_choice(spark):
@@ -63,7 +63,7 @@ def test_sizes_of_file_runs_equal_the_encoder_for_any_choice(spark):
     for files in (["A.sol", 'B".sol', "é", "A", "B"], ["A.sol", "B"], ["none"]):
         chosen = spark.createDataFrame([(d, f) for d in range(len(documents)) for f in files], "d int, file string")
         found = {r.d: r.bytes for r in Z.chosen_section_bytes(runs, chosen, ["d"]).collect()}
-        assert found == {d: compact(E._runs([r for r in own if r["file"] in files])) for d, own in enumerate(documents)}
+        assert found == {d: compact(E.packed([r for r in own if r["file"] in files], in_runs=True)) for d, own in enumerate(documents)}
 
 
 def test_empty_sizes(spark):
