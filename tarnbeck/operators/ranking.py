@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,20 +50,34 @@ def round_robin(jobs: DataFrame, tenant: str, order: Sequence[Column], tenant_or
 def claims(jobs: DataFrame, tenants: DataFrame, queue: str, picks: int) -> DataFrame:
     """(queue, pick, tenant, job): the first ``picks`` claims of each queue, by the fair order, where each claim takes the
     job away and sets its tenant's last claim to the pick's time. A claim depends on those before it, so a queue is replayed
-    in one task, queues apart; only each tenant's first ``picks`` jobs by (priority, created, job) can ever be claimed, so
-    no more are brought there."""
-    first = Window.partitionBy(queue, "tenant").orderBy(F.col("priority").desc(), "created", "job")
-    near = jobs.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= picks).drop("_n").join(tenants, [queue, "tenant"])
+    in one task, queues apart, with a heap of tenants. Only a tenant's first ``picks`` jobs by (priority, created, job) can be
+    claimed, and only of the ``picks`` tenants whose first job stands first: all before it have to be claimed before another is. So
+    what a queue brings to its task is bounded by ``picks``, however long it is."""
+    own = Window.partitionBy(queue, "tenant").orderBy(F.col("priority").desc(), "created", "job")
+    near = jobs.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= picks).join(tenants, [queue, "tenant"])
+    start = [F.col("last_claimed").isNotNull(), F.coalesce(F.col("last_claimed") - 300 * F.col("priority"), F.lit(0.0)), -F.col("priority"), F.col("tenant_created"), F.col("created"), F.col("job")]
+    heads = near.filter("_n = 1").withColumn("_at", F.row_number().over(Window.partitionBy(queue).orderBy(*start))).filter(F.col("_at") <= picks)
+    near = near.join(heads.select(queue, "tenant"), [queue, "tenant"], "left_semi")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        last = dict(zip(pdf["tenant"], pdf["last_claimed"], strict=True))
-        left = pdf.to_dict("records")
+        waiting: dict = {}
+        for r in pdf.sort_values("_n", ascending=False).to_dict("records"):
+            waiting.setdefault(r["tenant"], []).append(r)
+
+        def entry(tenant, last) -> tuple:
+            r = waiting[tenant][-1]
+            return (last is not None, 0.0 if last is None else last - 300 * r["priority"], -r["priority"], r["tenant_created"], r["created"], r["job"], tenant)
+
+        last = {t: None if pd.isna(rs[-1]["last_claimed"]) else rs[-1]["last_claimed"] for t, rs in waiting.items()}
+        heap = [entry(t, x) for t, x in last.items()]
+        heapify(heap)
         out = []
-        for k in range(min(picks, len(left))):
-            job = min(left, key=lambda r: (not pd.isna(last[r["tenant"]]), -1e18 if pd.isna(last[r["tenant"]]) else last[r["tenant"]] - 300 * r["priority"], -r["priority"], r["tenant_created"], r["created"], r["job"]))
-            left.remove(job)
-            last[job["tenant"]] = job["now"] + k
-            out.append((job[queue], k, job["tenant"], job["job"]))
+        while heap and len(out) < picks:
+            tenant = heappop(heap)[-1]
+            job = waiting[tenant].pop()
+            out.append((job[queue], len(out), tenant, job["job"]))
+            if waiting[tenant]:
+                heappush(heap, entry(tenant, job["now"] + len(out) - 1))
         return pd.DataFrame(out, columns=[queue, "pick", "tenant", "job"])
 
     kind = {f.name: f.dataType.simpleString() for f in jobs.schema}

@@ -128,6 +128,18 @@ def _(t):
     return X.unbundled(X.bundle(files, "source"), "source", "bundle").select("source", "path", F.md5("content").alias("digest"), "issue")
 
 
+@_q.add("A15_A16_bundle_files", """
+WITH f AS (SELECT lang, 'd/' || doc_id || '.txt' AS path, regexp_replace(text, '\\n$', '') AS content FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL AND text NOT LIKE '%=== %')
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY path) - 1 AS INTEGER) AS place, path, sha256(content) AS digest FROM f""")
+def _(t):
+    from tarnbeck.sources.folders import new_folder
+
+    folder = new_folder(t.spark, "bundles")
+    files = t("documents").filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text NOT LIKE '%=== %'").select("lang", F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    X.write_bundles(files, "lang", folder)
+    return X.read_bundles(t.spark, folder, "lang").select("lang", "place", "path", F.sha2("content", 256).alias("digest"))
+
+
 @_q.add("A17_marker_guard", "SELECT doc_id, doc_id % 7 = 0 AS refused FROM documents")
 def _(t):
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n=== END FILE ===\n"))).otherwise(F.col("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.operators import aggregates as A
 from tarnbeck.operators import relational as R
+from tarnbeck.operators.ranking import placed
 from tarnbeck.plans.registry import Queries
 
 _q = Queries()
@@ -31,10 +32,8 @@ def _(t):
 
 @_q.add("A5_F3_pending_migrations", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS step FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ORDER BY 1")
 def _(t):
-    from pyspark.sql import Window
-
     applied = t("lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return R.pending(t("part").select("p_partkey"), applied, "p_partkey").withColumn("step", F.row_number().over(Window.orderBy("p_partkey")).cast("long"))
+    return placed(R.pending(t("part").select("p_partkey"), applied, "p_partkey"), [F.col("p_partkey")], "step").select("p_partkey", F.col("step").cast("long").alias("step"))
 
 
 @_q.add("A10_capped_listing", """

@@ -95,6 +95,36 @@ def bundle(files: DataFrame, group: str, path: str = "path", content: str = "con
     return files.groupBy(group).agg(F.array_join(F.transform(rows, lambda x: x["t"]), "").alias("bundle"))
 
 
+def bundle_parts(files: DataFrame, group: str, path: str = "path", content: str = "content") -> DataFrame:
+    """(group, path, part): a bundle as rows, one for each file, without the line end behind the part. In the order of their
+    paths the parts are the bundle's text; no row holds more than one file."""
+    text = F.regexp_replace(F.col(content), "\n$", "")
+    return files.select(group, F.col(path).alias("path"), F.concat(F.lit(START), F.col(path), F.lit(" ===\n"), text, F.lit(f"\n{END}")).alias("part"))
+
+
+def write_bundles(files: DataFrame, group: str, folder: str, path: str = "path", content: str = "content") -> None:
+    """Each group's bundle as one text file in a folder of its own. A task streams through its groups' sorted parts."""
+    parts = bundle_parts(files, group, path, content).repartition(group).sortWithinPartitions(group, "path")
+    parts.select(group, F.col("part").alias("value")).write.partitionBy(group).text(folder)
+
+
+def read_bundles(spark: SparkSession, folder: str, group: str) -> DataFrame:
+    """(group, place, path, content, issue): the files of bundles that ``write_bundles`` wrote, read line by line, in
+    splits; a row is one file of a bundle. A file without its end marker has an issue; a path that came before gets a number."""
+    rows = spark.read.text(folder).select(group, "value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"))
+    own = Window.partitionBy(group).orderBy("_at")
+    begins, ends = F.col("value").rlike(r"^=== FILE: .* ===$"), F.col("value") == END
+    rows = rows.withColumn("_entry", F.sum(begins.cast("int")).over(own)).withColumn("_ended", F.sum(ends.cast("int")).over(Window.partitionBy(group, "_entry").orderBy("_at")))
+    # what stands behind an end marker, before the next file, belongs to none
+    held = F.when((F.col("_ended") == 0) & ~begins, F.struct("_at", "value"))
+    entries = rows.filter("_entry > 0").groupBy(group, "_entry").agg(F.min(F.when(begins, F.col("value"))).alias("_head"), F.sort_array(F.collect_list(held)).alias("_lines"), F.max("_ended").alias("_closed"))
+    name = F.regexp_extract("_head", r"^=== FILE: (.*) ===$", 1)
+    entries = entries.withColumn("_path", name).withColumn("_nth", F.row_number().over(Window.partitionBy(group, "_path").orderBy("_entry")))
+    path = F.when(F.col("_nth") == 1, F.col("_path")).otherwise(F.concat("_path", F.lit("#"), F.col("_nth").cast("string")))
+    content = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
+    return entries.select(group, (F.col("_entry") - 1).cast("int").alias("place"), path.alias("path"), content.alias("content"), F.when(F.col("_closed") == 0, "missing_end").alias("issue"))
+
+
 def unbundled(df: DataFrame, group: str, text: str) -> DataFrame:
     """(group, place, path, content, issue): the files of a bundle. A file without its end marker has an issue; a path that came
     before gets a number."""
@@ -158,8 +188,9 @@ def _append(df: DataFrame, top: str) -> None:
 def get_objects(spark: SparkSession, top: str, category: str, workspace: str) -> DataFrame:
     """(name, content) of one workspace's objects; other partitions are not read."""
     rows = spark.read.schema(OBJECT).parquet(top).filter((F.col("category") == category) & (F.col("workspace") == workspace))
-    newest = rows.groupBy("name").agg(F.max("at").alias("at"))
-    return rows.join(newest, ["name", "at"]).filter(~F.col("deleted")).select("name", "content")
+    # rows of one put have the same time: of these one holds, the greatest
+    newest = rows.groupBy("name").agg(F.max(F.struct("at", "deleted", "content")).alias("x"))
+    return newest.filter("NOT x.deleted").select("name", "x.content")
 
 
 def existing_objects(spark: SparkSession, top: str, wanted: DataFrame) -> DataFrame:

@@ -197,6 +197,53 @@ def test_evidence_by_index_equals_all_lines(spark):
     assert P.evidence_status(q.limit(0), lines, "i").count() == 0 and P.evidence_status(q, lines.limit(0), "i").filter("status = 'unverifiable'").count() == len(quotes)
 
 
+def test_claims_equal_a_scan_of_all_jobs_at_each_pick(spark):
+    import random
+
+    rng = random.Random(6)
+    tenants = [(q, t, rng.choice([None, rng.randint(0, 900) * 1.0]), rng.randint(0, 3) * 1.0, 1000.0) for q in range(4) for t in range(9)]
+    jobs = [(q, t, 1000 * q + 100 * t + k, rng.randint(0, 1), rng.randint(0, 5) * 1.0) for q, t, *_ in tenants for k in range(rng.randint(0, 5))]
+    want = []
+    for q in range(4):
+        last, made, left = {t: x for u, t, x, *_ in tenants if u == q}, {t: m for u, t, _, m, _ in tenants if u == q}, [j for j in jobs if j[0] == q]
+        for k in range(min(12, len(left))):
+            job = min(left, key=lambda j: (last[j[1]] is not None, 0 if last[j[1]] is None else last[j[1]] - 300 * j[3], -j[3], made[j[1]], j[4], j[2]))
+            left.remove(job)
+            last[job[1]] = 1000.0 + k
+            want.append((q, k, job[1], job[2]))
+    j = spark.createDataFrame(jobs, "q int, tenant int, job int, priority int, created double")
+    t = spark.createDataFrame(tenants, "q int, tenant int, last_claimed double, tenant_created double, now double")
+    assert values(K.claims(j, t, "q", 12), "q", "pick", "tenant", "job") == sorted(want)
+    assert K.claims(j.limit(0), t, "q", 12).count() == 0
+
+
+def test_bundles_are_written_and_read_part_by_part(spark, tmp_path):
+    rows = [("g", "b.txt", "x\n\ny\n"), ("g", "a.txt", ""), ("g", "c/d.txt", "=== not a marker\nz"), ("h", "a.txt", "é " * 5000)]
+    L.write_bundles(spark.createDataFrame(rows, "k string, path string, content string"), "k", f"{tmp_path}/out")
+    found = L.read_bundles(spark, f"{tmp_path}/out", "k")
+    assert values(found, "k", "place", "path", "content", "issue") == [("g", 0, "a.txt", "", None), ("g", 1, "b.txt", "x\n\ny", None), ("g", 2, "c/d.txt", "=== not a marker\nz", None), ("h", 0, "a.txt", "é " * 5000, None)]
+    (tmp_path / "odd/k=i").mkdir(parents=True)
+    (tmp_path / "odd/k=i/x.txt").write_text("lost\n=== FILE: a ===\n1\n=== END FILE ===\nlost\n=== FILE: a ===\n2\n")
+    assert values(L.read_bundles(spark, f"{tmp_path}/odd", "k"), "place", "path", "content") == [(0, "a", "1"), (1, "a#2", "2")]
+    assert [r.issue for r in L.read_bundles(spark, f"{tmp_path}/odd", "k").orderBy("place").collect()] == [None, "missing_end"]
+
+
+def test_two_rows_of_one_object_in_a_put_are_one(spark, tmp_path):
+    L.put_objects(spark.createDataFrame([("c", "w", "n", "1"), ("c", "w", "n", "2"), ("c", "w", "m", "3")], "category string, workspace string, name string, content string"), str(tmp_path))
+    assert values(L.get_objects(spark, str(tmp_path), "c", "w"), "name", "content") == [("m", "3"), ("n", "2")]
+
+
+def test_a_runs_folder_goes_at_its_end(spark):
+    import os
+
+    from tarnbeck.sources.folders import run_folder, shared_folder, stored
+
+    before = shared_folder(spark)
+    with run_folder(spark) as path:
+        assert stored(spark.range(3), "x").count() == 3 and any("tarnbeck-x-" in d for d in os.listdir(path.removeprefix("file:")))
+    assert not os.path.exists(path.removeprefix("file:")) and shared_folder(spark) == before
+
+
 def test_evidence_of_whole_findings(spark):
     lines = spark.createDataFrame([("A", k, t) for k, t in enumerate(["// x", "pragma solidity 0.8.20;", "contract A {", "", "function f() {", "uint256 amount = balance;", "balance = 0;", "}"], 1)], "file string, line int, text string")
     cases = {
