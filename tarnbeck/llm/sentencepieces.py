@@ -22,7 +22,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from tarnbeck.llm.columns import free_names, with_python_columns
 from tarnbeck.llm.common import bounded_batches, table
 from tarnbeck.llm.pieces import Cache, buffer_of, encoded, gathered
 
@@ -182,6 +184,42 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def encoded_texts(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> tuple[DataFrame, str]:
+    """``df`` with the ids of a text column by the model at ``path``, and that column's name, which clashes with none. A null or
+    empty text has no ids. Nothing is shuffled; a worker reads the model once, so ``path`` has to be readable there."""
+    name = free_names(df, [ids_col])[0]
+
+    def work():
+        own = coder(path)
+
+        def made(texts: list[str]) -> list[pa.Array]:
+            ids, at = own.encode_column(pa.array(texts, pa.large_string()))
+            return [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+
+        return made
+
+    return with_python_columns(df, text_col, [(name, T.ArrayType(T.IntegerType()))], work), name
+
+
+def decoded_texts(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``df`` with the text of a column of ids, and that column's name, which clashes with none. Null ids and none give an empty
+    text; an id that the model doesn't have reads as an unknown piece, bytes that are no UTF-8 as replacement characters."""
+    name = free_names(df, [text_col])[0]
+
+    def work():
+        own = coder(path)
+
+        def made(lists: list[list[int]]) -> list[pa.Array]:
+            ids = np.array([-1 if x is None else x for xs in lists for x in xs or ()], np.int64)
+            ids = np.where((ids >= 0) & (ids < len(own.bytes)), ids, own.model.unknown)
+            at = np.concatenate(([0], np.cumsum([len(xs or ()) for xs in lists]))).astype(np.int64)
+            return [pa.array([x.decode(errors="replace") for x in own.decode_column(ids, at)], pa.string())]
+
+        return made
+
+    return with_python_columns(df, ids_col, [(name, T.StringType())], work), name
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: n_ids, ids_crc32, whether the text decoded from the ids is the text, and parity with sentencepiece."""
     import public_tokenizers

@@ -142,6 +142,27 @@ def test_sentencepiece_query(spark):
     assert rows and all(r.parity and r.round_trip for r in rows)
 
 
+def test_sentencepiece_columns_of_awkward_rows(spark, theirs):
+    docs = awkward(spark, ["long word " * 30_000, "x" * 20_000]).filter("text IS NULL OR NOT contains(text, char(0))").selectExpr("*", "'taken' AS ids")
+    out, ids = S.encoded_texts(docs, PIECES)
+    back, text = S.decoded_texts(out, PIECES, ids)
+    assert (ids, text) == ("_ids", "_text") and back.columns == [*docs.columns, "_ids", "_text"]
+    rows = back.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r["_ids"] == theirs.encode(r.text or "") and r["_text"] == theirs.decode(r["_ids"])
+    assert {r.ids for r in rows} == {"taken"} and {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    none, ids = S.encoded_texts(empty(spark), PIECES)
+    assert S.decoded_texts(none, PIECES, ids)[0].count() == 0
+
+
+def test_sentencepiece_of_odd_ids(spark, theirs):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [-5, 10**6, None]), (4, theirs.encode("a ß"))], "doc_id long, ids array<int>")
+    out, text = S.decoded_texts(df, PIECES)
+    got = {r.doc_id: r[text] for r in out.collect()}
+    assert text == "text" and (got[1], got[2], got[4]) == ("", "", "a ß") and got[3].count("⁇") == 3
+
+
 def field(number: int, value) -> bytes:
     if isinstance(value, int):
         return bytes([number << 3, value])
