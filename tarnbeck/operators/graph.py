@@ -64,10 +64,27 @@ def simple_paths(edges: DataFrame, starts: DataFrame, extend: Column, most_steps
     return out.drop("open")
 
 
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """The edges inside strong components of two nodes or more. Nodes that nothing leads to, or that lead nowhere, are peeled off
+    layer by layer first; of what is left, an edge lies on a cycle if its end reaches its start, which is a closure of the rest alone."""
+    e = edges
+    while True:
+        kept = _stored(e.join(e.select(F.col("from").alias("to")).distinct(), "to", "left_semi").select("from", "to").join(e.select(F.col("to").alias("from")).distinct(), "from", "left_semi"))
+        if kept.count() == e.count():
+            break
+        e = kept
+    if e.isEmpty():
+        return e
+    reach = closure(e, e.select(F.col("to").alias("seed")).distinct())
+    return _stored(e.join(reach.select(F.col("seed").alias("to"), F.col("node").alias("from")), ["from", "to"], "left_semi"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """(cycle): every simple cycle once, from its least node; a self edge is [a, a]."""
+    """(cycle): every simple cycle once, from its least node; a self edge is [a, a]. Only edges that lie on some cycle are walked, so
+    a graph without cycles costs no paths; the number of simple cycles itself can be exponential."""
     e = _stored(edges.select("from", "to").distinct())
     found = e.filter(F.col("from") == F.col("to")).select(F.array("from", "to").alias("cycle"))
+    e = _cyclic(e.filter(F.col("from") != F.col("to")))
     # a cycle is walked from its least node only, so a path never steps below its start
     paths = _stored(e.filter(F.col("from") < F.col("to")).select(F.array("from", "to").alias("hops")))
     while not paths.isEmpty():

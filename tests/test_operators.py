@@ -309,6 +309,14 @@ def test_linearisation_of_stacked_diamonds(spark):
     assert [r.base for r in rows] == [x for k in range(0, 90, 3) for x in (k + 1, k + 3)] + [k + 2 for k in range(87, -1, -3)]
 
 
+def test_cycles_behind_stacked_diamonds(spark):
+    """The 2 ** 25 paths down to a cycle and on from it are never walked."""
+    rows = [(a, b) for a, _, b in diamonds(25)] + [(75, 200), (200, 201), (201, 75), (201, 300), (300, 301), (50, 50)] + [(300 + a, 300 + b) for a, _, b in diamonds(25)]
+    e = spark.createDataFrame(rows, "from int, to int")
+    assert sorted(r.cycle for r in H.cycles(e).collect()) == [[50, 50], [75, 200, 201]]
+    assert H.cycles(e.filter("from < to")).count() == 0 and H.cycles(e.limit(0)).count() == 0
+
+
 def test_linearisation_with_a_cycle_and_a_better_longer_path(spark):
     bases = spark.createDataFrame([(1, 2, 9), (1, 1, 2), (2, 1, 3), (3, 1, 9), (3, 2, 2)], "node int, place int, base int")
     assert values(H.linearised(bases), "node", "base", "place") == [(1, 2, 0), (1, 3, 1), (1, 9, 2), (2, 3, 0), (2, 9, 1), (3, 2, 1), (3, 9, 0)]
