@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm.columns import free_names
 from tarnbeck.llm.common import bounded_batches, stored, table, texts_of
+from tarnbeck.llm.exact_dedup import BITS_PER_KEY, LEAST_BITS, MOST_BITS, survivors_bitmap
 
 BITS, SEED = 64, 42
 #: Near duplicates: words of a shingle, least similarity in percent, most differing bits of the words' fingerprint and of the shingles'
 #: sketch, and its bits.
 WIDTH, PERCENT, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 80, 7, 66, 512
 #: Closest links of a text that are verified.
-BEST = 3
+BEST = 2
 #: Shingles that are sketched at a time.
 SKETCHED = 256
 #: Bits of a block whose value counts are kept for the estimates: 2**11 counts for each of six blocks at most a part.
@@ -438,25 +439,39 @@ def closest(edges: DataFrame, count: int = BEST) -> DataFrame:
     return first.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
+def with_bits_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key shares a bit with one of ``ids``: all that are among them, and few others."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * ids.count()).bit_length()))
+    bit = lambda c: (F.pmod(F.xxhash64(c), F.lit(bits)) + 1).alias("bit")
+    bitmap = F.broadcast(survivors_bitmap(ids.select(bit(F.col(ids.columns[0])))))
+    tested = docs.withColumn("bit", bit(F.col(key))).withColumn("bucket", F.bitmap_bucket_number("bit")).join(bitmap, "bucket")
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return tested.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (u, v) whose texts' sets of shingles have a Jaccard similarity of ``percent`` or more. ``nodes``: (node, id)."""
+    """Those of the ``pairs`` (u, v) whose texts' sets of shingles have a Jaccard similarity of ``percent`` or more. ``nodes``: (node, id).
+    Shingles are counted by 32 bits of their hashes, which two sets of a thousand mistake for each other once in 4,000 pairs, by one
+    shingle. Only texts that some pair needs are shuffled, and few others: a bitmap of their ids, of bounded size, is consulted first."""
     bounded_batches(docs.sparkSession)
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")).join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "t")
+    wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node"), "wanted")
+    texts = with_bits_of(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")), "doc", wanted.select("id"))
+    texts = texts.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts_of(b.column(1))]
+            sets = [np.unique((shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in texts_of(b.column(1))]
             ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int32)])))], names=["node", "hashes"])
 
-    # where ids repeat, a node's text may come more than once
-    sets = stored(texts.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+    sets = stored(texts.mapInArrow(run, "node long, hashes array<int>"), "shingles")
     side = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = F.size(F.array_intersect("a", "b"))
     found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    return stored(found.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v"), "alike")
+    # where ids repeat, a node's text comes more than once
+    return stored(found.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct(), "alike")
 
 
 def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, word_limit: int, shingle_limit: int) -> DataFrame:
