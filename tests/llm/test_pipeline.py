@@ -2,7 +2,7 @@ import re
 
 import corpus_pipeline as C
 from tarnbeck.llm import toxicity as X
-from tests.llm.data import SCHEMA, empty
+from tests.llm.data import SCHEMA, awkward, empty
 from tests.llm.test_quality import plain_counts
 from tests.llm.test_simhash import near_roots
 
@@ -56,3 +56,18 @@ def test_awkward_documents(spark, tmp_path):
     got = {r.doc_id for r in C.run(spark, str(tmp_path)).collect()}
     assert 4 in got and 5 not in got and 3 not in got
     assert C.STAGES[2][1](spark, empty(spark), SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns whose names the operators use themselves come through, row by row; empty tables stay empty."""
+    texts = [f"a calm day by the {w} with my old friend number {k} and a very large dog that barks at all the boats in the bay" for k, w in enumerate(["sea", "lake", "river", "pond"])]
+    docs = awkward(spark, [*texts, texts[0], texts[1] + " again"]).selectExpr("*", "'g' AS gone", "1 AS node", "doc_id AS keep_id", "'d' AS digest", "2.5 AS near0", "text AS t")
+    none = docs.filter("false")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows, before = out.collect(), {str(r) for r in docs.collect()}
+        assert {str(r) for r in rows} <= before and len(rows) <= docs.count()
+        left = stage(spark, none, SF)
+        assert left.columns == docs.columns and left.count() == 0, name
+    assert C.STAGES[-1][1](spark, none, SF).count() == 0 and C.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
