@@ -90,6 +90,20 @@ def _(t):
     return X.archive_entries(rows, "s_suppkey", "data").select("s_suppkey", "path", F.length("content").alias("size"), "error")
 
 
+@_q.add("A8_varied_archives", """
+WITH f AS (SELECT p_partkey // 30 AS g, p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'a' || chr(92) || p_partkey || '.sol' ELSE 'é/' || p_partkey || '.sol' END AS path, repeat(p_name, CAST(p_size % 5 AS INT)) AS content, p_partkey % 13 = 0 AS link FROM part WHERE p_partkey // 30 % 4 <> 3),
+ e AS (SELECT g, path, CASE WHEN link THEN 'link' WHEN k % 11 = 0 THEN 'backslash' END AS error, content FROM f)
+SELECT g, path, CASE WHEN error IS NULL THEN sha256(content) END AS digest, error FROM e UNION ALL SELECT DISTINCT p_partkey // 30, NULL, NULL, 'not_an_archive' FROM part WHERE p_partkey // 30 % 4 = 3""")
+def _(t):
+    k = F.col("p_partkey")
+    path = F.when(k % 11 == 0, F.concat(F.lit("a\\"), k.cast("string"), F.lit(".sol"))).otherwise(F.concat(F.lit("é/"), k.cast("string"), F.lit(".sol")))
+    files = t("part").select(F.floor(k / 30).alias("g"), path.alias("path"), F.expr("repeat(p_name, p_size % 5)").alias("content"), (k % 13 == 0).alias("link"))
+    # every fourth archive lost its head
+    cut = F.when(F.col("g") % 4 == 3, F.base64(F.lit(b"PK no more"))).otherwise(F.col("data"))
+    rows = X.zipped(files, "g", link="link").select("g", cut.alias("data"))
+    return X.archive_entries(rows, "g", "data").select("g", "path", F.sha2("content", 256).alias("digest"), "error")
+
+
 @_q.add("A9_blob_hashes", "SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS sha, strlen(text) > 20000 AS over_limit FROM documents")
 def _(t):
     from tarnbeck.functions.scalars import git_blob_sha

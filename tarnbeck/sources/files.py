@@ -72,6 +72,23 @@ def archive_entries(df: DataFrame, id_col: str, data_col: str, most_bytes: int =
     return df.select(id_col, data_col).mapInPandas(run, f"{id_col} {kind}, path string, content binary, error string")
 
 
+def zipped(files: DataFrame, group: str, path: str = "path", content: str = "content", link: str | None = None) -> DataFrame:
+    """(group, data): each group's files, in the order of their paths, as one base64 ZIP archive; rows where the column ``link`` holds become links. An
+    archive is one value, so a group is made in one task."""
+    kind = files.schema[group].dataType.simpleString()
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows.sort_values(path).to_dict("records"):
+                entry = zipfile.ZipInfo(r[path])
+                entry.external_attr = (0o120777 if link and r[link] else 0o100644) << 16
+                z.writestr(entry, r[content])
+        return pd.DataFrame({group: [rows[group].iloc[0]], "data": [base64.b64encode(buffer.getvalue()).decode()]})
+
+    return files.groupBy(group).applyInPandas(pack, f"{group} {kind}, data string")
+
+
 def manifest(files: DataFrame, group: str, path: str = "path", content: str = "content") -> DataFrame:
     """(group, path, kind, size, sha256, loc, error) of each file: the path's fault, duplicate (also in another case),
     reserved_marker, or null. Sizes and hashes are of the text with plain line ends."""
