@@ -25,6 +25,8 @@ from tarnbeck.llm.common import bounded_batches, table
 SIZE, END_ID = 2048, 1
 #: Tokens of left-over pieces that a task gathers before it packs them.
 GATHER = 1 << 22
+#: Pieces that are passed on at a time.
+PASSED = 512
 #: Windows of one task at most.
 PER_TASK = 1 << 40
 
@@ -92,12 +94,17 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
         rest: list[tuple] = []
         held = 0
 
-        def out(pieces: list[tuple]) -> pa.RecordBatch:
-            pieces.sort(key=lambda p: -p[2])
-            places = [packer.place(p[2]) for p in pieces]
-            ids, start, length, total, data = (list(x) for x in zip(*pieces, strict=True)) if pieces else ([], [], [], [], [])
+        def out(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+            """The pieces with their places, a small batch at a time; they are taken out of the list."""
+            pieces.reverse()  # equal lengths keep their order
+            pieces.sort(key=lambda p: p[2])
             long = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), long(start), long(length), long(total), long([w for w, _ in places]), long([o for _, o in places]), pa.array(data, pa.binary())], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            while pieces:
+                some = pieces[-PASSED:][::-1]
+                del pieces[-PASSED:]
+                places = [packer.place(p[2]) for p in some]
+                ids, start, length, total, data = (list(x) for x in zip(*some, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind), long(start), long(length), long(total), long([w for w, _ in places]), long([o for _, o in places]), pa.array(data, pa.binary())], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         kind = pa.int64()
         for b in batches:
@@ -110,18 +117,15 @@ def packed(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                 for k in range(0, whole, size):
                     full.append((doc, k, size, total, flat[a + k : a + k + size].tobytes()))
                     if len(full) == 512:
-                        yield out(full)
-                        full = []
+                        yield from out(full)
                 if whole < total:
                     rest.append((doc, whole, total - whole, total, flat[a + whole : z].tobytes()))
                     held += total - whole
-            if full:
-                yield out(full)
+            yield from out(full)
             if held >= GATHER:
-                yield out(rest)
-                rest, held = [], 0
-        if rest:
-            yield out(rest)
+                yield from out(rest)
+                held = 0
+        yield from out(rest)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
