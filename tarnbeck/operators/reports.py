@@ -49,11 +49,15 @@ def report_errors(reports: DataFrame, findings: DataFrame, coverage: DataFrame,
     lists, at most MOST_EVIDENCE lines of evidence, a location or more. A null field breaks the rule that needs it."""
     said = lambda c: F.coalesce(c, F.lit(False))
     plain = F.col("severity") != "INFORMATIONAL"
-    covered = coverage.groupBy("report").agg(
-        F.count("*").alias("n"), F.count_distinct("category").alias("kinds"), F.bool_and(said(F.col("category").isin(CATEGORIES))).alias("known"),
-        F.bool_or(F.col("status") == "NOT_ASSESSED").alias("gap"), F.count_distinct(F.when(F.col("status") == "DETECTED", F.col("category"))).alias("detected"),
-    )
-    backed = findings.filter(plain & F.col("category").isin(CATEGORIES)).groupBy("report").agg(F.count_distinct("category").alias("backed"))
+    # several rows of a category are one first, so that a report's own row holds ten categories at most; sizes guessed from the
+    # reports' files miss that a report has many rows, so nothing here is broadcast by them
+    each_category = coverage.groupBy("report", "category").agg(F.count("*").alias("n"), F.bool_or(F.col("status") == "NOT_ASSESSED").alias("gap"), F.bool_or(F.col("status") == "DETECTED").alias("some"), F.bool_and(F.col("status") == "DETECTED").alias("all"))
+    listed = F.col("category").isin(CATEGORIES)
+    covered = each_category.groupBy("report").agg(
+        F.sum("n").alias("n"), F.count("category").alias("kinds"), F.bool_and(said(listed)).alias("known"), F.bool_or("gap").alias("gap"),
+        F.count(F.when(F.col("some"), F.col("category"))).alias("detected"), F.collect_list(F.when(F.col("all") & listed, F.col("category"))).alias("hits"),
+    ).hint("merge")
+    backed = findings.filter(plain & F.col("category").isin(CATEGORIES)).groupBy("report").agg(F.count_distinct("category").alias("backed")).hint("merge")
     r = reports.join(covered, "report", "left").join(backed, "report", "left")
     partial = F.col("completeness").isin("partial", "failed") & ~said(F.col("gap"))
     if forced_partial:
@@ -65,8 +69,8 @@ def report_errors(reports: DataFrame, findings: DataFrame, coverage: DataFrame,
         "R-09": (F.col("mode") == "pro") | (F.col("summary").isNull() & (F.col("notes") == 0)), "categories": (F.col("n") == len(CATEGORIES)) & (F.col("kinds") == len(CATEGORIES)) & F.col("known"),
         "mode": F.col("mode").isin(MODES), "completeness": F.col("completeness").isin(COMPLETENESS),
     }
-    found = coverage.groupBy("report", "category").agg(F.bool_and(F.col("status") == "DETECTED").alias("is_detected"))
-    f = findings.join(found, ["report", "category"], "left").join(reports.select("report", "mode"), "report", "left")
+    f = findings.join(covered.select("report", "hits").hint("merge"), "report", "left").join(reports.select("report", "mode").hint("merge"), "report", "left")
+    f = f.withColumn("is_detected", F.array_contains("hits", F.col("category")))
     each = {
         "R-02": (F.col("stable_key") == F.col("want_key")) & (F.col("id") == F.col("want_id")), "R-04": ~F.col("category").isin(CATEGORIES) | F.col("is_detected"),
         "R-06": (F.col("mode") != "quick") | F.col("patch").isNull(), "R-07": (F.col("status") == "informational") == (F.col("severity") == "INFORMATIONAL"),
