@@ -95,13 +95,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found
 
 
-def linearised(bases: DataFrame) -> DataFrame:
-    """(node, base, place): each node's bases in depth-first preorder, each once. ``bases``: (node, place, base). A path of
-    places sorts as the walk goes, and of several paths to a base the first holds. Of each node and base only the first path
+def _first_paths(bases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, base, path): the first path from each of ``nodes`` (node) to each of its bases. Of each node and base only the first path
     known so far is kept and, where it got better, walked on, so the work is bounded by pairs and not by paths."""
     first = F.min(F.struct("path", "seen")).alias("b")
-    b = _stored(bases.select(F.col("node").alias("base"), F.col("place").alias("p"), F.col("base").alias("next")).distinct())
-    step = _stored(bases.groupBy("node", "base").agg(F.min(F.struct(F.array("place").alias("path"), F.array("node", "base").alias("seen"))).alias("b")).select("node", "base", "b.*"))
+    b = _stored(bases.select(F.col("node").alias("base"), F.col("place").alias("p"), F.col("base").alias("next")))
+    own = bases.join(nodes, "node", "left_semi")
+    step = _stored(own.groupBy("node", "base").agg(F.min(F.struct(F.array("place").alias("path"), F.array("node", "base").alias("seen"))).alias("b")).select("node", "base", "b.*"))
     best = step
     while True:
         on = step.join(b, "base").filter(~F.array_contains("seen", F.col("next")))
@@ -111,7 +111,39 @@ def linearised(bases: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         best = _stored(best.join(step.select("node", "base"), ["node", "base"], "left_anti").union(step))
-    return best.select("node", "base", (F.row_number().over(Window.partitionBy("node").orderBy("path")) - 1).alias("place"))
+    return best.select("node", "base", "path")
+
+
+def linearised(bases: DataFrame) -> DataFrame:
+    """(node, base, place): each node's bases in depth-first preorder, each once. ``bases``: (node, place, base). A path of
+    places sorts as the walk goes, and of several paths to a base the first holds.
+
+    From the nodes without bases upwards a node's order is that of its bases put one behind the other, each base before its own ones,
+    what came before left out; so an order is passed on once along each edge, and no path is ever held. Nodes that reach a cycle
+    have no such order of steps: there, and only there, the first path to each base is searched for."""
+    e = _stored(bases.select("node", "place", "base").distinct())
+    none = F.array().cast(f"array<{e.schema['base'].dataType.simpleString()}>")
+    tops = e.select("base").distinct().join(e.select(F.col("node").alias("base")), "base", "left_anti")
+    # orders that are known, and of which the nodes above are still to be told
+    known, waiting, told, out = _stored(tops.select(F.col("base").alias("of"), none.alias("under"))), e, None, []
+    while True:
+        same = F.col("base").eqNullSafe(F.col("of"))
+        found = waiting.join(known, same).select("node", F.struct("place", "base", "under").alias("part"), F.lit(False).alias("open"))
+        waiting = _stored(waiting.join(known.select("of"), same, "left_anti"))
+        rows = found.unionByName(waiting.select("node", F.lit(True).alias("open")), allowMissingColumns=True)
+        each = (rows if told is None else rows.unionByName(told)).groupBy("node").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.bool_or("open").alias("open"))
+        under = F.array_distinct(F.flatten(F.transform("parts", lambda x: F.concat(F.array(x["base"]), x["under"]))))
+        each = _stored(each.select("node", "open", F.when(F.col("open"), F.col("parts")).alias("parts"), F.when(~F.col("open"), under).alias("under")))
+        ready = each.filter("NOT open")
+        if ready.isEmpty():
+            break
+        out.append(ready.select("node", F.posexplode("under").alias("place", "base")).select("node", "base", "place"))
+        told = each.filter("open").select("node", F.explode("parts").alias("part"), F.lit(False).alias("open"))
+        known = ready.select(F.col("node").alias("of"), "under")
+    if not waiting.isEmpty():
+        paths = _first_paths(e, waiting.select("node").distinct())
+        out.append(paths.select("node", "base", (F.row_number().over(Window.partitionBy("node").orderBy("path")) - 1).alias("place")))
+    return reduce(DataFrame.union, out) if out else e.select("node", "base", F.lit(0).alias("place"))
 
 
 def privilege_paths(functions: DataFrame, calls: DataFrame, delegates: DataFrame) -> DataFrame:
@@ -125,39 +157,38 @@ def privilege_paths(functions: DataFrame, calls: DataFrame, delegates: DataFrame
     target has several overloads, ``matched`` has the signatures of those that are exposed, unguarded and change state. An unknown
     guard counts as none.
 
-    Ways are never enumerated: each start keeps a node at its first step only, with the least node before it, and the ways are read back from
-    the targets at the end. So of several shortest ways the one with the least nodes, from its end, comes out."""
+    Ways are never enumerated: each start keeps a node at its first step only, with the least node before it and the way to that one, which
+    goes on with the frontier alone. So of several shortest ways the one with the least nodes, from its end, comes out. Pairs are compared by
+    numbers of the names in their order."""
     free = ~F.coalesce("guarded", F.lit(False))
     shown = free & F.coalesce("exposed", F.lit(False))
     hit = shown & ~F.coalesce("readonly", F.lit(False))
     node = lambda contract, name: F.struct(F.col(contract).alias("contract"), F.col(name).alias("name"))
-    names = _stored(functions.groupBy(node("contract", "name").alias("node")).agg(
+    names = functions.groupBy(node("contract", "name").alias("at")).agg(
         F.bool_or(free).alias("open"), F.bool_or(shown).alias("shown"), F.bool_or(hit).alias("target"), (F.count("*") > 1).alias("ambiguous"), F.sort_array(F.collect_set(F.when(hit, F.col("signature")))).alias("matched")
-    ))
-    own = calls.filter(F.col("method").isNotNull()).select(node("from", "function").alias("node"), node("to", "method").alias("to")).distinct()
-    own = _stored(own.join(names.filter("open").select(F.col("node").alias("to")), "to", "left_semi").select("node", "to"))
-    whole = _stored(delegates.select("from", "to").distinct())
-    of_contract = names.filter("shown").select(F.col("node.contract").alias("to"), "node")
-
-    frontier = _stored(names.filter("target").select(F.col("node").alias("start"), "node", F.lit(None).cast(names.schema["node"].dataType).alias("before")))
-    reached, steps = frontier, 0
+    )
+    names = _stored(names.orderBy("at").withColumn("node", F.monotonically_increasing_id()))
+    own = calls.filter(F.col("method").isNotNull()).select(node("from", "function").alias("caller"), node("to", "method").alias("at")).distinct()
+    own = own.join(names.filter("open").select("at", F.col("node").alias("to")), "at")
+    own = _stored(own.join(names.select(F.col("at").alias("caller"), "node"), "caller").select("node", "to", "at"))
+    # all functions of a contract that delegates lead to the other one: the least of them stands for it
+    whole = _stored(delegates.select("from", "to").distinct().join(names.select(F.col("at.contract").alias("from"), "node"), "from").select("node", F.col("to").alias("other")))
+    of_contract = names.filter("shown").select(F.col("at.contract").alias("other"), F.col("node").alias("to"), "at")
+
+    frontier = _stored(names.filter("target").select(F.col("node").alias("start"), "node", F.array("at").alias("hops")))
+    reached, met, steps = frontier.select("start", "node"), [], 0
     while not frontier.isEmpty():
-        called = frontier.select("start", F.col("node").alias("before"), "node").join(own, "node").select("start", F.col("to").alias("node"), "before")
-        # all functions of a contract lead to the other one: the least of them stands for it
-        handed = frontier.select("start", F.col("node.contract").alias("from"), "node").groupBy("start", "from").agg(F.min("node").alias("before")).join(whole, "from")
-        handed = handed.groupBy("start", "to").agg(F.min("before").alias("before")).join(of_contract, "to").select("start", "node", "before")
-        step = called.union(handed).groupBy("start", "node").agg(F.min("before").alias("before"))
-        frontier = _stored(step.join(reached, ["start", "node"], "left_anti"))
-        reached = reached.union(frontier) if steps % 8 < 7 else _stored(reached.union(frontier))
+        last = F.struct(F.col("node").alias("before"), "hops").alias("last")
+        called = frontier.select("start", "node", last).join(own, "node").select("start", F.col("to").alias("node"), "last", "at")
+        handed = frontier.select("start", "node", last).join(whole, "node").groupBy("start", "other").agg(F.min("last").alias("last"))
+        handed = handed.join(of_contract, "other").select("start", F.col("to").alias("node"), "last", "at")
+        step = called.union(handed).join(reached, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min(F.struct("last", "at")).alias("x"))
+        frontier = _stored(step.select("start", "node", F.concat("x.last.hops", F.array("x.at")).alias("hops")))
+        met.append(frontier)
+        reached = reached.union(frontier.select("start", "node")) if steps % 8 < 7 else _stored(reached.union(frontier.select("start", "node")))
         steps += 1
 
-    found = reached.filter("start.contract <> node.contract").join(names.filter("target").select("node", "ambiguous", "matched"), "node")
-    left = _stored(found.select("start", F.col("node").alias("target"), "ambiguous", "matched", F.col("before").alias("at"), F.array("node").alias("hops")))
-    back = reached.select("start", F.col("node").alias("at"), "before")
-    done = []
-    while not left.isEmpty():
-        on = _stored(left.join(back, ["start", "at"]).select("start", "target", "ambiguous", "matched", F.col("before").alias("at"), F.concat(F.array("at"), "hops").alias("hops")))
-        done.append(on.filter("at IS NULL"))
-        left = on.filter("at IS NOT NULL")
-    out = reduce(DataFrame.union, done) if done else left
-    return out.select(F.col("start.contract").alias("contract"), F.col("start.name").alias("function"), F.col("target.contract").alias("target_contract"), F.col("target.name").alias("target_function"), "hops", "ambiguous", "matched")
+    first, target = F.element_at("hops", 1), F.element_at("hops", -1)
+    found = reduce(DataFrame.union, met) if met else frontier
+    found = found.filter(first["contract"] != target["contract"]).join(names.filter("target").select("node", "ambiguous", "matched"), "node")
+    return found.select(first["contract"].alias("contract"), first["name"].alias("function"), target["contract"].alias("target_contract"), target["name"].alias("target_function"), "hops", "ambiguous", "matched")
