@@ -30,15 +30,21 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def matched_findings(before: DataFrame, after: DataFrame, key: str, second: str, compare: Sequence[str]) -> DataFrame:
     """(key, after_key, status, matched_by, changed): first by key, then what is left by the second key, but only where
     that names one row on each side; what is still left is resolved or new."""
-    first = key_status(before.withColumn("_k2", F.col(second)), after.withColumn("_k2", F.col(second)), [key], [*compare, "_k2"])
-    pair = first.filter(F.col("status").isin("matched", "modified"))
-    changed = F.filter("changed", lambda x: x != "_k2")
-    paired = pair.select(key, F.col(key).alias("after_key"), F.when(F.size(changed) > 0, "modified").otherwise("matched").alias("status"), F.lit("key").alias("matched_by"), changed.alias("changed"))
-    lost, new = before.join(pair.select(key), key, "left_anti"), after.join(pair.select(key), key, "left_anti")
-    single = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy(second))).filter((F.col("_n") == 1) & F.col(second).isNotNull())
+    names = F.array_compact(F.array(*[F.when(~F.col(f"before_{c}").eqNullSafe(F.col(f"after_{c}")), F.lit(c)) for c in compare]))
+    side = lambda df, name: df.select(key, *[F.col(c).alias(f"{name}_{c}") for c in compare])
+    pair = side(before, "before").join(side(after, "after"), key).withColumn("changed", names)
+    paired = pair.select(key, F.col(key).alias("after_key"), F.when(F.size("changed") > 0, "modified").otherwise("matched").alias("status"), F.lit("key").alias("matched_by"), "changed")
+    # what has no row of its key on the other side; only its key and what is compared goes on
+    kept = list(dict.fromkeys([key, second, *compare]))
+    lost, new = before.select(kept).join(after.select(key), key, "left_anti"), after.select(kept).join(before.select(key), key, "left_anti")
+
+    def single(df: DataFrame) -> DataFrame:
+        """Rows that alone have their second key: keys are counted on the map side, so no key's rows are held together."""
+        once = df.filter(F.col(second).isNotNull()).groupBy(second).agg(F.count("*").alias("_n")).filter("_n = 1")
+        return df.join(once.select(second), second, "left_semi")
+
     a = single(lost).select(F.col(second).alias("_s"), F.col(key).alias("before_key"), *[F.col(c).alias(f"before_{c}") for c in compare])
     b = single(new).select(F.col(second).alias("_s"), F.col(key).alias("after_key"), *[F.col(c).alias(f"after_{c}") for c in compare])
-    names = F.array_compact(F.array(*[F.when(~F.col(f"before_{c}").eqNullSafe(F.col(f"after_{c}")), F.lit(c)) for c in compare]))
     again = a.join(b, "_s").select(F.col("before_key").alias(key), "after_key", F.lit("modified").alias("status"), F.lit("secondary").alias("matched_by"), names.alias("changed"))
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     gone = lost.join(again.select(key), key, "left_anti").select(key, F.lit(None).cast(before.schema[key].dataType).alias("after_key"), F.lit("resolved").alias("status"), none.alias("matched_by"), empty.alias("changed"))
