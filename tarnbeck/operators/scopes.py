@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnbeck.sources.folders import stored
+
 #: Names in braces that open no scope, comments, strings (one without its end stops at its line's), words with their dots, numbers,
 #: arrows, line ends, and any other sign.
 TOKEN = r"""(?<![\w$.])(?:import|using)\s*+\{[^{}]*+\}|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|[A-Za-z_$][\w$]*+(?:\.[A-Za-z_$][\w$]*+)*+|\d[\w.]*+|=>|\n|\S"""
@@ -22,7 +24,8 @@ NAMED = ("pragma", "import", *HOLDERS, "function", "modifier", "event", "error",
 
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, n, token, line, comment): all tokens but line ends, in order; the line is that of a token's start."""
-    rows = df.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("n", "token"))
+    # dealt out as texts: few tasks may read many sources, and what follows keeps to a source, so that no token is shuffled
+    rows = df.select(id_col, text_col).repartition(id_col).select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0))).alias("n", "token"))
     ends = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
     before = Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("line", 1 + F.coalesce(F.sum(ends).over(before), F.lit(0)))
@@ -84,7 +87,8 @@ def declarations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     word = F.regexp_extract(text, r"^(?:abstract )?([a-z]+)\b", 1)
     special = F.regexp_extract(text, r"^(constructor|receive|fallback) \(", 1)
     kind = F.when(special != "", special).when(word.isin(*NAMED) & text.rlike(r"^(?:abstract )?[a-z]+(?: [\w$\"'*.]|\s*\{)"), word)
-    s = s.withColumns({"text": text, "kind": kind})
+    # read four times below: without this, every reading makes all tokens anew
+    s = stored(s.withColumns({"text": text, "kind": kind}), "statements")
 
     opened = s.filter("last = '{'")
     name = F.regexp_extract("text", r"^(?:abstract )?[a-z]+ ([A-Za-z_$][\w$]*)", 1)
