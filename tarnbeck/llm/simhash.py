@@ -16,10 +16,10 @@ apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the
 compares in the join a sketch of SHINGLE_BITS bits of the shingles: one bit of the least shingle under each of as many hashes, so
 that (1 - similarity) / 2 of the bits are expected to differ, 0.1 of them at 0.8; the limit is wider than that. Rows that share
 a part's value are first compared with a few of them, and only rows that those stars do not tie together are paired, so a large
-group of near copies is not expanded into its pairs. Of the links found so, each text's BEST closest are verified by the sets of
-shingles themselves, which are counted exactly, and only those tie a group. Texts that all their verified links let go are
-probed once more among themselves and what their neighbours became. So what a group loses a document to is always a text of
-that similarity; what the probes miss stays apart, and the README has the recall.
+group of near copies is not expanded into its pairs. Links found so are verified by the sets of shingles themselves, which are
+counted exactly, and only those tie a group: the closest of each text first, then round by round all others whose ends are not
+tied yet. So each pair that the probes meet is in one group or was compared by its shingles; what the probes miss stays apart, and
+the README has the recall.
 
 Defined results: a null or word-less text has fingerprint zero and links like any other; a null doc_id never is a
 component's id unless the component has no other (then it is null); repeated rows are all returned; an empty table gives
@@ -46,7 +46,7 @@ BITS, SEED = 64, 42
 #: Near duplicates: words of a shingle, least similarity in percent, most differing bits of the words' fingerprint and of the shingles'
 #: sketch, and its bits.
 WIDTH, PERCENT, WORD_LIMIT, SHINGLE_LIMIT, SHINGLE_BITS = 5, 80, 7, 66, 512
-#: Closest links of a text that are verified.
+#: Closest links of a text that are verified first; all others follow in rounds, where they are still needed.
 BEST = 2
 #: Shingles that are sketched at a time.
 SKETCHED = 256
@@ -278,12 +278,9 @@ def part_count(rows: int, max_bits: int, probe_cost: int = PROBE_COST) -> int:
     return min(range(2, max_bits + 2), key=cost)
 
 
-def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] = (), near_bits: int = 0) -> DataFrame:
-    """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits. With
-    ``near``, ``fps`` is (node, fp, near...), u and v are nodes, the bits that differ in those columns are at most near_bits, and the
-    rows are links themselves, with those bits as ``d``."""
-    node = "node" if near else "fp"
-    carried = list(dict.fromkeys([node, "fp", *near]))
+def probing(fps: DataFrame, rows: int, max_bits: int, carried: list[str]) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """(probes, index), functions of a table whose columns begin with ``carried``, ``fp`` among them: its rows with a ``key``, of each value
+    that a fingerprint probes and of each part. Of two of the ``rows`` fingerprints within max_bits each probes a key of the other."""
     # a wider row costs more to shuffle
     parts = part_count(rows, max_bits, PROBE_COST * len(carried) ** 2)
     groups = deal_bits(co_occurrence(fps), rows, parts)
@@ -303,37 +300,24 @@ def links(fps: DataFrame, rows: int, max_bits: int = 3, near: tuple[str, ...] =
                     for k in range(0, len(at), step := max(1, (1 << 18) // len(m))):
                         some = at[k : k + step]
                         key = (values[g][some, None] ^ m[None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[pa.array(np.repeat(x[some], len(m))) for x in own]], names=["key", *carried])
+                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[pa.array(np.repeat(x[some], len(m))) for x in own]], names=["key", *b.schema.names])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The key of each part, and the columns."""
         for b in batches:
             for g, v in enumerate(part_values(b.column(at_fp).to_numpy(), groups)):
-                yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *carried])
+                yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *b.schema.names])
 
-    def apart(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        return sum([F.bit_count(a(c).bitwiseXOR(b(c))) for c in near], F.lit(0))
+    keyed = lambda run: lambda df: df.mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *df.columns]))
+    return keyed(probe), keyed(index)
 
-    def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        own = F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= max_bits
-        return own & (apart(a, b) <= near_bits) if near else own
-
-    schema = ", ".join(f"{c} long" for c in ["key", *carried])
-    if near:
-        # a dense group has about the square of its size in pairs: what stars tie together already is not paired again
-        tied = stored(stars(stored(fps.select(carried).mapInArrow(index, schema), "keys"), carried, close, apart), "stars")
-        fps = stored(fps.join(components(tied), "node", "left").withColumn("tied", F.coalesce("root", "node")), "tied")
-        carried = [*carried, "tied"]
-        schema += ", tied long"
-    q, x = fps.select(carried).mapInArrow(probe, schema).alias("q"), fps.select(carried).mapInArrow(index, schema).alias("x")
-    of = lambda side: lambda c: F.col(f"{side}.{c}")
-    linked = (F.col("q.key") == F.col("x.key")) & (F.col(f"q.{node}") < F.col(f"x.{node}")) & close(of("q"), of("x"))
-    if near:
-        linked &= F.col("q.tied") != F.col("x.tied")
-    ends = [F.col(f"q.{node}").alias("u"), F.col(f"x.{node}").alias("v")]
-    if near:
-        return q.join(x, linked).select(*ends, apart(of("q"), of("x")).alias("d")).mapInArrow(spanning, "u long, v long, d int").union(tied)
-    return q.join(x, linked).select(*ends).mapInArrow(folded, "u long, v long")
+
+def links(fps: DataFrame, rows: int, max_bits: int = 3) -> DataFrame:
+    """(u, v), u < v: a spanning forest, task by task, of all pairs of the distinct fingerprints ``fps`` within max_bits."""
+    probes, index = probing(fps, rows, max_bits, ["fp"])
+    q, x = probes(fps.select("fp")).alias("q"), index(fps.select("fp")).alias("x")
+    linked = (F.col("q.key") == F.col("x.key")) & (F.col("q.fp") < F.col("x.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= max_bits)
+    return q.join(x, linked).select(F.col("q.fp").alias("u"), F.col("x.fp").alias("v")).mapInArrow(folded, "u long, v long")
 
 
 def stars(keyed: DataFrame, carried: list[str], close: Callable, apart: Callable) -> DataFrame:
@@ -386,16 +370,6 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Those of the task's links (u, v, d) that join two trees when they are met, closest first in each batch."""
-    forest = Forest()
-    for b in batches:
-        b = b.sort_by("d")
-        yield b.filter(pa.array([forest.joins(u, v) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
-        if len(forest.above) > FOLD:
-            forest = Forest()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (u, v) reaches, by alternating star steps."""
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -450,13 +424,17 @@ def with_bits_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return tested.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (u, v) whose texts' sets of shingles have a Jaccard similarity of ``percent`` or more. ``nodes``: (node, id).
-    Shingles are counted by 32 bits of their hashes, which two sets of a thousand mistake for each other once in 4,000 pairs, by one
-    shingle. Only texts that some pair needs are shuffled, and few others: a bitmap of their ids, of bounded size, is consulted first."""
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(node): the ends of the pairs (u, v), each once."""
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(node, hashes) of the ``wanted`` (node, id): 32 bits of each distinct shingle's hash, which two sets of a thousand mistake for each
+    other once in 4,000 pairs, by one shingle. Only those texts are shuffled, and few others: a bitmap of their ids, of bounded size,
+    is consulted first."""
     bounded_batches(docs.sparkSession)
-    pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node"), "wanted")
+    wanted = stored(wanted, "wanted")
     texts = with_bits_of(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("t")), "doc", wanted.select("id"))
     texts = texts.join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "t")
 
@@ -466,7 +444,11 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text
             ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.empty(0, np.int32)])))], names=["node", "hashes"])
 
-    sets = stored(texts.mapInArrow(run, "node long, hashes array<int>"), "shingles")
+    return stored(texts.mapInArrow(run, "node long, hashes array<int>"), "shingles")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` (u, v) whose ``sets`` have a Jaccard similarity of ``percent`` or more."""
     side = lambda end, name: sets.select(F.col("node").alias(end), F.col("hashes").alias(name))
     both = F.size(F.array_intersect("a", "b"))
     found = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
@@ -474,23 +456,59 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text
     return stored(found.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v").distinct(), "alike")
 
 
+def apart_in(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the links ``edges`` (u, v, ...) whose ends are not of one tree of ``roots`` (node, root)."""
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    both = edges.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return both.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select(*edges.columns)
+
+
+def verified(found: DataFrame, sets: DataFrame, percent: int, firm: DataFrame | None = None) -> DataFrame:
+    """``firm`` (u, v) and as many of the links ``found`` (u, v, d) that are alike as tie together all that the alike ones do. The
+    closest few of each node go first; then, four times as many a round, those that are left and whose ends are not tied yet, until
+    there are none. So each link has been tried or its ends are of one group."""
+    rest, count = found, BEST
+    while not rest.isEmpty():
+        some = stored(closest(rest, count), "pairs")
+        good = alike(some, sets, percent)
+        firm = good if firm is None else firm.union(good)
+        left = rest.join(some, ["u", "v"], "left_anti")
+        if left.isEmpty():
+            break
+        rest, count = stored(apart_in(left, components(firm)), "rest"), 4 * count
+    return found.select("u", "v").filter("false") if firm is None else firm
+
+
 def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, word_limit: int, shingle_limit: int) -> DataFrame:
-    """(u, v): verified links between the nodes of ``distinct`` (node, least, fp, near0, ...)."""
-    nodes = distinct.select("node", F.col("least.id").alias("id"))
-    found = lambda some: stored(links(some, some.count(), word_limit, tuple(NEAR), shingle_limit), "found")
-    ends = lambda e: e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    met = found(distinct)
-    first = alike(closest(met), nodes, docs, id_col, text_col, width, percent)
-    let_go = stored(ends(met).join(ends(first), "node", "left_anti"), "let-go")
-    if let_go.isEmpty():
-        return first
-    # once more: those that were let go, and what their neighbours became
-    around = met.select(F.col("u").alias("node"), F.col("v").alias("other")).union(met.select("v", "u")).join(let_go, "node", "left_semi").select(F.col("other").alias("node")).distinct()
-    became = around.join(components(first), "node", "left").select(F.coalesce("root", "node").alias("node"))
-    some = stored(distinct.join(became.union(let_go).distinct(), "node", "left_semi"), "once-more")
-    tried = closest(met)
-    again = closest(found(some)).join(tried, ["u", "v"], "left_anti")
-    return first.union(alike(again, nodes, docs, id_col, text_col, width, percent))
+    """(u, v): verified links between the nodes of ``distinct`` (node, least, fp, near0, ...), enough of them to tie together whatever
+    links within ``word_limit`` and ``shingle_limit`` that are alike do. A dense group has about the square of its size in pairs, so its rows
+    meet a few centres first; of rows that verified links to these tie together no pair is made again, all others are paired."""
+    nodes, carried = distinct.select("node", F.col("least.id").alias("id")), ["node", "fp", *NEAR]
+    probes, index = probing(distinct, distinct.count(), word_limit, carried)
+
+    def apart(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return sum([F.bit_count(a(c).bitwiseXOR(b(c))) for c in NEAR], F.lit(0))
+
+    def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return (F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= word_limit) & (apart(a, b) <= shingle_limit)
+
+    rows = distinct.select(carried)
+    to_centres = stored(stars(stored(index(rows), "keys"), carried, close, apart), "stars")
+    wanted = stored(ends_of(to_centres), "ends")
+    sets = shingle_sets(wanted.join(nodes, "node"), docs, id_col, text_col, width)
+    firm = verified(to_centres, sets, percent)
+
+    rows = stored(rows.join(components(firm), "node", "left").withColumn("tied", F.coalesce("root", "node")).select(*carried, "tied"), "tied")
+    q, x = probes(rows).alias("q"), index(rows).alias("x")
+    of = lambda side: lambda c: F.col(f"{side}.{c}")
+    linked = (F.col("q.key") == F.col("x.key")) & (F.col("q.node") < F.col("x.node")) & (F.col("q.tied") != F.col("x.tied")) & close(of("q"), of("x"))
+    met = q.join(x, linked).select(F.col("q.node").alias("u"), F.col("x.node").alias("v"), apart(of("q"), of("x")).cast("int").alias("d"))
+    # a link to a centre whose ends are not tied was tried
+    met = stored(stored(met, "met").distinct().join(to_centres, ["u", "v"], "left_anti"), "found")
+    if met.isEmpty():
+        return firm
+    more = shingle_sets(ends_of(met).join(wanted, "node", "left_anti").join(nodes, "node"), docs, id_col, text_col, width)
+    return verified(met, sets.union(more), percent, firm)
 
 
 def near_groups(
