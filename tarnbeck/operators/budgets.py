@@ -27,6 +27,13 @@ def candidates(files: DataFrame, reach: DataFrame, group: str) -> DataFrame:
     return out.withColumn("n", n).select(group, "file", "rank", "size", F.col("n.need").alias("needs"), F.col("n.need_size").alias("need_sizes"))
 
 
+def _never(budget: Column) -> Column:
+    """Whether a candidate's closure alone is over the budget, so that it fits beside nothing: what is taken with it has at least its
+    bytes. False where a need stands twice, with two sizes, or has none."""
+    alone = F.aggregate("need_sizes", F.lit(0).cast("long"), lambda a, x: a + x) > budget
+    return F.coalesce(alone & (F.size(F.array_distinct("needs")) == F.size("needs")), F.lit(False))
+
+
 def _fit(rows: list[dict], taken: set, used: int, budget: int) -> tuple[set, int, dict]:
     """One first-fit pass in rank order: what it takes with closures, the bytes used, and why the others stay out."""
     out, why = set(taken), {}
@@ -75,8 +82,11 @@ def select_files(found: DataFrame, group: str, budget: int | Column, base: int |
                     out.append((k, file, TOO_LARGE))
             yield pd.DataFrame(out, columns=[group, "file", "reason"])
 
-    ordered = rows.select(group, "file", "rank", "size", "_left", "needs", "need_sizes").repartition(group).sortWithinPartitions(group, "rank", "file")
-    events = ordered.mapInPandas(choose, f"{group} {kind}, file string, reason string")
+    # candidates that fit beside nothing need not wait for the others of their group
+    never = _never(F.col("_left"))
+    refused = rows.filter(never).select(group, "file", F.when(F.col("size") > F.col("_left"), ALONE).otherwise(TOO_LARGE).alias("reason"))
+    ordered = rows.filter(~never).select(group, "file", "rank", "size", "_left", "needs", "need_sizes").repartition(group).sortWithinPartitions(group, "rank", "file")
+    events = ordered.mapInPandas(choose, f"{group} {kind}, file string, reason string").union(refused)
     became = stored(events.groupBy(group, "file").agg(F.bool_or(F.col("reason").isNull()).alias("_in"), F.max("reason").alias("_why")), "chosen")
     some = became.groupBy(group).agg(F.bool_or("_in").alias("_any"))
     out = rows.select(group, "file").join(fits, group).join(became, [group, "file"], "left").join(some, group, "left")
@@ -129,7 +139,7 @@ def completeness_gate(documents: DataFrame, files: DataFrame, reach: DataFrame,
 def plan_passes(found: DataFrame, group: str, budget: int, base: int = 0, most: int = 8) -> DataFrame:
     """(group, pass_index, file, role, reason): first fit again and again over what is not primary yet; what a pass takes along
     from earlier ones is context. Files that never fit, or are left after ``most`` passes, have pass 0 and a reason. A pass looks at
-    all that is left of its group, so a group is one task, which holds its ids, ranks and sizes."""
+    all that is left of its group, so a group is one task, which holds its ids, ranks and sizes, and the needs of those that can fit."""
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,9 +147,12 @@ def plan_passes(found: DataFrame, group: str, budget: int, base: int = 0, most:
         left, never, out = {r["file"] for r in rows}, {}, []
         for k in range(1, most + 1):
             todo = [r for r in rows if r["file"] in left and r["file"] not in never]
-            while todo and base + sum(todo[0]["need_sizes"]) > budget:
-                r = todo.pop(0)
+            first = 0
+            while first < len(todo) and (todo[first]["_never"] or base + sum(todo[first]["need_sizes"]) > budget):
+                r = todo[first]
                 never[r["file"]] = ALONE if base + r["size"] > budget else TOO_LARGE
+                first += 1
+            todo = [r for r in todo[first:] if not r["_never"]]
             if not todo:
                 break
             taken, _, _ = _fit(todo, set(), base, budget)
@@ -150,7 +163,10 @@ def plan_passes(found: DataFrame, group: str, budget: int, base: int = 0, most:
         out += [(0, f, "unassigned", never.get(f, LEFT)) for f in sorted(left)]
         return pd.DataFrame([(pdf[group].iloc[0], *x) for x in out], columns=[group, "pass_index", "file", "role", "reason"])
 
-    return found.groupBy(group).applyInPandas(plan, f"{group} {kinds[group]}, pass_index int, file string, role string, reason string")
+    rows = found.select(group, "file", "rank", "size", "needs", "need_sizes", _never(F.lit(budget - base)).alias("_never"))
+    none = lambda c: F.when(~F.col("_never"), F.col(c)).alias(c)
+    rows = rows.select(group, "file", "rank", "size", none("needs"), none("need_sizes"), "_never")
+    return rows.groupBy(group).applyInPandas(plan, f"{group} {kinds[group]}, pass_index int, file string, role string, reason string")
 
 
 def units(targets: DataFrame, parts: DataFrame, group: str, most_bytes: int = 8192, callees: int = 3, callee_bytes: int = 4096) -> DataFrame:

@@ -44,6 +44,28 @@ def closure(edges: DataFrame, seeds: DataFrame, known: DataFrame | None = None,
     return reached
 
 
+def closure_within(edges: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(seed, node): what each node of ``sizes`` (node, size) reaches, itself included; a seed whose nodes have come to more than ``limit``
+    together is not followed on, so it has some of its nodes, over the limit already. A step looks again only at seeds that still
+    grow and fit. Sizes are not negative; null counts as nothing."""
+    sizes = sizes.groupBy("node").agg(F.coalesce(F.min("size"), F.lit(0)).alias("size"))
+    e = _stored(edges.select("from", F.col("to").alias("node")).distinct().join(sizes, "node").select("from", F.col("node").alias("to"), F.col("size").alias("to_size")))
+    own = _stored(sizes.select(F.col("node").alias("seed"), "node", "size"))
+    reached = frontier = own.filter(F.col("size") <= limit)
+    done, steps = own.filter(F.col("size") > limit), 0
+    while True:
+        step = frontier.join(e, frontier["node"] == e["from"]).select("seed", F.col("to").alias("node"), F.col("to_size").alias("size")).distinct()
+        new = _stored(step.join(reached, ["seed", "node"], "left_anti"))
+        if new.isEmpty():
+            return done.union(reached).select("seed", "node")
+        grown = reached.withColumn("new", F.lit(False)).union(new.withColumn("new", F.lit(True)))
+        live = _stored(grown.groupBy("seed").agg(F.sum("size").alias("all"), F.max("new").alias("new")).filter(F.col("new") & (F.col("all") <= limit)).select("seed"))
+        done = done.union(grown.drop("new").join(live, "seed", "left_anti"))
+        # one table again after a few steps, so that a long way does not make a long plan
+        done = done if steps % 8 < 7 else _stored(done)
+        reached, frontier, steps = _stored(grown.drop("new").join(live, "seed", "left_semi")), new.join(live, "seed", "left_semi"), steps + 1
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     return edges.join(nodes.select(F.col("node").alias("from")), "from", "left_semi").join(nodes.select(F.col("node").alias("to")), "to", "left_semi")

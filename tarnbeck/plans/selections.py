@@ -8,6 +8,7 @@ from tarnbeck.operators import budgets as B
 from tarnbeck.operators import encoding as E
 from tarnbeck.operators import sizes as Z
 from tarnbeck.plans.registry import Queries
+from tarnbeck.sources.folders import stored
 
 _q = Queries()
 QUERIES, ORACLES = _q.queries, _q.oracles
@@ -18,7 +19,8 @@ def _files(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    files = t("documents").select("source", F.col("doc_id").cast("string").alias("file"), F.row_number().over(w).alias("rank"), F.octet_length("text").cast("long").alias("size"))
+    files = t("documents").select("source", F.col("doc_id").cast("string").alias("file"), F.row_number().over(w).alias("rank"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    files = stored(files, "files")  # texts are read once
     need = lambda k: files.select("source", "file", F.floor(F.col("rank") / k).cast("int").alias("at")).join(files.select("source", F.col("rank").alias("at"), F.col("file").alias("need")), ["source", "at"]).select("source", "file", "need")
     return files, need(2).union(need(3)).distinct()
 
@@ -27,13 +29,12 @@ _BUDGET, _REASON = 40_000, ["LOC_LIMIT_EXCEEDED"]
 
 
 def _closure(files, reach):
-    """Whole closures of needs, by the place of a file in its source."""
-    from tarnbeck.operators.graph import closure
+    """Closures of needs, by the place of a file in its source; one that is over the budget is not followed to its end."""
+    from tarnbeck.operators.graph import closure_within
 
-    node = lambda c: F.concat_ws(":", "source", F.col(c))
-    found = closure(reach.select(node("file").alias("from"), node("need").alias("to")), files.select(node("file").alias("seed")))
-    part = lambda c, k: F.split_part(F.col(c), F.lit(":"), F.lit(k))
-    return found.select(part("seed", 1).alias("source"), part("seed", 2).alias("file"), part("node", 2).alias("need"))
+    node = lambda c: F.struct("source", F.col(c).alias("file"))
+    found = closure_within(reach.select(node("file").alias("from"), node("need").alias("to")), files.select(node("file").alias("node"), "size"), _BUDGET)
+    return found.select("seed.source", "seed.file", F.col("node.file").alias("need"))
 
 
 @_q.add("I1_I2_I7_first_fit")
