@@ -51,8 +51,10 @@ def _(t):
     item = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     pages = c.groupBy(F.col("c_nationkey").alias("source"), "page").agg(F.max("total").alias("total"), F.collect_list(item).alias("items"))
     text = F.to_json(F.struct(F.col("total").alias("total_count"), "items"))
-    pages.select(text.alias("value"), "source", "page").write.partitionBy("source", "page").text(folder)
-    rows = t.spark.read.format("paged_listing").option("path", folder).option("page_size", 10).option("pages", 4).load()
+    # a file holds 256 pages of a source, a line each
+    pages = pages.select(text.alias("value"), "source", F.floor((F.col("page") - 1) / 256).cast("int").alias("block"), "page")
+    pages.repartition("source", "block").sortWithinPartitions("source", "block", "page").drop("page").write.partitionBy("source", "block").text(folder)
+    rows = t.spark.read.format("paged_listing").option("path", folder).option("page_size", 10).option("pages", 4).option("file_pages", 256).load()
     found = rows.select(F.from_json("item", "id long, name string, nation int").alias("x")).select("x.*").join(t("customer").filter("c_nationkey < 20").select(F.col("c_custkey").alias("id")), "id", "left_semi")
     found = found.select(F.col("id").alias("c_custkey"), F.col("name").alias("c_name"))
     return capped(found, "c_custkey", [F.lower("c_name"), F.col("c_custkey")], 80)

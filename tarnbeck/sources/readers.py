@@ -14,6 +14,7 @@ import re
 import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from pathlib import Path
 from urllib.parse import quote, unquote, urlsplit
 
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 #: Rows that are fetched at a time.
 FETCHED = 2000
+#: Partitions that runs of pages make about at most; beyond that runs are longer.
+MOST_RUNS = 512
 
 
 def register(spark: SparkSession) -> None:
@@ -221,7 +224,8 @@ class PageRun(InputPartition):
 
 class PagedListing(DataSource):
     """Options: path (a folder source=x/page=n of one JSON file each: {"total_count", "items"}, pages from 1), page_size, pages (of a
-    partition at most). Rows: source, page, place, and each item as JSON."""
+    partition; more if there would be over MOST_RUNS of them), file_pages (1; if more, source=x/block=k, k from 0, has a file of so many pages, each
+    a line, in order). Rows: source, page, place, and each item as JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,6 +234,7 @@ class PagedListing(DataSource):
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options)
         self.at, self.size, self.pages = Path(local_path(options["path"])), int(options.get("page_size", "100")), int(options.get("pages", "8"))
+        self.file_pages = int(options.get("file_pages", "1"))
 
     def schema(self) -> str:
         return "source string, page int, place int, item string"
@@ -243,20 +248,43 @@ class PagedListing(DataSource):
     def sources(self) -> list[str]:
         return sorted(unquote(p.name.removeprefix("source=")) for p in self.at.glob("source=*"))
 
-    def page(self, source: str, number: int) -> dict:
-        """One page, as one request would get it."""
-        (file,) = [f for f in (self.at / f"source={quote(source, safe='')}" / f"page={number}").iterdir() if f.name[0] not in "._"]
-        found = json.loads(file.read_text())
+    def file(self, source: str, part: str) -> Path:
+        (found,) = [f for f in (self.at / f"source={quote(source, safe='')}" / part).iterdir() if f.name[0] not in "._"]
+        return found
+
+    def read_page(self, text: str, source: str, number: int) -> dict:
+        found = json.loads(text)
         if not isinstance(found, dict) or not isinstance(found.get("items"), list) or not isinstance(found.get("total_count"), int):
             raise ValueError(f"page {number} of {source} is no page")
         return found
 
+    def texts(self, source: str, first: int, end: int) -> Iterator[tuple[int, str]]:
+        """Pages from ``first`` to before ``end``, each file read once, up to the last page that is wanted."""
+        if self.file_pages == 1:
+            for number in range(first, end):
+                yield number, self.file(source, f"page={number}").read_text()
+            return
+        for block in range((first - 1) // self.file_pages, (end - 2) // self.file_pages + 1):
+            low, high = block * self.file_pages + 1, min(end, (block + 1) * self.file_pages + 1)
+            number = low - 1
+            with self.file(source, f"block={block}").open(encoding="utf-8", newline="\n") as f:
+                for number, text in enumerate(islice(f, high - low), low):
+                    if number >= first:
+                        yield number, text
+            if number < high - 1:
+                raise ValueError(f"page {number + 1} of {source} is missing")
+
+    def page(self, source: str, number: int) -> dict:
+        """One page, as one request would get it."""
+        ((_, text),) = self.texts(source, number, number + 1)
+        return self.read_page(text, source, number)
+
     def page_count(self, source: str) -> int:
         return -(-self.page(source, 1)["total_count"] // self.size)
 
     def rows(self, part: PageRun) -> Iterator[tuple]:
-        for number in range(part.first, part.end):
-            items = self.page(part.source, number)["items"]
+        for number, text in self.texts(part.source, part.first, part.end):
+            items = self.read_page(text, part.source, number)["items"]
             for place, item in enumerate(items):
                 yield part.source, number, place, json.dumps(item, ensure_ascii=False)
             if len(items) < self.size:
@@ -277,8 +305,9 @@ class PageReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         own = [s for s in self.listing.sources() if self.only is None or s in self.only]
-        step = self.listing.pages
-        return [PageRun(s, k, min(k + step, n + 1)) for s in own for n in [self.listing.page_count(s)] for k in range(1, n + 1, step)]
+        counts = {s: self.listing.page_count(s) for s in own}
+        step = max(self.listing.pages, -(-sum(counts.values()) // MOST_RUNS))
+        return [PageRun(s, k, min(k + step, n + 1)) for s, n in counts.items() for k in range(1, n + 1, step)]
 
     def read(self, partition: PageRun | None) -> Iterator[tuple]:
         return self.listing.rows(partition) if partition else iter(())
