@@ -371,8 +371,10 @@ def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of ``edges`` (u, v) reaches, by alternating star steps."""
+    """(node, root): the least node that each node of ``edges`` (u, v) reaches, by alternating star steps. Each step's tasks fold
+    their links before they are written, so links that fit into one task need no step: a step is several jobs, and the driver keeps something of each."""
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    fold = lambda e: stored(e.mapInArrow(folded, "u long, v long"), "links")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """Each node's larger (large) or smaller neighbours are tied to its least neighbour instead."""
@@ -385,14 +387,20 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.union(least.select(F.col("m").alias("u"), F.col("u").alias("v")))
         return out.filter("u <> v").distinct()
 
-    edges, seen = stored(edges.filter("u <> v").distinct(), "links"), None
-    while True:
-        edges = stored(star(star(edges, True), False), "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == now:
-            break
-        seen = now
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    def starry(e: DataFrame) -> bool:
+        """Whether each node is the lesser end of its links (u < v) or the greater end of only one."""
+        ends = e.select(F.col("u").alias("node"), F.lit(0).alias("n")).union(e.select("v", F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("n").alias("times"), F.min("n").alias("least")).filter("times > least").isEmpty()
+
+    edges = fold(edges.distinct())
+    while not starry(edges):
+        edges = fold(star(star(edges, True), False))
+    return roots_in(edges)
+
+
+def roots_in(trees: DataFrame) -> DataFrame:
+    """(node, root) of trees (u, v) whose links all begin at their root u."""
+    return trees.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
@@ -464,24 +472,22 @@ def apart_in(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def verified(found: DataFrame, sets: DataFrame, percent: int, firm: DataFrame | None = None) -> DataFrame:
-    """``firm`` (u, v) and as many of the links ``found`` (u, v, d) that are alike as tie together all that the alike ones do. The
-    closest few of each node go first; then, four times as many a round, those that are left and whose ends are not tied yet, until
-    there are none. So each link has been tried or its ends are of one group."""
+    """(u, v), the least node of each tree and each other: the trees of ``firm`` (u, v) and of as many of the links ``found`` (u, v, d)
+    that are alike as tie together all that the alike ones do. The closest few of each node go first; then, four times as many a round,
+    those that are left and whose ends are not tied yet, until there are none. So each link has been tried or its ends are of one group."""
     rest, count = found, BEST
     while not rest.isEmpty():
         some = stored(closest(rest, count), "pairs")
         good = alike(some, sets, percent)
-        firm = good if firm is None else firm.union(good)
-        left = rest.join(some, ["u", "v"], "left_anti")
-        if left.isEmpty():
-            break
-        rest, count = stored(apart_in(left, components(firm)), "rest"), 4 * count
+        roots = components(good if firm is None else firm.union(good))
+        rest, count = stored(apart_in(rest.join(some, ["u", "v"], "left_anti"), roots), "rest"), 4 * count
+        firm = roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
     return found.select("u", "v").filter("false") if firm is None else firm
 
 
 def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, word_limit: int, shingle_limit: int) -> DataFrame:
-    """(u, v): verified links between the nodes of ``distinct`` (node, least, fp, near0, ...), enough of them to tie together whatever
-    links within ``word_limit`` and ``shingle_limit`` that are alike do. A dense group has about the square of its size in pairs, so its rows
+    """(u, v), the least node of each tree and each other: the trees of verified links between the nodes of ``distinct`` (node, least, fp,
+    near0, ...), enough to tie together whatever links within ``word_limit`` and ``shingle_limit`` that are alike do. A dense group has about the square of its size in pairs, so its rows
     meet a few centres first; of rows that verified links to these tie together no pair is made again, all others are paired."""
     nodes, carried = distinct.select("node", F.col("least.id").alias("id")), ["node", "fp", *NEAR]
     probes, index = probing(distinct, distinct.count(), word_limit, carried)
@@ -498,7 +504,7 @@ def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     sets = shingle_sets(wanted.join(nodes, "node"), docs, id_col, text_col, width)
     firm = verified(to_centres, sets, percent)
 
-    rows = stored(rows.join(components(firm), "node", "left").withColumn("tied", F.coalesce("root", "node")).select(*carried, "tied"), "tied")
+    rows = stored(rows.join(roots_in(firm), "node", "left").withColumn("tied", F.coalesce("root", "node")).select(*carried, "tied"), "tied")
     q, x = probes(rows).alias("q"), index(rows).alias("x")
     of = lambda side: lambda c: F.col(f"{side}.{c}")
     linked = (F.col("q.key") == F.col("x.key")) & (F.col("q.node") < F.col("x.node")) & (F.col("q.tied") != F.col("x.tied")) & close(of("q"), of("x"))
@@ -519,7 +525,7 @@ def near_groups(
     rows = stored(near_fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = rows.groupBy("fp", *NEAR).agg(F.min(order("id")).alias("least")).withColumn("node", F.monotonically_increasing_id())
     distinct = stored(distinct, "distinct")
-    roots = components(near_links(distinct, docs, id_col, text_col, width, percent, word_limit, shingle_limit))
+    roots = roots_in(near_links(distinct, docs, id_col, text_col, width, percent, word_limit, shingle_limit))
     rooted = stored(distinct.join(roots, "node", "left").select("fp", *NEAR, "least", F.coalesce("root", "node").alias("root")), "rooted")
     # written first: a join right above its aggregation can't be split where a group holds many rows
     keep = stored(rooted.groupBy("root").agg(F.min("least").alias("keep")), "keep")
