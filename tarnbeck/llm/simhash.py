@@ -16,7 +16,9 @@ apart to be probed (about ten of 64 bits at 0.8). It probes a fingerprint of the
 compares in the join a sketch of SHINGLE_BITS bits of the shingles: one bit of the least shingle under each of as many hashes, so
 that (1 - similarity) / 2 of the bits are expected to differ, 0.1 of them at 0.8; the limit is wider than that. Rows that share
 a part's value are first compared with a few of them, and only rows that those stars do not tie together are paired, so a large
-group of near copies is not expanded into its pairs. Links found so are verified by the sets of shingles themselves, which are
+group of near copies is not expanded into its pairs. Rows that such links lead to, alike or not, are a family. Sketches let many of its pairs
+through that are not alike, so a large family meets those of its rows too that are nearest to what most of it has, and its pairs are
+compared exactly where they meet, by what each row has otherwise than most: only those that are alike become rows. Links found so are verified by the sets of shingles themselves, which are
 counted exactly, and only those tie a group: the closest of each text first, then round by round all others whose ends are not
 tied yet. So each pair that the probes meet is in one group or was compared by its shingles; what the probes miss stays apart, and
 the README has the recall.
@@ -56,6 +58,8 @@ BLOCK = 11
 PROBE_COST = 10
 #: Centres of each key that its rows are compared with before any are paired.
 STARS = 4
+#: Rows from which on a family is large, and those of it, nearest to what most of it has, that rows are compared with.
+FAMILY, HUBS = 64, 4
 #: Links that a task folds into a spanning forest before it passes them on.
 FOLD = 400_000
 
@@ -290,8 +294,7 @@ def probing(fps: DataFrame, rows: int, max_bits: int, carried: list[str]) -> tup
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [c.to_numpy() for c in b.columns]
-            values = part_values(own[at_fp], groups)
+            values = part_values(b.column(at_fp).to_numpy(), groups)
             limits = choose_thresholds(values, groups, shares, rows, max_bits)
             for g in range(parts):
                 for t in range(max_bits + 1):
@@ -300,7 +303,8 @@ def probing(fps: DataFrame, rows: int, max_bits: int, carried: list[str]) -> tup
                     for k in range(0, len(at), step := max(1, (1 << 18) // len(m))):
                         some = at[k : k + step]
                         key = (values[g][some, None] ^ m[None, :]).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[pa.array(np.repeat(x[some], len(m))) for x in own]], names=["key", *b.schema.names])
+                        own = pa.array(np.repeat(some, len(m)))
+                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[c.take(own) for c in b.columns]], names=["key", *b.schema.names])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The key of each part, and the columns."""
@@ -308,7 +312,7 @@ def probing(fps: DataFrame, rows: int, max_bits: int, carried: list[str]) -> tup
             for g, v in enumerate(part_values(b.column(at_fp).to_numpy(), groups)):
                 yield pa.RecordBatch.from_arrays([pa.array(v * parts + g), *b.columns], names=["key", *b.schema.names])
 
-    keyed = lambda run: lambda df: df.mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *df.columns]))
+    keyed = lambda run: lambda df: df.mapInArrow(run, ", ".join(["key long", *[f"{c} {kind}" for c, kind in df.dtypes]]))
     return keyed(probe), keyed(index)
 
 
@@ -485,10 +489,33 @@ def verified(found: DataFrame, sets: DataFrame, percent: int, firm: DataFrame |
     return found.select("u", "v").filter("false") if firm is None else firm
 
 
+def large_families(links: DataFrame) -> DataFrame:
+    """(node, family, n) of the components of ``links`` (u, v, ...) that have FAMILY nodes or more: the least node, and how many there are."""
+    families = ends_of(links).join(components(links.select("u", "v")), "node", "left").select("node", F.coalesce("root", "node").alias("family"))
+    families = stored(families, "families")
+    # written first: a join right above its aggregation can't be split where a family holds many rows
+    return families.join(stored(families.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") >= FAMILY), "large"), "family")
+
+
+def cores(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, core): the hashes that more than half of the family's nodes have, twice as many as its mean node has at most."""
+    hashes = families.join(sets, "node").select("family", "n", F.explode("hashes").alias("hash"))
+    most = hashes.groupBy("family", "n", "hash").agg(F.count("*").alias("times")).filter(2 * F.col("times") > F.col("n"))
+    return stored(most.groupBy("family").agg(F.collect_list("hash").alias("core")), "cores")
+
+
+def odds(families: DataFrame, sets: DataFrame, core: DataFrame) -> DataFrame:
+    """(node, family, held, odd): how many hashes each node has, and those that either it or its family's core has."""
+    both = families.select("node", "family").join(sets, "node").join(core, "family", "left").withColumn("core", F.coalesce("core", F.array().cast("array<int>")))
+    odd = F.array_union(F.array_except("hashes", "core"), F.array_except("core", "hashes"))
+    return stored(both.select("node", "family", F.size("hashes").alias("held"), odd.alias("odd")), "odds")
+
+
 def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, word_limit: int, shingle_limit: int) -> DataFrame:
     """(u, v), the least node of each tree and each other: the trees of verified links between the nodes of ``distinct`` (node, least, fp,
     near0, ...), enough to tie together whatever links within ``word_limit`` and ``shingle_limit`` that are alike do. A dense group has about the square of its size in pairs, so its rows
-    meet a few centres first; of rows that verified links to these tie together no pair is made again, all others are paired."""
+    meet a few centres first, in a large family its hubs too; of rows that verified links to these tie together no pair is made again. All others are paired, those of one
+    large family only where they are alike."""
     nodes, carried = distinct.select("node", F.col("least.id").alias("id")), ["node", "fp", *NEAR]
     probes, index = probing(distinct, distinct.count(), word_limit, carried)
 
@@ -498,23 +525,56 @@ def near_links(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         return (F.bit_count(a("fp").bitwiseXOR(b("fp"))) <= word_limit) & (apart(a, b) <= shingle_limit)
 
+    def linked(q: DataFrame, x: DataFrame, where: Callable[[Callable, Callable], Column]) -> DataFrame:
+        """(u, v, d) of the rows that share a key, are close and as ``where`` says."""
+        a, b = (lambda c: F.col(f"q.{c}")), (lambda c: F.col(f"x.{c}"))
+        met = q.alias("q").join(x.alias("x"), (a("key") == b("key")) & (a("node") != b("node")) & close(a, b) & where(a, b))
+        return met.select(F.least(a("node"), b("node")).alias("u"), F.greatest(a("node"), b("node")).alias("v"), apart(a, b).cast("int").alias("d"))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        return shingle_sets(ends.join(nodes, "node"), docs, id_col, text_col, width)
+
     rows = distinct.select(carried)
-    to_centres = stored(stars(stored(index(rows), "keys"), carried, close, apart), "stars")
+    keys = stored(index(rows), "keys")
+    to_centres = stored(stars(keys, carried, close, apart), "stars")
     wanted = stored(ends_of(to_centres), "ends")
-    sets = shingle_sets(wanted.join(nodes, "node"), docs, id_col, text_col, width)
+    sets = sets_of(wanted)
+    families = stored(large_families(to_centres), "families")
+    odd = None
+    if not families.isEmpty():
+        core = cores(families, sets)
+        nearest = Window.partitionBy("family").orderBy(F.size("odd"), "node")
+        hubs = odds(families, sets, core).withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= HUBS)
+        to_hubs = linked(keys, keys.join(hubs.select("node").distinct(), "node", "left_semi"), lambda a, b: F.lit(True))
+        to_centres = stored(to_centres.union(to_hubs).distinct(), "stars")
+        more = stored(ends_of(to_centres).join(wanted, "node", "left_anti"), "ends")
+        wanted, sets = wanted.union(more), sets.union(sets_of(more))
+        # hubs lead to further rows, and may make one family of several: any core will do that all its rows are held against
+        first, families = families.select("node", F.col("family").alias("was")), stored(large_families(to_centres), "families")
+        held = core.withColumnRenamed("family", "was").join(first.join(families, "node").select("was", "family").distinct(), "was")
+        odd = odds(families, sets, stored(held.groupBy("family").agg(F.min_by("core", "was").alias("core")), "cores"))
     firm = verified(to_centres, sets, percent)
 
-    rows = stored(rows.join(roots_in(firm), "node", "left").withColumn("tied", F.coalesce("root", "node")).select(*carried, "tied"), "tied")
-    q, x = probes(rows).alias("q"), index(rows).alias("x")
-    of = lambda side: lambda c: F.col(f"{side}.{c}")
-    linked = (F.col("q.key") == F.col("x.key")) & (F.col("q.node") < F.col("x.node")) & (F.col("q.tied") != F.col("x.tied")) & close(of("q"), of("x"))
-    met = q.join(x, linked).select(F.col("q.node").alias("u"), F.col("x.node").alias("v"), apart(of("q"), of("x")).cast("int").alias("d"))
+    rows = rows.join(roots_in(firm), "node", "left").withColumn("tied", F.coalesce("root", "node")).select(*carried, "tied")
+    # rows without a large family are a family of their own
+    own = F.lit(-1) - F.col("node") if odd is None else F.coalesce("family", F.lit(-1) - F.col("node"))
+    rows = stored((rows if odd is None else rows.join(families.select("node", "family"), "node", "left")).select(*carried, "tied", own.alias("family")), "tied")
+    pair = lambda a, b: (a("node") < b("node")) & (a("tied") != b("tied"))
+    met = stored(linked(probes(rows), index(rows), lambda a, b: pair(a, b) & (a("family") != b("family"))), "met")
+    if odd is not None:
+
+        def same(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+            """Whether two rows of a family are alike: they differ in what is odd of one of them."""
+            differ, size = F.size(a("odd")) + F.size(b("odd")) - 2 * F.size(F.array_intersect(a("odd"), b("odd"))), a("held") + b("held")
+            return (a("family") == b("family")) & pair(a, b) & (100 * (size - differ) >= percent * (size + differ))
+
+        within = stored(rows.join(odd.select("node", "held", "odd"), "node"), "within")
+        met = met.union(stored(linked(probes(within), index(within), same), "met"))
     # a link to a centre whose ends are not tied was tried
-    met = stored(stored(met, "met").distinct().join(to_centres, ["u", "v"], "left_anti"), "found")
+    met = stored(met.distinct().join(to_centres, ["u", "v"], "left_anti"), "found")
     if met.isEmpty():
         return firm
-    more = shingle_sets(ends_of(met).join(wanted, "node", "left_anti").join(nodes, "node"), docs, id_col, text_col, width)
-    return verified(met, sets.union(more), percent, firm)
+    return verified(met, sets.union(sets_of(ends_of(met).join(wanted, "node", "left_anti"))), percent, firm)
 
 
 def near_groups(
