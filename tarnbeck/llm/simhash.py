@@ -303,8 +303,10 @@ def probing(fps: DataFrame, rows: int, max_bits: int, carried: list[str]) -> tup
                     for k in range(0, len(at), step := max(1, (1 << 18) // len(m))):
                         some = at[k : k + step]
                         key = (values[g][some, None] ^ m[None, :]).ravel()
-                        own = pa.array(np.repeat(some, len(m)))
-                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *[c.take(own) for c in b.columns]], names=["key", *b.schema.names])
+                        own = np.repeat(some, len(m))
+                        # numpy has no lists
+                        columns = [c.take(pa.array(own)) if pa.types.is_list(c.type) else pa.array(c.to_numpy()[own]) for c in b.columns]
+                        yield pa.RecordBatch.from_arrays([pa.array(key * parts + g), *columns], names=["key", *b.schema.names])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The key of each part, and the columns."""
